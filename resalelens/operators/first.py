@@ -1,7 +1,9 @@
 """First rows of a group in scan order.
 
 ``row_number() <= k`` is planned with a group limit before the shuffle, so each
-task sends at most ``k`` rows per key however many copies of a key there are.
+task sends at most ``k`` rows per key however many copies of a key there are. Spark
+does so for small ``k``; for a larger one the same limit is first applied to salted
+parts of each group.
 """
 
 from __future__ import annotations
@@ -12,14 +14,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from resalelens.functions.text import norm_title
 
-_RANK = "_rank"
+_RANK, _SALT = "_rank", "_salt"
+_PLANNED_LIMIT = 1000   # largest k, exclusive, that Spark limits before the shuffle
+_SALTS = 64
 
 
-def first_rows(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column], k: int) -> DataFrame:
+def _ranked_within(df: DataFrame, keys: list[str | Column], order: Sequence[str | Column], k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(_RANK, F.row_number().over(w)).filter(F.col(_RANK) <= k).drop(_RANK)
 
 
+def first_rows(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column], k: int) -> DataFrame:
+    """First ``k`` rows of each key; ``order`` decides every tie."""
+    if k >= _PLANNED_LIMIT:
+        salt = F.pmod(F.xxhash64(*order), F.lit(_SALTS))
+        df = _ranked_within(df.withColumn(_SALT, salt), [*keys, _SALT], order, k).drop(_SALT)
+    return _ranked_within(df, list(keys), order, k)
+
+
 def first_per_key(df: DataFrame, key: str = "id", order: Sequence[str | Column] = ("pos",)) -> DataFrame:
     """One row per key: the first in scan order."""
     return first_rows(df, [key], order, 1)

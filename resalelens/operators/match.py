@@ -6,6 +6,9 @@ more rows than its rarest term has titles, and the other terms are then checked
 on the title's own terms. Equal term sets are matched once, on both sides.
 Very common lookup terms are split over several salts, taken from a table of the
 most frequent terms whose size is fixed.
+
+Term sets and rarest terms are read several times, so they are written once to the
+shared folder instead of being worked out again from the texts.
 """
 
 from __future__ import annotations
@@ -13,19 +16,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from resalelens import settings as S
+from resalelens.operators.storage import written
 
 ROWS_PER_SALT = 200_000
 
 
 def set_key(terms: Column) -> Column:
-    """Digest under which equal sorted term arrays meet."""
-    return F.sha2(F.array_join(terms, "\n"), 256)
+    """128-bit digest under which equal sorted term arrays meet."""
+    return F.unhex(F.md5(F.array_join(terms, "\n").cast("binary")))
+
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """Rows with the digest of their terms, written once."""
+    return written(df.withColumn(key, set_key(F.col("terms"))), key)
 
-def distinct_sets(df: DataFrame, terms: str, key: str) -> DataFrame:
-    """One row per non-empty term set. Terms arrive sorted and distinct."""
-    keyed = df.filter(F.size(terms) > 0).select(set_key(F.col(terms)).alias(key), F.col(terms).alias(terms))
-    return keyed.groupBy(key).agg(F.any_value(terms).alias(terms))
+
+def distinct_sets(rows: DataFrame, key: str) -> DataFrame:
+    """One row per term set of keyed rows, written once."""
+    return written(rows.groupBy(key).agg(F.any_value("terms").alias("terms")), f"{key}-sets")
 
 
 def match_sets(queries: DataFrame, titles: DataFrame) -> DataFrame:
@@ -36,13 +44,14 @@ def match_sets(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """
     wanted = queries.select("query_key", F.explode("terms").alias("term"))
     postings = titles.select("title_key", F.explode("terms").alias("term"))
+    # Counted before the join: partial counts take the weight off common terms.
     freq = (
-        postings.join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+        postings.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+        .join(wanted.select("term").distinct(), "term", "left_semi")
     )
 
     # A query with a term no title holds matches nothing.
-    rarest = (
+    rarest = written((
         wanted.join(freq, "term", "left")
         .groupBy("query_key")
         .agg(
@@ -50,8 +59,8 @@ def match_sets(queries: DataFrame, titles: DataFrame) -> DataFrame:
             F.min("freq").alias("freq"),
             F.bool_and(F.col("freq").isNotNull()).alias("complete"),
         )
-        .filter("complete")
-    )
+        .filter("complete").drop("complete")
+    ), "rarest")
 
     salts = (F.floor(F.col("freq") / ROWS_PER_SALT) + 1).cast("int")
     hot = (
@@ -86,13 +95,13 @@ def term_match(queries: DataFrame, titles: DataFrame) -> DataFrame:
 
     ``queries`` has ``query_id, terms``; ``titles`` has ``title_id, terms``.
     """
-    pairs = match_sets(
-        distinct_sets(queries, "terms", "query_key"),
-        distinct_sets(titles, "terms", "title_key"),
+    q, t = keyed(queries, "query_key"), keyed(titles, "title_key")
+    pairs = match_sets(distinct_sets(q, "query_key"), distinct_sets(t, "title_key"))
+    return (
+        pairs.join(q.select("query_id", "query_key"), "query_key")
+        .join(t.select("title_id", "title_key"), "title_key")
+        .select("query_id", "title_id")
     )
-    q = queries.select("query_id", set_key(F.col("terms")).alias("query_key"))
-    t = titles.select("title_id", set_key(F.col("terms")).alias("title_key"))
-    return pairs.join(q, "query_key").join(t, "title_key").select("query_id", "title_id")
 
 
 def matched_prices(queries: DataFrame, sold: DataFrame) -> DataFrame:
@@ -101,17 +110,11 @@ def matched_prices(queries: DataFrame, sold: DataFrame) -> DataFrame:
     ``queries`` has ``query, terms``; ``sold`` has ``terms, source, price``. Equal
     sales are counted before they are matched.
     """
-    counted = (
-        sold.filter(F.size("terms") > 0)
-        .withColumn("title_key", set_key(F.col("terms")))
-        .groupBy("title_key", "source", "price").agg(F.count(F.lit(1)).alias("copies"))
-    )
-    pairs = match_sets(
-        distinct_sets(queries, "terms", "query_key"),
-        distinct_sets(sold, "terms", "title_key"),
-    )
-    q = queries.select("query", set_key(F.col("terms")).alias("query_key")).distinct()
+    q, t = keyed(queries.distinct(), "query_key"), keyed(sold, "title_key")
+    pairs = match_sets(distinct_sets(q, "query_key"), distinct_sets(t, "title_key"))
+    counted = t.groupBy("title_key", "source", "price").agg(F.count(F.lit(1)).alias("copies"))
     return (
-        pairs.join(counted, "title_key").join(q, "query_key")
+        pairs.join(counted, "title_key")
+        .join(q.select("query", "query_key"), "query_key")
         .select("query", "source", "price", "copies")
     )

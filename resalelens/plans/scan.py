@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from resalelens import settings as S
 from resalelens.functions import dates, money, scoring
 from resalelens.operators import comps, filters, found as found_ops, search
+from resalelens.operators.storage import written
 
 
 def links_to_fetch(listings: DataFrame, searches: DataFrame, found: DataFrame, cap: int) -> DataFrame:
@@ -57,9 +58,11 @@ def scan(
 ) -> DataFrame:
     """Records of fetched pages to kept items.
 
-    ``prices`` has ``item, pos, price``: sold prices per title, in page order.
+    ``prices`` has ``item, pos, price``: sold prices per title, in page order. The
+    checked records are written once, so that pages are parsed once and prices are
+    read for their titles only.
     """
-    checked = worth_checking(records, as_of, max_bid, hours)
+    checked = written(worth_checking(records, as_of, max_bid, hours), "checked")
     titles = checked.select(F.col("title").alias("item")).distinct()
     needed = prices.join(titles, "item", "left_semi")
     return kept_items(checked, comps.market_value(titles, needed), min_profit)

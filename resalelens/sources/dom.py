@@ -148,8 +148,12 @@ class _Nodes(HTMLParser):
         self.joined = False
         self._add(HIDDEN, text=data)
 
-    def finish(self):
-        self.close()
+    def read(self, html: str) -> None:
+        try:
+            self.feed(html)
+            self.close()
+        except AssertionError:
+            pass   # a declaration the parser rejects ends the page there
         self._close_to(0)
 
 
@@ -161,9 +165,7 @@ def _arrow_nodes(rendered: bool):
                 columns: dict[str, list] = {name: [] for name in _FIELDS}
                 offsets = [0]
                 for html in batch.column("html"):
-                    page = _Nodes(columns, rendered)
-                    page.feed(html.as_py() or "")
-                    page.finish()
+                    _Nodes(columns, rendered).read(html.as_py() or "")
                     offsets.append(len(columns["kind"]))
                 nodes = pa.StructArray.from_arrays(
                     [pa.array(columns[f.name], f.type) for f in _ARROW], fields=list(_ARROW))

@@ -57,18 +57,20 @@ def item_blocks(spark, d):
     return report.item_block(kept_items(spark, d))
 
 
-@query(f"""WITH {FOUND_SQL}
-SELECT url FROM item WHERE pos NOT IN (SELECT pos FROM item WHERE pos % 10 = 0) AND (
-  (title IN ('1-URGENT', '2-HIGH') AND bid BETWEEN 1000 AND 200000) OR (title = '5-LOW' AND bid <= 90000))""")
+@query(f"""WITH {FOUND_SQL}, matched AS (
+  SELECT title AS search, url, pos FROM item
+  WHERE (title IN ('1-URGENT', '2-HIGH') AND bid BETWEEN 1000 AND 200000) OR (title = '5-LOW' AND bid <= 90000)),
+first AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY search ORDER BY pos) <= 25)
+SELECT url FROM first ANTI JOIN found USING (url)""")
 def links_to_fetch(spark, d):
-    """Search entries over orders, found items removed, no effective cap."""
+    """Search entries over orders, 25 links an entry, found items removed."""
     searches = spark.createDataFrame(
         [(0, "urgent", "1-URGENT", "", 1000.0, 200000.0), (1, "", "2-HIGH", "", 1000.0, 200000.0),
          (2, "low", "5-LOW", "", None, 90000.0)],
         "search_id INT, keywords STRING, category STRING, state STRING, min_bid DOUBLE, max_bid DOUBLE")
     listings = order_items(spark, d).select(
         "url", "title", F.col("bid").alias("price"), F.col("title").alias("category"), F.lit("AZ").alias("state"), "pos")
-    return scan.links_to_fetch(listings, searches, found_items(spark, d), cap=2**31 - 1)
+    return scan.links_to_fetch(listings, searches, found_items(spark, d), cap=25)
 
 
 def _run_logs(spark, d) -> DataFrame:
