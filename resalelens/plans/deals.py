@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from resalelens import settings as S
 from resalelens.functions import money, scoring, text
 from resalelens.operators import comps, filters, match, ranking
+from resalelens.operators.storage import written
 
 
 def with_queries(listings: DataFrame) -> DataFrame:
@@ -92,8 +93,13 @@ def find_deals(
 
 
 def ranked_deals(listings: DataFrame, stats: DataFrame, **thresholds: float) -> DataFrame:
-    """Deals with their numbers, best first."""
-    return ranking.numbered(find_deals(listings, stats, **thresholds), ranking.best_first())
+    """Deals with their numbers, best first.
+
+    Deals are written before they are numbered: range partitioning reads its input
+    twice, and the joins behind the deals should run once.
+    """
+    found = written(find_deals(listings, stats, **thresholds), "deals")
+    return ranking.numbered(found, ranking.best_first())
 
 
 def funnel(

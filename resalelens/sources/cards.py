@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from resalelens import settings as S
 from resalelens.functions import money, text, urls
@@ -18,21 +18,29 @@ BASE_URL = "https://www.publicsurplus.com"
 def scan_cards(pages: DataFrame) -> DataFrame:
     """Anchors to a listing with the lines and first price of the card around them."""
     nodes = F.col("nodes")
+
+    def card_of(at: Column) -> Column:
+        anchor = F.element_at(nodes, at)
+        frame = F.when(anchor["item"] > 0, anchor["item"]).otherwise(anchor["parent"])
+        card = F.coalesce(dom.rendered_text(nodes, F.nullif(frame, F.lit(0))), F.lit(""))
+        return F.struct(
+            anchor["href"].alias("href"),
+            text.strip(dom.rendered_text(nodes, at)).alias("anchor_text"),
+            card.alias("card"),
+        )
+
     anchors = dom.positions(
         nodes, lambda n: dom.is_element(n, "a") & urls.is_listing_link(n["href"]))
+    # Cards are read inside the page's row; only their texts are exploded.
     found = (
         dom.page_nodes(pages.select("page_id", "html"), rendered=True)
-        .select("page_id", "nodes", F.posexplode(anchors).alias("pos", "at"))
+        .select("page_id", F.posexplode(F.transform(anchors, card_of)).alias("pos", "c"))
+        .select("page_id", "pos", "c.*")
     )
-    anchor = F.element_at(nodes, F.col("at"))
-    frame = F.when(anchor["item"] > 0, anchor["item"]).otherwise(anchor["parent"])
-    card = F.coalesce(dom.rendered_text(nodes, F.nullif(frame, F.lit(0))), F.lit(""))
     return found.select(
-        "page_id", "pos",
-        anchor["href"].alias("href"),
-        text.strip(dom.rendered_text(nodes, F.col("at"))).alias("anchor_text"),
-        F.regexp_extract(card, CARD_PRICE, 0).alias("price_str"),
-        text.card_lines(card).alias("card_lines"),
+        "page_id", "pos", "href", "anchor_text",
+        F.regexp_extract("card", CARD_PRICE, 0).alias("price_str"),
+        text.card_lines(F.col("card")).alias("card_lines"),
     )
 
 

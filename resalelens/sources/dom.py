@@ -32,7 +32,7 @@ NODE = T.StructType([
     T.StructField("src", T.StringType()),
     T.StructField("dir", T.StringType()),
 ])
-_FIELDS = [f.name for f in NODE.fields]
+_STOP, _NEXT, _TEXT = (NODE.names.index(n) for n in ("stop", "next_elem", "text"))
 _ARROW = pa.struct([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in NODE.fields])
 _PAGES_PER_BATCH = 256
 
@@ -53,48 +53,42 @@ _ENDS_P = _LINE - {"body", "tbody", "thead", "tr"}
 # Elements that frame one listing on an index page.
 _ITEM_TAGS = frozenset({"li", "tr"})
 _ITEM_CLASSES = frozenset({"auction-item", "ps-card", "card"})
-_ATTRS = {"id": "id", "class": "cls", "href": "href", "src": "src", "dir": "dir"}
+_ATTRS = frozenset({"id", "class", "href", "src", "dir"})
 
 
 class _Nodes(HTMLParser):
-    """Appends the nodes of one page to column lists.
+    """Collects the nodes of one page as rows in the order of ``NODE``.
 
     An end tag closes up to its nearest open element and is ignored without one.
     With ``rendered`` start tags also end open elements the way a browser ends them.
     """
 
-    def __init__(self, columns: dict[str, list], rendered: bool):
+    def __init__(self, rendered: bool):
         super().__init__(convert_charrefs=True)
-        self.columns, self.rendered = columns, rendered
-        self.base = len(columns["kind"])
+        self.rendered = rendered
+        self.rows: list[list] = []
         self.open: list[tuple[str, int, int]] = []   # tag, position, nearest item
         self.last_child: dict[int, int] = {}
         self.gap = ""
         self.joined = False                          # last event was text
 
-    def _add(self, kind: int, **values) -> int:
-        _, parent, item = self.open[-1] if self.open else ("", 0, 0)
-        row = {"kind": kind, "parent": parent, "item": item, "next_elem": 0, "gap": "", **values}
-        for name in _FIELDS:
-            self.columns[name].append(row.get(name))
-        at = len(self.columns["kind"]) - self.base
-        self.columns["stop"][-1] = at
-        return at
-
     def _close_to(self, depth: int) -> None:
-        here = len(self.columns["kind"]) - self.base
+        here = len(self.rows)
         for tag, at, _ in self.open[depth:]:
-            self.columns["stop"][self.base + at - 1] = here
+            self.rows[at - 1][_STOP] = here
             if tag in _LINE:
                 self.gap = "\n"
         del self.open[depth:]
 
     def _imply_ends(self, tag: str) -> None:
+        ends, scope, ends_p = _ENDS.get(tag, ()), _SCOPE.get(tag, ()), tag in _ENDS_P
+        if not ends and not ends_p:
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.open[depth][0]
-            if name in _ENDS.get(tag, ()) or (name == "p" and tag in _ENDS_P):
+            if name in ends or (ends_p and name == "p"):
                 self._close_to(depth)
-            if name in _SCOPE.get(tag, ()):
+            if name in scope:
                 break
 
     def handle_starttag(self, tag, attrs):
@@ -105,20 +99,24 @@ class _Nodes(HTMLParser):
             self.gap = "\n"
         elif tag in ("td", "th") and not self.gap:
             self.gap = "\t"
+        _, parent, item = self.open[-1] if self.open else ("", 0, 0)
         kept: dict[str, str] = {}
         for name, value in attrs:
             if name in _ATTRS:
-                kept.setdefault(_ATTRS[name], value or "")
-        at = self._add(ELEMENT, tag=tag, **kept)
-        if tag in _ITEM_TAGS or not _ITEM_CLASSES.isdisjoint(kept.get("cls", "").split()):
-            self.columns["item"][-1] = at
-        parent = self.columns["parent"][-1]
+                kept.setdefault(name, value or "")
+        at = len(self.rows) + 1
+        cls = kept.get("class")
+        if tag in _ITEM_TAGS or (cls and not _ITEM_CLASSES.isdisjoint(cls.split())):
+            item = at
+        self.rows.append([
+            ELEMENT, parent, at, 0, item, tag, None, "",
+            kept.get("id"), cls, kept.get("href"), kept.get("src"), kept.get("dir")])
         before = self.last_child.get(parent)
         if before:
-            self.columns["next_elem"][self.base + before - 1] = at
+            self.rows[before - 1][_NEXT] = at
         self.last_child[parent] = at
         if tag not in _VOID:
-            self.open.append((tag, at, self.columns["item"][-1]))
+            self.open.append((tag, at, item))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -131,30 +129,36 @@ class _Nodes(HTMLParser):
                 self._close_to(depth)
                 return
 
+    def _add_text(self, kind: int, text: str, gap: str) -> None:
+        _, parent, item = self.open[-1] if self.open else ("", 0, 0)
+        self.rows.append([
+            kind, parent, len(self.rows) + 1, 0, item, None, text, gap, None, None, None, None, None])
+
     def handle_data(self, data):
         if self.joined:
-            self.columns["text"][-1] += data
+            self.rows[-1][_TEXT] += data
             return
         if self.open and self.open[-1][0] in ("script", "style", "template"):
-            self._add(HIDDEN, text=data)
-        elif data.strip():
-            self._add(TEXT, text=data, gap=self.gap)
-            self.gap = ""
+            self._add_text(HIDDEN, data, "")
+        elif data.isspace():
+            self._add_text(TEXT, data, "")   # a blank run leaves the break to the next text
         else:
-            self._add(TEXT, text=data)   # a blank run leaves the break to the next text
+            self._add_text(TEXT, data, self.gap)
+            self.gap = ""
         self.joined = True
 
     def handle_comment(self, data):
         self.joined = False
-        self._add(HIDDEN, text=data)
+        self._add_text(HIDDEN, data, "")
 
-    def read(self, html: str) -> None:
+    def read(self, html: str) -> list[list]:
         try:
             self.feed(html)
             self.close()
         except AssertionError:
             pass   # a declaration the parser rejects ends the page there
         self._close_to(0)
+        return self.rows
 
 
 def _arrow_nodes(rendered: bool):
@@ -162,13 +166,14 @@ def _arrow_nodes(rendered: bool):
         for whole in batches:
             for start in range(0, whole.num_rows, _PAGES_PER_BATCH):
                 batch = whole.slice(start, _PAGES_PER_BATCH)
-                columns: dict[str, list] = {name: [] for name in _FIELDS}
+                rows: list[list] = []
                 offsets = [0]
                 for html in batch.column("html"):
-                    _Nodes(columns, rendered).read(html.as_py() or "")
-                    offsets.append(len(columns["kind"]))
+                    rows.extend(_Nodes(rendered).read(html.as_py() or ""))
+                    offsets.append(len(rows))
+                columns = zip(*rows) if rows else ([] for _ in _ARROW)
                 nodes = pa.StructArray.from_arrays(
-                    [pa.array(columns[f.name], f.type) for f in _ARROW], fields=list(_ARROW))
+                    [pa.array(c, f.type) for c, f in zip(columns, _ARROW)], fields=list(_ARROW))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
                 keep = [n for n in batch.schema.names if n != "html"]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [lists], keep + ["nodes"])
