@@ -1,10 +1,11 @@
 """Summaries of sold prices.
 
 A popular query may hold a large part of all prices, so no group of prices is
-ever brought together. Prices are first counted per (query, source, price), then
-rolled up to one row per whole dollar; ranks come from running sums over those
-dollar rows, whose number is bounded by the price bounds. A dollar row keeps its
-own prices, at most one per cent of a dollar.
+ever brought together. Prices are counted per (query, source, price band), which
+partial aggregation does before the shuffle; there are a few hundred bands. Running
+sums over the band rows tell in which band a rank lies; only the prices of that band
+are then looked at, and being in cents they are few thousand at most per query for
+ordinary prices, 100,000 for the dearest band.
 """
 
 from __future__ import annotations
@@ -16,60 +17,66 @@ from resalelens.functions import money
 from resalelens.operators.first import first_rows
 
 KEYS = ["query", "source"]
+BAND = [*KEYS, "band"]
 
 
-def _dollar_rows(comps: DataFrame) -> DataFrame:
-    """One row per (query, source, dollar), with the number of prices before it.
+def _copies(comps: DataFrame) -> Column:
+    return F.sum("copies") if "copies" in comps.columns else F.count(F.lit(1))
 
-    ``comps`` has ``query, source, price`` and may have ``copies``.
+
+def _banded(comps: DataFrame) -> DataFrame:
+    """Add the price cut to its two leading digits; whole dollars below a hundred."""
+    width = F
+    for digits in range(2, 9):
+        width = width.when(F.col("price") < 10 ** digits, 10 ** (digits - 2))
+    width = width.otherwise(10 ** 7)
+    return comps.withColumn("band", F.floor(F.col("price") / width) * width)
+
+
+def _before(n: str, w) -> Column:
+    """Running sum of the rows before this one."""
+    return F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+
+
+def comp_stats(comps: DataFrame) -> DataFrame:
+    """Average, upper median, lowest, highest and number of prices per query and source.
+
+    ``comps`` has ``query, source, price`` and may have ``copies``. It is read twice:
+    pass a stored table, partitioned by source at scale, not a page extraction.
     """
-    copies = F.sum("copies") if "copies" in comps.columns else F.count(F.lit(1))
-    steps = comps.groupBy(*KEYS, "price").agg(copies.alias("copies"))
-    exact = F.col("price").cast("decimal(18,4)") * F.col("copies").cast("decimal(18,0)")
-    dollars = (
-        steps.withColumn("dollar", F.floor("price"))
-        .groupBy(*KEYS, "dollar")
-        .agg(
-            F.sum("copies").alias("n"),
-            F.sum(exact).alias("total"),
-            F.min("price").alias("low"),
-            F.max("price").alias("high"),
-            F.sort_array(F.collect_list(F.struct("price", "copies"))).alias("steps"),
-        )
+    exact = F.col("price").cast("decimal(18,4)")
+    if "copies" in comps.columns:
+        exact = exact * F.col("copies").cast("decimal(18,0)")
+    bands = _banded(comps).groupBy(*BAND).agg(
+        _copies(comps).alias("n"),
+        F.sum(exact).alias("total"),
+        F.min("price").alias("low"),
+        F.max("price").alias("high"),
     )
-    w = Window.partitionBy(*KEYS).orderBy("dollar")
+    w = Window.partitionBy(*KEYS).orderBy("band")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dollars
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")))
+    middle = F.floor(F.col("count") / 2)
+    targets = (
+        bands
+        .withColumn("before", _before("n", w))
         .withColumn("count", F.sum("n").over(whole))
         .withColumn("total", F.sum("total").over(whole))
         .withColumn("low", F.min("low").over(whole))
         .withColumn("high", F.max("high").over(whole))
+        .filter((F.col("before") <= middle) & (middle < F.col("before") + F.col("n")))
+        .select(*BAND, (middle - F.col("before")).alias("rank"), "total", "low", "high", "count")
     )
-
-
-def _price_at(steps: Column, rank: Column) -> Column:
-    """Price at a zero-based rank within the sorted steps of one dollar row."""
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("hit"))
-
-    def step(acc: Column, s: Column) -> Column:
-        seen = acc["seen"] + s["copies"]
-        hit = F.when(acc["hit"].isNull() & (seen > rank), s["price"]).otherwise(acc["hit"])
-        return F.struct(seen.alias("seen"), hit.alias("hit"))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["hit"])
-
-
-def comp_stats(comps: DataFrame) -> DataFrame:
-    """Average, upper median, lowest, highest and number of prices per query and source."""
-    middle = F.floor(F.col("count") / 2)
-    rows = _dollar_rows(comps).filter((F.col("before") <= middle) & (middle < F.col("before") + F.col("n")))
-    return rows.select(
+    facts = ["rank", "total", "low", "high", "count"]
+    steps = (
+        _banded(comps).join(targets, BAND)
+        .groupBy(*KEYS, "price", *facts).agg(_copies(comps).alias("n"))
+        .withColumn("seen", _before("n", Window.partitionBy(*KEYS).orderBy("price")))
+        .filter((F.col("seen") <= F.col("rank")) & (F.col("rank") < F.col("seen") + F.col("n")))
+    )
+    return steps.select(
         *KEYS,
         money.cents(F.col("total").cast("double") / F.col("count")).alias("avg"),
-        money.cents(_price_at(F.col("steps"), middle - F.col("before"))).alias("median"),
+        money.cents(F.col("price")).alias("median"),
         money.cents(F.col("low")).alias("low"),
         money.cents(F.col("high")).alias("high"),
         F.col("count"),
@@ -78,17 +85,14 @@ def comp_stats(comps: DataFrame) -> DataFrame:
 
 def price_list(comps: DataFrame) -> DataFrame:
     """Sorted prices of each query and source as rows: price, copies, first rank."""
-    rows = _dollar_rows(comps).select(*KEYS, "before", "steps", F.posexplode("steps").alias("i", "step"))
-    earlier = F.aggregate(
-        F.slice(F.col("steps"), F.lit(1), F.col("i")), F.lit(0).cast("long"),
-        lambda acc, s: acc + s["copies"],
-    )
-    return rows.select(
-        *KEYS,
-        F.col("step.price").alias("price"),
-        F.col("step.copies").alias("copies"),
-        (F.col("before") + earlier + 1).alias("first_rank"),
+    steps = (
+        _banded(comps).groupBy(*BAND, "price").agg(_copies(comps).alias("copies"))
+        .withColumn("within", _before("copies", Window.partitionBy(*BAND).orderBy("price")))
     )
+    bands = _banded(comps).groupBy(*BAND).agg(_copies(comps).alias("n")).select(
+        *BAND, _before("n", Window.partitionBy(*KEYS).orderBy("band")).alias("before"))
+    return steps.join(bands, BAND).select(
+        *KEYS, "price", "copies", (F.col("before") + F.col("within") + 1).alias("first_rank"))
 
 
 def market_value(items: DataFrame, prices: DataFrame, sample: int = S.MARKET_SAMPLE) -> DataFrame:

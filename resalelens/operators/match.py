@@ -108,7 +108,7 @@ def matched_prices(queries: DataFrame, sold: DataFrame) -> DataFrame:
     """Prices of each query's matching sold titles: ``query, source, price, copies``.
 
     ``queries`` has ``query, terms``; ``sold`` has ``terms, source, price``. Equal
-    sales are counted before they are matched.
+    sales are counted before they are matched and again per query.
     """
     q, t = keyed(queries.distinct(), "query_key"), keyed(sold, "title_key")
     pairs = match_sets(distinct_sets(q, "query_key"), distinct_sets(t, "title_key"))
@@ -116,5 +116,5 @@ def matched_prices(queries: DataFrame, sold: DataFrame) -> DataFrame:
     return (
         pairs.join(counted, "title_key")
         .join(q.select("query", "query_key"), "query_key")
-        .select("query", "source", "price", "copies")
+        .groupBy("query", "source", "price").agg(F.sum("copies").alias("copies"))
     )

@@ -27,7 +27,7 @@ def stats_by_title(listings: DataFrame, sold: DataFrame) -> DataFrame:
         .withColumn("terms", text.term_set(F.col("query")))
     )
     named = sold.select(text.term_set(F.col("title")).alias("terms"), "source", "price")
-    return comps.comp_stats(match.matched_prices(wanted, named))
+    return comps.comp_stats(written(match.matched_prices(wanted, named), "matched-prices"))
 
 
 def _optional(df: DataFrame, name: str, default: Column) -> Column:
