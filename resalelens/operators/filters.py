@@ -46,25 +46,47 @@ def zip_table(centroids: DataFrame) -> DataFrame:
     )
 
 
+def _miles_from(centroids: DataFrame, home_zip: str, miles: float | None = None) -> DataFrame | None:
+    """Distance of every code from home, of those within ``miles`` if given."""
+    zips = zip_table(centroids)
+    home = zips.filter(F.col("zip") == home_zip).first()   # one row: codes are unique
+    if home is None:
+        return None
+    lat0, lon0 = F.lit(home["lat"]), F.lit(home["lon"])
+    if miles is not None:
+        zips = zips.filter(near_latitude(F.col("lat"), lat0, miles))
+    far = zips.select("zip", miles_between(lat0, lon0, F.col("lat"), F.col("lon")).alias("miles"))
+    return far if miles is None else far.filter(F.col("miles") <= miles)
+
+
 def within_radius(listings: DataFrame, centroids: DataFrame, home_zip: str, miles: float) -> DataFrame:
     """Listings whose ``zip`` lies within ``miles`` of ``home_zip``; adds ``miles``.
 
     Distances are worked out once per code, not once per listing, and only codes
     inside the radius reach the join.
     """
-    zips = zip_table(centroids)
-    home = zips.filter(F.col("zip") == home_zip).first()   # one row: codes are unique
-    if home is None:
+    near = _miles_from(centroids, home_zip, miles)
+    if near is None:
         return listings.filter(F.lit(False)).withColumn("miles", F.lit(0.0))
-    lat0, lon0 = F.lit(home["lat"]), F.lit(home["lon"])
-    near = (
-        zips.filter(near_latitude(F.col("lat"), lat0, miles))
-        .select("zip", miles_between(lat0, lon0, F.col("lat"), F.col("lon")).alias("miles"))
-        .filter(F.col("miles") <= miles)
-    )
     return listings.join(F.broadcast(near), "zip")
 
 
+def not_too_far(records: DataFrame, centroids: DataFrame, home_zip: str, miles: float) -> DataFrame:
+    """Records without those whose location names a code more than ``miles`` away.
+
+    A location without a known code stays: its distance cannot be told.
+    """
+    far = _miles_from(centroids, home_zip)
+    if far is None:
+        return records
+    zip_code = F.nullif(F.regexp_extract("location", r"\b(\d{5})(?:-\d{4})?\b", 1), F.lit(""))
+    return (
+        records.withColumn("zip", zip_code).join(F.broadcast(far), "zip", "left")
+        .filter(F.col("miles").isNull() | (F.col("miles") <= miles))
+        .drop("zip", "miles")
+    )
+
+
 def missing_fields(df: DataFrame, required: list[str]) -> DataFrame:
     """Number of rows that lack each required field, as one row per field."""
     def lacking(name: str) -> Column:

@@ -8,6 +8,8 @@ from resalelens import settings as S
 from resalelens.functions import money, scoring, text
 from resalelens.operators import comps, filters, match, ranking
 from resalelens.operators.storage import written
+from resalelens.sources import cards
+from resalelens.sources.records import detail_fields
 
 
 def with_queries(listings: DataFrame) -> DataFrame:
@@ -102,6 +104,26 @@ def ranked_deals(listings: DataFrame, stats: DataFrame, **thresholds: float) ->
     return ranking.numbered(found, ranking.best_first())
 
 
+def deals_from_pages(
+    index_pages: DataFrame, sold: DataFrame, detail_pages: DataFrame | None = None,
+    max_rows: int | None = S.MAX_LISTINGS, **thresholds: float,
+) -> DataFrame:
+    """Captured pages and sold titles to numbered deals.
+
+    Index pages give the listings, detail pages better titles and descriptions, and
+    the sold titles that hold a listing's terms its comps. Listings are written before
+    and after their details, so that every page is parsed once, and detail pages only
+    of listings with a price.
+    """
+    found = cards.distinct_listings(cards.listings_of(cards.scan_cards(index_pages)), max_rows)
+    listings = written(found.filter(filters.has_price(F.col("price"))), "listings")
+    if detail_pages is not None:
+        wanted = detail_pages.join(listings.select("url"), "url", "left_semi")
+        listings = written(cards.with_details(listings, detail_fields(wanted)), "detailed")
+    listings = with_queries(listings)
+    return ranked_deals(listings, stats_by_title(listings, sold), **thresholds)
+
+
 def funnel(
     found: DataFrame, unique: DataFrame, stats: DataFrame,
     min_ratio: float = S.MIN_RATIO, min_profit: float = S.MIN_PROFIT,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from resalelens import settings as S
 from resalelens.functions import money, scoring
 
 
@@ -32,6 +33,34 @@ def deal_report(deals: DataFrame) -> DataFrame:
     )
 
 
+def deal_block(reports: DataFrame) -> DataFrame:
+    """Text block of each report row."""
+    # Fixed value: the lines of a block, in order.
+    line = (
+        "--- DEAL #%d ---\nTITLE:           %s\nURL:             %s\nCURRENT PRICE:   %s\n"
+        "TIME REMAINING:  %s\nBIDS:            %d\nRESALE COMPS (%s):\n  Avg:    %s\n  Median: %s\n"
+        "  Range:  %s\n  Comps:  %s\n  Est. resale value: %s\nPROFIT RATIO:    %s\nEST. PROFIT:     %s\n"
+        "CONFIDENCE:      %s\nRISK FLAGS:      %s\nRECOMMENDATION:  %s"
+    )
+    parts = [
+        "deal_number", "title", "url", "current_price", "time_remaining", "bids", "comps_label", "avg", "median",
+        "range", "comps", "resale", "ratio", "profit", "confidence", "risk", "recommendation",
+    ]
+    return reports.select("deal_number", F.format_string(line, *parts).alias("block"))
+
+
+def pick_line(deals: DataFrame) -> DataFrame:
+    """One line on each deal; meant for the top pick."""
+    c = F.col
+    place = F.when(c("comps_source") == S.PRIMARY_SOURCE, "eBay").otherwise("FB Marketplace")
+    dollars = [F.format_number(c(n), 0) for n in ("price", "resale_estimate", "est_profit")]
+    plain = [F.replace(d, F.lit(","), F.lit("")) for d in dollars]
+    text = F.concat(
+        F.lit("TOP PICK: "), c("title"), F.lit(" - bid at $"), plain[0], F.lit(", resells for ~$"), plain[1],
+        F.lit(" on "), place, F.lit(" - "), F.format_number(c("profit_ratio"), 1), F.lit("x return (~$"), plain[2], F.lit(" profit)"))
+    return deals.select("url", text.alias("line"))
+
+
 def summary_table(deals: DataFrame) -> DataFrame:
     """Short form of each numbered deal: cut title and time, money, verdict."""
     c = F.col

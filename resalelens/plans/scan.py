@@ -54,18 +54,22 @@ def kept_items(records: DataFrame, values: DataFrame, min_profit: float = S.MIN_
 
 def scan(
     records: DataFrame, prices: DataFrame, as_of: Column,
-    max_bid: float = 1500.0, min_profit: float = S.MIN_PROFIT, hours: int = S.CLOSING_HOURS,
+    config: S.ScanConfig = S.ScanConfig(), centroids: DataFrame | None = None, hours: int = S.CLOSING_HOURS,
 ) -> DataFrame:
     """Records of fetched pages to kept items.
 
-    ``prices`` has ``item, pos, price``: sold prices per title, in page order. The
-    checked records are written once, so that pages are parsed once and prices are
-    read for their titles only.
+    ``prices`` has ``item, pos, price``: sold prices per title, in page order. With
+    a table of centroids the radius of the config applies. The checked records are
+    written once, so that pages are parsed once and prices are read for their titles
+    only.
     """
-    checked = written(worth_checking(records, as_of, max_bid, hours), "checked")
+    checked = worth_checking(records, as_of, config.max_bid, hours)
+    if centroids is not None:
+        checked = filters.not_too_far(checked, centroids, config.your_zip, config.radius_miles)
+    checked = written(checked, "checked")
     titles = checked.select(F.col("title").alias("item")).distinct()
     needed = prices.join(titles, "item", "left_semi")
-    return kept_items(checked, comps.market_value(titles, needed), min_profit)
+    return kept_items(checked, comps.market_value(titles, needed), config.min_profit)
 
 
 def items_out(items: DataFrame) -> DataFrame:

@@ -191,6 +191,34 @@ def report_rows(spark, d):
     return report.deal_report(numbered_part_deals(spark, d))
 
 
+@query(f"""WITH {PART_DEALS_SQL}
+SELECT {RANK_SQL} AS deal_number, '--- DEAL #' || {RANK_SQL} || ' ---' || chr(10)
+  || 'TITLE:           ' || title || chr(10) || 'URL:             ' || url || chr(10)
+  || 'CURRENT PRICE:   ' || CASE WHEN price_str <> '' THEN price_str ELSE printf('$%.2f', price) END || chr(10)
+  || 'TIME REMAINING:  ' || time_left || chr(10) || 'BIDS:            ' || bids || chr(10)
+  || 'RESALE COMPS (' || CASE comps_source WHEN 'ebay_sold' THEN 'eBay Sold Listings' ELSE 'Facebook Marketplace Phoenix' END
+  || '):' || chr(10) || '  Avg:    ' || {_usd("comps_avg")} || chr(10) || '  Median: ' || {_usd("comps_median")} || chr(10)
+  || '  Range:  ' || {_usd("comps_low")} || ' – ' || {_usd("comps_high")} || chr(10)
+  || '  Comps:  ' || comps_count || ' listings' || chr(10) || '  Est. resale value: ' || {_usd("resale_estimate")} || chr(10)
+  || 'PROFIT RATIO:    ' || format('{{:,.1f}}', profit_ratio) || 'x' || chr(10)
+  || 'EST. PROFIT:     ' || {_usd("est_profit")} || chr(10) || 'CONFIDENCE:      ' || confidence || chr(10)
+  || 'RISK FLAGS:      ' || CASE risk WHEN '' THEN 'None' ELSE risk END || chr(10) || 'RECOMMENDATION:  '
+  || CASE WHEN profit_ratio >= 2.5 AND confidence <> 'LOW' THEN 'BUY' WHEN profit_ratio >= 1.8 THEN 'WATCH' ELSE 'SKIP' END
+    AS block
+FROM deal""")
+def deal_blocks(spark, d):
+    return report.deal_block(report.deal_report(numbered_part_deals(spark, d)))
+
+
+@query(f"""WITH {PART_DEALS_SQL}
+SELECT url, 'TOP PICK: ' || title || ' - bid at $' || format('{{:.0f}}', price) || ', resells for ~$'
+  || format('{{:.0f}}', resale_estimate) || ' on ' || CASE comps_source WHEN 'ebay_sold' THEN 'eBay' ELSE 'FB Marketplace' END
+  || ' - ' || format('{{:,.1f}}', profit_ratio) || 'x return (~$' || format('{{:.0f}}', est_profit) || ' profit)' AS line
+FROM deal ORDER BY profit_ratio DESC, pos LIMIT 1""")
+def pick_line(spark, d):
+    return report.pick_line(ranking.top_deals(part_deals(spark, d)))
+
+
 @query(f"""WITH {PART_DEALS_SQL}
 SELECT {RANK_SQL} AS number, substr(title, 1, 35) AS item,
   CASE WHEN price_str <> '' THEN price_str ELSE printf('$%.2f', price) END AS bid,

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from resalelens.functions import dates
+from resalelens import settings as S
+from resalelens.functions import dates, money
 from resalelens.functions.urls import absolutize
 from resalelens.operators.filters import has_title
 from resalelens.operators.first import first_per_key
+from resalelens.plans import deals
 from resalelens.sources import cards, dom, links, prices, records
 from resalelens.sources.records import SiteRule
 from workload.registry import query
-from workload.standins import table
+from workload.standins import DEAL_SQL, SCORED_SQL, STATS_SQL, UNIT_SQL, table, unit_price
 
 TEXT_SQL = r"""trim(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))"""
 
@@ -261,3 +263,51 @@ def record_table(spark, d) -> DataFrame:
     """Records of the auction pages with parsed closing dates."""
     found = records.extract_records(auction_pages(spark, d))
     return found.withColumn("ends", dates.end_date(F.col("end_date")))
+
+
+# --- pages to deals -------------------------------------------------------------------
+
+def detail_pages(spark, d) -> DataFrame:
+    """A detail page for half of the parts; some say untested, some have a title that is too short."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    html = F.concat(
+        F.lit("<h1>"), F.when(size % 8 == 0, "abc").otherwise(F.upper("p_name")), F.lit("</h1><div class='item-desc'>"),
+        F.when(size % 6 == 0, "Sold untested").otherwise("Works"), F.lit("</div>"))
+    return table(spark, d, "part").filter(size % 2 == 0).select(
+        F.col("p_partkey").alias("page_id"),
+        F.concat(F.lit("https://www.publicsurplus.com/sms/auction/view?auc="), key).alias("url"), html.alias("html"))
+
+
+def sold_titles(spark, d) -> DataFrame:
+    """Sales of parts under the part's name and brand."""
+    names = table(spark, d, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.concat_ws(" - ", "p_name", "p_brand").alias("title"))
+    second = F.col("l_returnflag") == "A"
+    return table(spark, d, "lineitem").filter(F.col("l_returnflag").isin("R", "A")).join(names, "l_partkey").select(
+        "title", F.when(second, S.SECONDARY_SOURCE).otherwise(S.PRIMARY_SOURCE).alias("source"), unit_price().alias("price"),
+    ).filter(money.between_exclusive(F.col("price"), S.SCORER_BOUNDS))
+
+
+@query(f"""WITH comp AS (
+  SELECT * FROM (
+    SELECT p_name AS query, CASE l_returnflag WHEN 'R' THEN 'ebay_sold' ELSE 'facebook_marketplace' END AS source, {UNIT_SQL} AS price
+    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('R', 'A'))
+  WHERE price > 0.99 AND price < 50000),
+{STATS_SQL},
+asked AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id,
+    CASE WHEN p_size % 2 = 0 AND p_size % 8 <> 0 THEN upper(p_name)
+         ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') END AS title,
+    p_retailprice AS price, CASE WHEN p_size % 6 = 0 THEN 'as-is' ELSE '' END AS card_text,
+    p_name AS query, p_name AS query2, p_partkey AS pos
+  FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1),
+{SCORED_SQL}, {DEAL_SQL}
+SELECT row_number() OVER (ORDER BY profit_ratio DESC, pos) AS deal_number, id, title, price, comps_avg, comps_median, comps_count,
+  title AS comps_query, resale_estimate, profit_ratio, est_profit, confidence, risk
+FROM deal""")
+def deals_from_pages(spark, d):
+    """The whole deterministic scan: index and detail pages, sold titles, numbered deals."""
+    found = deals.deals_from_pages(index_pages(spark, d), sold_titles(spark, d), detail_pages(spark, d), max_rows=None)
+    return found.select(
+        "deal_number", "id", "title", "price", "comps_avg", "comps_median", "comps_count", "comps_query",
+        "resale_estimate", "profit_ratio", "est_profit", "confidence", F.array_join("risk_flags", ", ").alias("risk"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from resalelens.functions import money
-from resalelens.operators import posting
+from resalelens.operators import filters, posting
 from resalelens.operators.storage import fresh_path
 from resalelens.plans import post, report, scan
 from resalelens.sources import logs, records
@@ -48,6 +48,37 @@ def scan_items(spark, d):
     return scan.items_out(kept_items(spark, d)).withColumn("photos", F.array_join("photos", " "))
 
 
+PLACE_SQL = """place AS (
+  SELECT n_nationkey, printf('%05d', 85001 + n_nationkey * 7) AS zip,
+         33.45 + n_nationkey * 0.2 AS lat, -112.07 + n_nationkey * 0.15 AS lon FROM nation),
+far AS (
+  SELECT z.zip, 2 * 3958.7613 * asin(sqrt(
+      pow(sin(radians(z.lat - h.lat) / 2), 2)
+      + cos(radians(h.lat)) * cos(radians(z.lat)) * pow(sin(radians(z.lon - h.lon) / 2), 2))) AS miles
+  FROM place z, place h WHERE h.n_nationkey = 0)"""
+
+
+@query(f"""WITH {PLACE_SQL}, sited AS (
+  SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Yard ' || c_custkey || ', AZ ' || printf('%05d', 85001 + c_nationkey * 7)
+    WHEN 1 THEN 'AZ ' || printf('%05d', 85001 + c_nationkey * 7) || '-1234' WHEN 2 THEN 'Tempe' ELSE 'code 00001' END AS location,
+    CASE WHEN o_orderkey % 4 < 2 THEN printf('%05d', 85001 + c_nationkey * 7) END AS zip
+  FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT o_orderkey, location FROM sited LEFT JOIN far USING (zip) WHERE miles IS NULL OR miles <= 100""")
+def near_home(spark, d):
+    """Records whose location does not name a place too far away."""
+    key = F.col("n_nationkey")
+    centroids = table(spark, d, "nation").select(
+        F.format_string("%05d", F.lit(85001) + key * 7).alias("zip"),
+        (F.lit(33.45) + key * F.lit(0.2)).alias("lat"), (F.lit(-112.07) + key * F.lit(0.15)).alias("lon"))
+    kind, code = F.col("o_orderkey") % 4, F.format_string("%05d", F.lit(85001) + F.col("c_nationkey") * 7)
+    sited = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_orderkey",
+        F.when(kind == 0, F.concat(F.lit("Yard "), F.col("c_custkey").cast("string"), F.lit(", AZ "), code))
+        .when(kind == 1, F.concat(F.lit("AZ "), code, F.lit("-1234")))
+        .when(kind == 2, "Tempe").otherwise("code 00001").alias("location"))
+    return filters.not_too_far(sited, centroids, "85001", 100.0)
+
+
 @query(f"""WITH {SCAN_SQL}
 SELECT url, 'ITEM: ' || title || ' | LOT: ' || lot || ' | SITE: ' || site || ' | URL: ' || url || chr(10)
   || 'BID: $' || format('{{:,.0f}}', bid) || ' | MARKET VALUE: $' || format('{{:,.0f}}', market_value)
