@@ -25,12 +25,12 @@ def _copies(comps: DataFrame) -> Column:
 
 
 def _banded(comps: DataFrame) -> DataFrame:
-    """Add the price cut to its two leading digits; whole dollars below a hundred."""
+    """Priced rows with the price cut to its two leading digits; whole dollars below a hundred."""
     width = F
     for digits in range(2, 9):
         width = width.when(F.col("price") < 10 ** digits, 10 ** (digits - 2))
     width = width.otherwise(10 ** 7)
-    return comps.withColumn("band", F.floor(F.col("price") / width) * width)
+    return comps.filter(F.col("price").isNotNull()).withColumn("band", F.floor(F.col("price") / width) * width)
 
 
 def _before(n: str, w) -> Column:

@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from resalelens.functions.text import strip
 
-ELEMENT, TEXT, HIDDEN = 0, 1, 2   # HIDDEN: comments, scripts, styles
+# Kinds of node. HIDDEN are comments; RAW is the text of the RAW_TAGS, which counts as
+# text of those elements only.
+ELEMENT, TEXT, HIDDEN, RAW = 0, 1, 2, 3
+RAW_TAGS = ("script", "style", "template")
 
 NODE = T.StructType([
     T.StructField("kind", T.IntegerType()),
@@ -35,6 +38,7 @@ NODE = T.StructType([
 _STOP, _NEXT, _TEXT = (NODE.names.index(n) for n in ("stop", "next_elem", "text"))
 _ARROW = pa.struct([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in NODE.fields])
 _PAGES_PER_BATCH = 256
+_TOP = ("", 0, 0, False)
 
 # Fixed values of HTML: elements without content, elements that start a new line,
 # and elements whose start ends an open one of the listed kinds.
@@ -67,14 +71,14 @@ class _Nodes(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rendered = rendered
         self.rows: list[list] = []
-        self.open: list[tuple[str, int, int]] = []   # tag, position, nearest item
+        self.open: list[tuple[str, int, int, bool]] = []   # tag, position, nearest item, raw
         self.last_child: dict[int, int] = {}
         self.gap = ""
-        self.joined = False                          # last event was text
+        self.joined = False                                # last event was text
 
     def _close_to(self, depth: int) -> None:
         here = len(self.rows)
-        for tag, at, _ in self.open[depth:]:
+        for tag, at, _, _ in self.open[depth:]:
             self.rows[at - 1][_STOP] = here
             if tag in _LINE:
                 self.gap = "\n"
@@ -99,7 +103,7 @@ class _Nodes(HTMLParser):
             self.gap = "\n"
         elif tag in ("td", "th") and not self.gap:
             self.gap = "\t"
-        _, parent, item = self.open[-1] if self.open else ("", 0, 0)
+        _, parent, item, raw = self.open[-1] if self.open else _TOP
         kept: dict[str, str] = {}
         for name, value in attrs:
             if name in _ATTRS:
@@ -116,7 +120,7 @@ class _Nodes(HTMLParser):
             self.rows[before - 1][_NEXT] = at
         self.last_child[parent] = at
         if tag not in _VOID:
-            self.open.append((tag, at, item))
+            self.open.append((tag, at, item, raw or tag in RAW_TAGS))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -130,7 +134,7 @@ class _Nodes(HTMLParser):
                 return
 
     def _add_text(self, kind: int, text: str, gap: str) -> None:
-        _, parent, item = self.open[-1] if self.open else ("", 0, 0)
+        _, parent, item, _ = self.open[-1] if self.open else _TOP
         self.rows.append([
             kind, parent, len(self.rows) + 1, 0, item, None, text, gap, None, None, None, None, None])
 
@@ -138,8 +142,8 @@ class _Nodes(HTMLParser):
         if self.joined:
             self.rows[-1][_TEXT] += data
             return
-        if self.open and self.open[-1][0] in ("script", "style", "template"):
-            self._add_text(HIDDEN, data, "")
+        if self.open and self.open[-1][3]:
+            self._add_text(RAW, data, "")
         elif data.isspace():
             self._add_text(TEXT, data, "")   # a blank run leaves the break to the next text
         else:
@@ -151,6 +155,13 @@ class _Nodes(HTMLParser):
         self.joined = False
         self._add_text(HIDDEN, data, "")
 
+    def unknown_decl(self, data):
+        if data.upper().startswith("CDATA["):
+            self.handle_data(data[6:])
+            self.joined = False
+        else:
+            self.handle_comment(data)
+
     def read(self, html: str) -> list[list]:
         try:
             self.feed(html)
@@ -196,8 +207,10 @@ def node_rows(paged: DataFrame) -> DataFrame:
 
 def _texts(nodes: Column, at: Column) -> Column:
     """Text nodes inside the element at a position."""
-    inside = F.slice(nodes, at, F.element_at(nodes, at)["stop"] - at + 1)
-    return F.filter(inside, lambda n: n["kind"] == TEXT)
+    element = F.element_at(nodes, at)
+    raw = F.coalesce(element["tag"].isin(*RAW_TAGS), F.lit(False))
+    inside = F.slice(nodes, at, element["stop"] - at + 1)
+    return F.filter(inside, lambda n: (n["kind"] == TEXT) | (raw & (n["kind"] == RAW)))
 
 
 def raw_text(nodes: Column, at: Column, sep: str = "") -> Column:

@@ -21,7 +21,7 @@ def record(spark, url, html, **kw):
     return df.first().asDict()
 
 
-LAYOUT_A = """<html><head><title>x</title><script>var s = "Current Bid $9";</script></head><body>
+LAYOUT_A = """<html><head><title>x</title><script>var s = "$9";</script></head><body>
 <!-- High Bid $8 --><h1> Table <b>saw</b>
 </h1><h2>no</h2>
 <p>Current Bid: $0.00</p><p>Minimum Bid <b>(2 bids)</b> $1,250.50</p>
@@ -111,6 +111,15 @@ def test_script_text_is_no_element_text(spark):
     assert df.select(dom.raw_text(F.col("nodes"), F.lit(1))).first()[0] == "ae"
 
 
+@pytest.mark.parametrize("html, bid", [
+    ("<script>x = 'High Bid 9'</script><p>Current Bid $5</p>", 9.0),          # a script's own text counts
+    ("<div><!-- Current Bid --><script>7</script>now $5</div>", 5.0),          # a comment labels its parent
+    ("<template><p>Current Bid $9</p></template><p>Current Bid $5</p>", 5.0),
+])
+def test_labels_in_hidden_text(spark, html, bid):
+    assert record(spark, "https://www.publicsurplus.com/x", html)["current_bid"] == bid
+
+
 INDEX = """<a href="/home">Home</a><table><tr><td><a href="/sms/auction/view?auc=1"><img></a></td><td>#1 - OLD drill</td><td>$5.00</td></tr>
 <tr><td><a href="/sms/auction/view?auc=1">again</a><td>x</table>
 <div class="big ps-card"><p><a href="https://www.publicsurplus.com/sms/auction/view?auc=2">Band saw</a><p>Price $1,200.50 or $7<div>2 Days</div><b>AZ</b><br>3 bids</div>
