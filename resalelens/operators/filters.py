@@ -74,12 +74,14 @@ def within_radius(listings: DataFrame, centroids: DataFrame, home_zip: str, mile
 def not_too_far(records: DataFrame, centroids: DataFrame, home_zip: str, miles: float) -> DataFrame:
     """Records without those whose location names a code more than ``miles`` away.
 
-    A location without a known code stays: its distance cannot be told.
+    The last five-digit number of a location is its code, since a street number comes
+    before it. A location without a known code stays: its distance cannot be told.
     """
     far = _miles_from(centroids, home_zip)
     if far is None:
         return records
-    zip_code = F.nullif(F.regexp_extract("location", r"\b(\d{5})(?:-\d{4})?\b", 1), F.lit(""))
+    codes = F.regexp_extract_all("location", F.lit(r"\b(\d{5})(?:-\d{4})?\b"), F.lit(1))
+    zip_code = F.try_element_at(codes, F.lit(-1))
     return (
         records.withColumn("zip", zip_code).join(F.broadcast(far), "zip", "left")
         .filter(F.col("miles").isNull() | (F.col("miles") <= miles))

@@ -12,17 +12,20 @@ _HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)
 _TAG = r"<[^>]*>"
 
 # The character references that occur in links and link texts.
-_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_REFERENCES = (("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#39", "'"), ("&nbsp", " "), ("&amp", "&"))
 
 
-def unescape(c: Column) -> Column:
+def unescape(c: Column, attribute: bool = False) -> Column:
+    """Resolve references. The semicolon may be missing; in an attribute only where no
+    letter, digit or equals sign follows."""
+    end = r"(?:;|(?![=A-Za-z0-9]))" if attribute else ";?"
     for name, char in _REFERENCES:
-        c = F.replace(c, F.lit(name), F.lit(char))
+        c = F.regexp_replace(c, name + end, char)
     return c
 
 
 def _href(anchor: Column) -> Column:
-    return unescape(F.concat(*[F.regexp_extract(anchor, _HREF, g) for g in (1, 2, 3)]))
+    return unescape(F.concat(*[F.regexp_extract(anchor, _HREF, g) for g in (1, 2, 3)]), attribute=True)
 
 
 def anchors(html: Column) -> Column:

@@ -211,6 +211,15 @@ def test_radius(spark):
     assert near(500, "00000") == []
 
 
+def test_not_too_far(spark):
+    zips = spark.createDataFrame([("85001", 33.45, -112.07), ("90001", 33.97, -118.25)], "zip STRING, lat DOUBLE, lon DOUBLE")
+    places = ["Phoenix, AZ 85001-1234", "90001 Main St, Phoenix 85001", "Los Angeles 90001", "Tempe", "code 00000", None]
+    df = spark.createDataFrame(list(enumerate(places)), "id INT, location STRING")
+    kept = filters.not_too_far(df, zips, "85001", 100.0)
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 3, 4, 5] and kept.columns == df.columns
+    assert filters.not_too_far(df, zips, "11111", 100.0).count() == 6
+
+
 def test_open_long_enough_edges(spark):
     df = spark.sql("""SELECT * FROM VALUES (1, TIMESTAMP'2026-01-02 00:00:00'), (2, TIMESTAMP'2026-01-01 23:59:59'), (3, NULL)
                       AS t(id, ends)""")

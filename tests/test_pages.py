@@ -176,6 +176,12 @@ def test_links(spark):
     assert [r["href"] for r in links.first_links(df, 1, "^/[pz]").collect()] == ["/plain"]
 
 
+def test_references_without_semicolon(spark):
+    df = pages(spark, (1, "", "<a href='/x?a=1&amplitude=2&amp'>A &amp B&amp</a>"))
+    r = links.scan_links(df).first()
+    assert (r["href"], r["text"]) == ("/x?a=1&amplitude=2&", "A & B&")
+
+
 # --- config, state, logs, sinks -------------------------------------------------------
 
 def test_config(spark, tmp_path):

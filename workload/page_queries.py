@@ -15,7 +15,8 @@ from resalelens.sources.records import SiteRule
 from workload.registry import query
 from workload.standins import DEAL_SQL, SCORED_SQL, STATS_SQL, UNIT_SQL, table, unit_price
 
-TEXT_SQL = r"""trim(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))"""
+TEXT_SQL = r"""trim(replace(replace(replace(replace(replace(regexp_replace({}, '&(lt|gt|quot|#39|nbsp|amp);?', '&\1;', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'))"""
 
 LINK_SQL = r"""found AS (
   SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,

@@ -208,7 +208,7 @@ def stream_merge(spark, d):
 
 
 @query("""SELECT page_id, CASE WHEN contains(url, '.example.com') THEN 'com' WHEN contains(url, '.example.org') THEN 'org' END AS site,
-  trim(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&amp;', '&')) AS title
+  trim(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;?', '&', 'g'), '&quot;', '"')) AS title
 FROM pages WHERE contains(url, '.example.com') OR contains(url, '.example.org')""")
 def stream_records(spark, d):
     """Records of newly captured pages, appended exactly once."""
