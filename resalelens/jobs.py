@@ -1,0 +1,102 @@
+"""Jobs for ``spark-submit resalelens/jobs.py <job> ...``: tables in, tables out.
+
+deals   index pages, sold titles and optional detail pages to ranked deals
+scan    listings, pages, sold prices and found items to new items
+watch   newly captured detail pages to the found-records table, as a stream
+"""
+
+from __future__ import annotations
+
+import argparse
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from pyspark.sql import SparkSession, functions as F  # noqa: E402
+
+from resalelens import settings as S  # noqa: E402
+from resalelens.operators.storage import written  # noqa: E402
+from resalelens.plans import deals, report, scan  # noqa: E402
+from resalelens.session import session  # noqa: E402
+from resalelens.sources import config, found, records  # noqa: E402
+from resalelens.streaming import incremental  # noqa: E402
+
+PAGE_SCHEMA = "page_id LONG, url STRING, html STRING"
+
+
+def run_deals(spark: SparkSession, a: argparse.Namespace) -> None:
+    details = spark.read.parquet(a.details) if a.details else None
+    ranked = deals.deals_from_pages(
+        spark.read.parquet(a.index), spark.read.parquet(a.sold), details, a.max,
+        min_ratio=a.min_ratio, min_profit=a.min_profit)
+    if a.json:
+        found.write_deals(ranked, a.out)
+    else:
+        report.deal_report(ranked).write.mode("overwrite").parquet(a.out)
+
+
+def run_scan(spark: SparkSession, a: argparse.Namespace) -> None:
+    table = config.read_config(spark, a.config)
+    row = table.drop("searches").first()   # one row of parameters
+    params = S.ScanConfig(**row.asDict(), searches=())
+    known = found.read_found(spark, a.found)
+    links = scan.links_to_fetch(
+        spark.read.parquet(a.listings), config.searches_of(table), known, params.max_listings_per_search)
+    pages = spark.read.parquet(a.pages).join(links, "url", "left_semi")
+    centroids = spark.read.parquet(a.zips) if a.zips else None
+    as_of = F.lit(a.as_of).cast("timestamp") if a.as_of else F.current_timestamp()
+    items = written(scan.scan(
+        records.extract_records(pages), spark.read.parquet(a.prices), as_of, params, centroids), "items")
+    found.write_items(scan.items_out(items), a.out)
+    found.append_found(items, a.found, order="url")
+
+
+def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
+    pages = incremental.captures(spark, a.pages, spark.createDataFrame([], PAGE_SCHEMA).schema, a.files)
+    fresh = records.accepted(records.extract_records(pages))
+    incremental.keep_found(fresh, a.found, a.state, order="page_id").awaitTermination()
+
+
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    jobs = p.add_subparsers(dest="job", required=True)
+
+    d = jobs.add_parser("deals")
+    d.add_argument("--index", required=True, help="pages: page_id, html")
+    d.add_argument("--sold", required=True, help="sold titles: title, source, price")
+    d.add_argument("--details", help="pages: page_id, url, html")
+    d.add_argument("--out", required=True)
+    d.add_argument("--min-ratio", type=float, default=S.MIN_RATIO)
+    d.add_argument("--min-profit", type=float, default=S.MIN_PROFIT)
+    d.add_argument("--max", type=int, help="row cap; none by default")
+    d.add_argument("--json", action="store_true", help="raw deals as JSON lines instead of report rows")
+    d.set_defaults(run=run_deals)
+
+    s = jobs.add_parser("scan")
+    s.add_argument("--config", default="config.json")
+    s.add_argument("--listings", required=True, help="url, title, category, state, price, pos")
+    s.add_argument("--pages", required=True, help="page_id, url, html")
+    s.add_argument("--prices", required=True, help="sold prices: item, pos, price")
+    s.add_argument("--found", required=True, help="found-items table, read and added to")
+    s.add_argument("--zips", help="centroids: zip, lat, lon")
+    s.add_argument("--as-of", help="time of the scan, now by default")
+    s.add_argument("--out", required=True)
+    s.set_defaults(run=run_scan)
+
+    w = jobs.add_parser("watch")
+    w.add_argument("--pages", required=True, help="folder of captured pages")
+    w.add_argument("--found", required=True)
+    w.add_argument("--state", required=True, help="stream checkpoint folder")
+    w.add_argument("--files", type=int, help="files per batch")
+    w.set_defaults(run=run_watch)
+    return p
+
+
+def main(argv: list[str] | None = None) -> None:
+    args = parser().parse_args(argv)
+    args.run(session(), args)
+
+
+if __name__ == "__main__":
+    main()

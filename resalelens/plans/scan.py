@@ -7,9 +7,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from resalelens import settings as S
 from resalelens.functions import dates, money, scoring
 from resalelens.operators import comps, filters, found as found_ops, search
+from resalelens.operators.first import capped
 from resalelens.operators.storage import written
 
 
+def closing_nearby(
+    listings: DataFrame, centroids: DataFrame, as_of: Column, config: S.ScanConfig = S.ScanConfig(),
+    hours: int = S.DEFAULT_HOURS, max_rows: int = S.MAX_LISTINGS,
+) -> DataFrame:
+    """Listings near home that close soon, soonest first: the first page of a site's search.
+
+    ``listings`` has ``close_ts, zip, pos``. The time filter reaches the scan.
+    """
+    soon = filters.closing_within(listings, as_of, hours)
+    near = filters.within_radius(soon, centroids, config.your_zip, config.radius_miles)
+    return capped(near, max_rows, ["close_ts", "pos"])
+
+
 def links_to_fetch(listings: DataFrame, searches: DataFrame, found: DataFrame, cap: int) -> DataFrame:
     """Links of all search entries, capped per entry, that no earlier scan has kept."""
     matches = search.capped_per_search(search.search_matches(listings, searches), cap)

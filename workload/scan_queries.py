@@ -58,6 +58,28 @@ far AS (
   FROM place z, place h WHERE h.n_nationkey = 0)"""
 
 
+def _centroids(spark, d) -> DataFrame:
+    key = F.col("n_nationkey")
+    return table(spark, d, "nation").select(
+        F.format_string("%05d", F.lit(85001) + key * 7).alias("zip"),
+        (F.lit(33.45) + key * F.lit(0.2)).alias("lat"), (F.lit(-112.07) + key * F.lit(0.15)).alias("lon"))
+
+
+@query(f"""WITH {PLACE_SQL}
+SELECT o_orderkey AS pos, o_orderdate AS close_ts, zip, round(miles, 3) AS miles
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN far ON zip = printf('%05d', 85001 + c_nationkey * 7)
+WHERE o_orderdate >= TIMESTAMP '1998-06-01' AND o_orderdate <= TIMESTAMP '1998-06-01' + INTERVAL 72 HOUR AND miles <= 100
+ORDER BY o_orderdate, o_orderkey LIMIT 50""")
+def closing_nearby(spark, d):
+    """Closing within 72 hours and 100 miles, soonest first, 50 at most."""
+    code = F.format_string("%05d", F.lit(85001) + F.col("c_nationkey") * 7)
+    places = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), code.alias("zip"))
+    listings = table(spark, d, "orders").join(places, "o_custkey").select(
+        F.col("o_orderkey").alias("pos"), F.col("o_orderdate").alias("close_ts"), "zip")
+    found = scan.closing_nearby(listings, _centroids(spark, d), F.lit("1998-06-01").cast("timestamp_ntz"))
+    return found.select("pos", "close_ts", "zip", F.round("miles", 3).alias("miles"))
+
+
 @query(f"""WITH {PLACE_SQL}, sited AS (
   SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Yard ' || c_custkey || ', AZ ' || printf('%05d', 85001 + c_nationkey * 7)
     WHEN 1 THEN 'AZ ' || printf('%05d', 85001 + c_nationkey * 7) || '-1234' WHEN 2 THEN 'Tempe' ELSE 'code 00001' END AS location,
@@ -66,17 +88,13 @@ far AS (
 SELECT o_orderkey, location FROM sited LEFT JOIN far USING (zip) WHERE miles IS NULL OR miles <= 100""")
 def near_home(spark, d):
     """Records whose location does not name a place too far away."""
-    key = F.col("n_nationkey")
-    centroids = table(spark, d, "nation").select(
-        F.format_string("%05d", F.lit(85001) + key * 7).alias("zip"),
-        (F.lit(33.45) + key * F.lit(0.2)).alias("lat"), (F.lit(-112.07) + key * F.lit(0.15)).alias("lon"))
     kind, code = F.col("o_orderkey") % 4, F.format_string("%05d", F.lit(85001) + F.col("c_nationkey") * 7)
     sited = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(
         "o_orderkey",
         F.when(kind == 0, F.concat(F.lit("Yard "), F.col("c_custkey").cast("string"), F.lit(", AZ "), code))
         .when(kind == 1, F.concat(F.lit("AZ "), code, F.lit("-1234")))
         .when(kind == 2, "Tempe").otherwise("code 00001").alias("location"))
-    return filters.not_too_far(sited, centroids, "85001", 100.0)
+    return filters.not_too_far(sited, _centroids(spark, d), "85001", 100.0)
 
 
 @query(f"""WITH {SCAN_SQL}
