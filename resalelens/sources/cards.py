@@ -22,7 +22,7 @@ def scan_cards(pages: DataFrame) -> DataFrame:
     def card_of(at: Column) -> Column:
         anchor = F.element_at(nodes, at)
         frame = F.when(anchor["item"] > 0, anchor["item"]).otherwise(anchor["parent"])
-        card = F.coalesce(dom.rendered_text(nodes, F.nullif(frame, F.lit(0))), F.lit(""))
+        card = dom.rendered_text(nodes, frame)
         return F.struct(
             anchor["href"].alias("href"),
             text.strip(dom.rendered_text(nodes, at)).alias("anchor_text"),

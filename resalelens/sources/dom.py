@@ -22,7 +22,7 @@ RAW_TAGS = ("script", "style", "template")
 
 NODE = T.StructType([
     T.StructField("kind", T.IntegerType()),
-    T.StructField("parent", T.IntegerType()),      # 1-based position; 0 at the top
+    T.StructField("parent", T.IntegerType()),      # 1-based position; 0 for the document
     T.StructField("stop", T.IntegerType()),        # last position inside the element
     T.StructField("next_elem", T.IntegerType()),   # next sibling element; 0 if none
     T.StructField("item", T.IntegerType()),        # nearest list item around it; 0 if none
@@ -38,7 +38,7 @@ NODE = T.StructType([
 _STOP, _NEXT, _TEXT = (NODE.names.index(n) for n in ("stop", "next_elem", "text"))
 _ARROW = pa.struct([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in NODE.fields])
 _PAGES_PER_BATCH = 256
-_TOP = ("", 0, 0, False)
+_DOCUMENT = "#document"   # tag of the node around all others, always at position 1
 
 # Fixed values of HTML: elements without content, elements that start a new line,
 # and elements whose start ends an open one of the listed kinds.
@@ -70,8 +70,8 @@ class _Nodes(HTMLParser):
     def __init__(self, rendered: bool):
         super().__init__(convert_charrefs=True)
         self.rendered = rendered
-        self.rows: list[list] = []
-        self.open: list[tuple[str, int, int, bool]] = []   # tag, position, nearest item, raw
+        self.rows: list[list] = [[ELEMENT, 0, 1, 0, 0, _DOCUMENT, None, "", *[None] * 5]]
+        self.open = [(_DOCUMENT, 1, 0, False)]             # tag, position, nearest item, raw
         self.last_child: dict[int, int] = {}
         self.gap = ""
         self.joined = False                                # last event was text
@@ -103,7 +103,7 @@ class _Nodes(HTMLParser):
             self.gap = "\n"
         elif tag in ("td", "th") and not self.gap:
             self.gap = "\t"
-        _, parent, item, raw = self.open[-1] if self.open else _TOP
+        _, parent, item, raw = self.open[-1]
         kept: dict[str, str] = {}
         for name, value in attrs:
             if name in _ATTRS:
@@ -134,7 +134,7 @@ class _Nodes(HTMLParser):
                 return
 
     def _add_text(self, kind: int, text: str, gap: str) -> None:
-        _, parent, item, _ = self.open[-1] if self.open else _TOP
+        _, parent, item, _ = self.open[-1]
         self.rows.append([
             kind, parent, len(self.rows) + 1, 0, item, None, text, gap, None, None, None, None, None])
 
@@ -142,7 +142,7 @@ class _Nodes(HTMLParser):
         if self.joined:
             self.rows[-1][_TEXT] += data
             return
-        if self.open and self.open[-1][3]:
+        if self.open[-1][3]:
             self._add_text(RAW, data, "")
         elif data.isspace():
             self._add_text(TEXT, data, "")   # a blank run leaves the break to the next text
@@ -182,9 +182,8 @@ def _arrow_nodes(rendered: bool):
                 for html in batch.column("html"):
                     rows.extend(_Nodes(rendered).read(html.as_py() or ""))
                     offsets.append(len(rows))
-                columns = zip(*rows) if rows else ([] for _ in _ARROW)
                 nodes = pa.StructArray.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, _ARROW)], fields=list(_ARROW))
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], fields=list(_ARROW))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
                 keep = [n for n in batch.schema.names if n != "html"]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [lists], keep + ["nodes"])

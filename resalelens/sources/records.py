@@ -124,7 +124,7 @@ def _first_text(values: Column, test) -> Column:
 
 def _labelled(nodes: Column, pattern: str) -> Column:
     """Parents of the text nodes that carry a label, in document order."""
-    labels = F.filter(nodes, lambda n: (n["kind"] != dom.ELEMENT) & (n["parent"] > 0) & n["text"].rlike(pattern))
+    labels = F.filter(nodes, lambda n: (n["kind"] != dom.ELEMENT) & n["text"].rlike(pattern))
     return F.transform(labels, lambda n: n["parent"])
 
 
