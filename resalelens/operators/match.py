@@ -7,8 +7,8 @@ on the title's own terms. Equal term sets are matched once, on both sides.
 Very common lookup terms are split over several salts, taken from a table of the
 most frequent terms whose size is fixed.
 
-Term sets and rarest terms are read several times, so they are written once to the
-shared folder instead of being worked out again from the texts.
+Distinct term sets and rarest terms are read several times, so they are written once
+to the shared folder. The tables they come from are read twice and never copied.
 """
 
 from __future__ import annotations
@@ -22,17 +22,14 @@ ROWS_PER_SALT = 200_000
 
 
 def set_key(terms: Column) -> Column:
-    """128-bit digest under which equal sorted term arrays meet."""
-    return F.unhex(F.md5(F.array_join(terms, "\n").cast("binary")))
+    """128-bit digest under which equal sorted term arrays meet; never NULL."""
+    digest = F.unhex(F.md5(F.array_join(terms, "\n").cast("binary")))
+    return F.coalesce(digest, F.lit(bytearray()))
 
 
-def keyed(df: DataFrame, key: str) -> DataFrame:
-    """Rows with the digest of their terms, written once."""
-    return written(df.withColumn(key, set_key(F.col("terms"))), key)
-
-
-def distinct_sets(rows: DataFrame, key: str) -> DataFrame:
-    """One row per term set of keyed rows, written once."""
+def distinct_sets(df: DataFrame, key: str) -> DataFrame:
+    """One row per term set, written once. Copies meet before the shuffle."""
+    rows = df.select(set_key(F.col("terms")).alias(key), "terms")
     return written(rows.groupBy(key).agg(F.any_value("terms").alias("terms")), f"{key}-sets")
 
 
@@ -95,13 +92,10 @@ def term_match(queries: DataFrame, titles: DataFrame) -> DataFrame:
 
     ``queries`` has ``query_id, terms``; ``titles`` has ``title_id, terms``.
     """
-    q, t = keyed(queries, "query_key"), keyed(titles, "title_key")
-    pairs = match_sets(distinct_sets(q, "query_key"), distinct_sets(t, "title_key"))
-    return (
-        pairs.join(q.select("query_id", "query_key"), "query_key")
-        .join(t.select("title_id", "title_key"), "title_key")
-        .select("query_id", "title_id")
-    )
+    pairs = match_sets(distinct_sets(queries, "query_key"), distinct_sets(titles, "title_key"))
+    q = queries.select("query_id", set_key(F.col("terms")).alias("query_key"))
+    t = titles.select("title_id", set_key(F.col("terms")).alias("title_key"))
+    return pairs.join(q, "query_key").join(t, "title_key").select("query_id", "title_id")
 
 
 def matched_prices(queries: DataFrame, sold: DataFrame) -> DataFrame:
@@ -110,11 +104,13 @@ def matched_prices(queries: DataFrame, sold: DataFrame) -> DataFrame:
     ``queries`` has ``query, terms``; ``sold`` has ``terms, source, price``. Equal
     sales are counted before they are matched and again per query.
     """
-    q, t = keyed(queries.distinct(), "query_key"), keyed(sold, "title_key")
-    pairs = match_sets(distinct_sets(q, "query_key"), distinct_sets(t, "title_key"))
-    counted = t.groupBy("title_key", "source", "price").agg(F.count(F.lit(1)).alias("copies"))
+    pairs = match_sets(distinct_sets(queries, "query_key"), distinct_sets(sold, "title_key"))
+    q = queries.select("query", set_key(F.col("terms")).alias("query_key")).distinct()
+    counted = (
+        sold.select(set_key(F.col("terms")).alias("title_key"), "source", "price")
+        .groupBy("title_key", "source", "price").agg(F.count(F.lit(1)).alias("copies"))
+    )
     return (
-        pairs.join(counted, "title_key")
-        .join(q.select("query", "query_key"), "query_key")
+        pairs.join(counted, "title_key").join(q, "query_key")
         .groupBy("query", "source", "price").agg(F.sum("copies").alias("copies"))
     )
