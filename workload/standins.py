@@ -66,20 +66,18 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extende
 
 
 def part_comps(spark: SparkSession, d: str, primary=None) -> DataFrame:
-    """Flag R is the primary source, flag A the secondary."""
-    first = F.col("l_returnflag") == "R"
-    if primary is not None:
-        first = first & primary
-    second = F.col("l_returnflag") == "A"
-    return (
-        table(spark, d, "lineitem").filter(first | second)
-        .select(
-            F.col("l_partkey").cast("string").alias("query"),
-            F.when(second, S.SECONDARY_SOURCE).otherwise(S.PRIMARY_SOURCE).alias("source"),
-            unit_price().alias("price"),
+    """Flag R is the primary source, flag A the secondary.
+
+    A union of the two, so that a filter on the source becomes one on the flag.
+    """
+    def side(flag: str, source: str, extra=None) -> DataFrame:
+        keep = F.col("l_returnflag") == flag
+        return (
+            table(spark, d, "lineitem").filter(keep if extra is None else keep & extra)
+            .select(F.col("l_partkey").cast("string").alias("query"), F.lit(source).alias("source"), unit_price().alias("price"))
+            .filter(money.between_exclusive(F.col("price"), S.SCORER_BOUNDS))
         )
-        .filter(money.between_exclusive(F.col("price"), S.SCORER_BOUNDS))
-    )
+    return side("R", S.PRIMARY_SOURCE, primary).unionByName(side("A", S.SECONDARY_SOURCE))
 
 
 def comp_sql(primary: str = "true") -> str:
