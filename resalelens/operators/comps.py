@@ -126,7 +126,8 @@ def with_comps(listings: DataFrame, stats: DataFrame) -> DataFrame:
 
     ``listings`` has ``query`` and ``query2``, the terms looked up in the primary
     and in the secondary source. The secondary counts only where the primary has
-    fewer than three prices and the secondary has more.
+    fewer than three prices and the secondary has more. ``stats`` is read once per
+    source: pass a stored table.
     """
     def side(source: str, key: str, name: str) -> DataFrame:
         return stats.filter(F.col("source") == source).select(

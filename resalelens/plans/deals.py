@@ -22,14 +22,17 @@ def with_queries(listings: DataFrame) -> DataFrame:
 def stats_by_title(listings: DataFrame, sold: DataFrame) -> DataFrame:
     """Comp stats of every query, from the sold titles that hold all of its terms.
 
-    ``listings`` has ``query, query2``; ``sold`` has ``title, source, price``.
+    ``listings`` has ``query, query2``; ``sold`` has ``title, source, price``. The
+    stats are written, one row per query and source, since deals read them once per
+    source.
     """
     wanted = (
         listings.select(F.explode(F.array("query", "query2")).alias("query")).distinct()
         .withColumn("terms", text.term_set(F.col("query")))
     )
     named = sold.select(text.term_set(F.col("title")).alias("terms"), "source", "price")
-    return comps.comp_stats(written(match.matched_prices(wanted, named), "matched-prices"))
+    prices = written(match.matched_prices(wanted, named), "matched-prices")
+    return written(comps.comp_stats(prices), "stats")
 
 
 def _optional(df: DataFrame, name: str, default: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from resalelens.functions import money, scoring, text, urls
 from resalelens.operators import comps, match, ranking
 from resalelens.operators.first import first_per_title
+from resalelens.operators.storage import written
 from resalelens.plans import deals, report
 from workload.registry import cents_sql, query, words_sql
 from workload.standins import (
@@ -22,7 +23,8 @@ RANK_SQL = "row_number() OVER (ORDER BY profit_ratio DESC, pos)"
 
 
 def part_stats(spark, d) -> DataFrame:
-    return comps.comp_stats(part_comps(spark, d))
+    """Stored stats: deals read them once per source."""
+    return written(comps.comp_stats(part_comps(spark, d)), "stats")
 
 
 def part_deals(spark, d) -> DataFrame:
@@ -50,7 +52,7 @@ def top_pick(spark, d):
 
 @query(f"WITH {comp_sql()},\n{STATS_SQL}\nSELECT * FROM stats")
 def comp_stats(spark, d):
-    return part_stats(spark, d)
+    return comps.comp_stats(part_comps(spark, d))
 
 
 @query(f"""WITH {comp_sql()}
@@ -138,7 +140,7 @@ def comp_price_mid(spark, d):
 SELECT id, c.source AS comps_source, c.count AS comps_count, c.median AS comps_median FROM scored""")
 def comp_fallback(spark, d):
     """Few primary prices, so that the secondary source is often taken."""
-    stats = comps.comp_stats(part_comps(spark, d, F.col("l_discount") == 0.05))
+    stats = written(comps.comp_stats(part_comps(spark, d, F.col("l_discount") == 0.05)), "stats")
     return comps.with_comps(with_part_query(part_listings(spark, d)), stats).select(
         "id", F.col("comps.source").alias("comps_source"), F.col("comps.count").alias("comps_count"),
         F.col("comps.median").alias("comps_median"))
