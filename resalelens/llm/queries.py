@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from resalelens.llm import bpe, line_dedup, token_files, url_rules
+from resalelens.llm import bpe, embedding_dedup, line_dedup, minhash, token_files, url_rules
 from resalelens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,15 @@ FROM judged"""
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+@query()
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query()
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
