@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from resalelens.llm import bpe, embedding_dedup, line_dedup, minhash, token_files, url_rules
+from resalelens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, minhash, token_files, url_rules
 from resalelens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,31 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return embedding_dedup.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query()
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    languages, model = language.train(docs, "text", "lang")
+    found = language.identify(docs, "text", languages, model, F.col("lang"), F.col("source"))
+    return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), F.col("accepted").alias("kept"))
+
+
+@query()
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same evidence where all of it exists: raw pages with markup and addresses."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    languages, model = language.train(docs, "text", "lang")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    plain = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1))
+    ready = pages.select("page_id", plain.alias("text"), declared.alias("declared"), url_rules.url_parts(F.col("url"))[0].alias("host"))
+    found = language.identify(ready, "text", languages, model, F.col("declared"), F.col("host"))
+    return found.select("page_id", "host", "declared", "language", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
+@query()
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("_m")).select("doc_id", "_m.*")
