@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from resalelens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, minhash, ngram_lm, token_files, url_rules
+from resalelens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, minhash, ngram_lm, suffix_dedup, token_files, url_rules
 from resalelens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,10 @@ def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
     scored = ngram_lm.score_texts(docs, docs.filter("NOT held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.drop_repeats(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
