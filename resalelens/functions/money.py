@@ -72,3 +72,8 @@ def price_label(price_str: Column, price: Column) -> Column:
     """Price text as captured, else ``$0.00`` form of the number."""
     shown = F.when(F.length(price_str) > 0, price_str)
     return F.coalesce(shown, F.format_string("$%.2f", F.coalesce(price, F.lit(0.0))))
+
+
+def plain(amount: Column) -> Column:
+    """Amount in cents as text without an exponent, with one decimal at least."""
+    return F.regexp_replace(amount.cast("decimal(22,2)").cast("string"), r"0$", "")

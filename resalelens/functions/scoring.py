@@ -47,10 +47,19 @@ def source_label(source: Column) -> Column:
     return F.when(source == S.PRIMARY_SOURCE, S.PRIMARY_LABEL).otherwise(S.SECONDARY_LABEL)
 
 
+# Units of weight and how many pounds they are.
+WEIGHT_UNITS = ((r"(?:lbs?|pounds?)\b", 1.0), (r"tons?\b", 2000.0), (r"(?:kgs?|kilos?|kilograms?)\b", 2.2046226218))
+
+
 def weight_lb(text: Column) -> Column:
-    """Weight named in a text, in pounds; NULL if none."""
-    digits = F.regexp_extract(F.lower(text), r"(\d[\d,]*(?:\.\d+)?)\s*(?:lbs?|pounds?)\b", 1)
-    return F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
+    """Largest weight named in a text, in pounds; NULL if none."""
+    number = r"(\d[\d,]*(?:\.\d+)?)\s*"
+
+    def largest(unit: str, pounds: float) -> Column:
+        digits = F.regexp_extract_all(F.lower(text), F.lit(number + unit), F.lit(1))
+        return F.array_max(F.transform(digits, lambda d: F.replace(d, F.lit(","), F.lit("")).try_cast("double") * pounds))
+
+    return F.greatest(*(largest(unit, pounds) for unit, pounds in WEIGHT_UNITS))
 
 
 def excluded_kind(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 deals   index pages, sold titles and optional detail pages to ranked deals
 scan    listings, pages, sold prices and found items to new items
+post    numbered items to posting rows under the daily cap, and the report of attempts
 watch   newly captured detail pages to the found-records table, as a stream
 """
 
@@ -16,8 +17,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
 from resalelens import settings as S  # noqa: E402
+from resalelens.operators.first import first_per_key  # noqa: E402
+from resalelens.operators.search import in_state  # noqa: E402
 from resalelens.operators.storage import written  # noqa: E402
-from resalelens.plans import deals, report, scan  # noqa: E402
+from resalelens.plans import deals, post, report, scan  # noqa: E402
 from resalelens.session import session  # noqa: E402
 from resalelens.sources import config, found, records  # noqa: E402
 from resalelens.streaming import incremental  # noqa: E402
@@ -41,17 +44,28 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> None:
     row = table.drop("searches").first()   # one row of parameters
     params = S.ScanConfig(**row.asDict(), searches=())
     known = found.read_found(spark, a.found)
-    links = scan.links_to_fetch(
-        spark.read.parquet(a.listings), config.searches_of(table), known, params.max_listings_per_search)
-    pages = spark.read.parquet(a.pages).join(links, "url", "left_semi")
+    searches = in_state(config.searches_of(table), params.state)
+    links = scan.links_to_fetch(spark.read.parquet(a.listings), searches, known, params.max_listings_per_search)
+    # The latest capture of each page.
+    pages = first_per_key(spark.read.parquet(a.pages).join(links, "url", "left_semi"), "url", [F.col("page_id").desc()])
     centroids = spark.read.parquet(a.zips) if a.zips else None
     as_of = F.lit(a.as_of).cast("timestamp") if a.as_of else F.current_timestamp()
-    items = written(scan.scan(
-        records.extract_records(pages), spark.read.parquet(a.prices), as_of, params, centroids), "items")
+    read = written(records.extract_records(pages), "records")
+    if a.rejects:
+        records.rejects(read).write.mode("overwrite").parquet(a.rejects)
+    items = written(scan.scan(read, spark.read.parquet(a.prices), as_of, params, centroids), "items")
     found.write_items(scan.items_out(items), a.out)
     found.append_found(items, a.found, order="url")
 
 
+def run_post(spark: SparkSession, a: argparse.Namespace) -> None:
+    params = config.read_config(spark, a.config).first()   # one row of parameters
+    post.export(spark.read.parquet(a.items), a.choice, params["your_city_state"], params["max_daily_posts"]).write.mode(
+        "overwrite").parquet(a.out)
+    if a.attempts and a.report:
+        post.posted(spark.read.parquet(a.attempts), params["max_daily_posts"]).write.mode("overwrite").parquet(a.report)
+
+
 def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
     pages = incremental.captures(spark, a.pages, spark.createDataFrame([], PAGE_SCHEMA).schema, a.files)
     fresh = records.accepted(records.extract_records(pages))
@@ -81,9 +95,19 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--found", required=True, help="found-items table, read and added to")
     s.add_argument("--zips", help="centroids: zip, lat, lon")
     s.add_argument("--as-of", help="time of the scan, now by default")
+    s.add_argument("--rejects", help="table of pages that gave no record, with the reason")
     s.add_argument("--out", required=True)
     s.set_defaults(run=run_scan)
 
+    q = jobs.add_parser("post")
+    q.add_argument("--config", default="config.json")
+    q.add_argument("--items", required=True, help="items numbered in n")
+    q.add_argument("--choice", default="all", help="all, none, or numbers such as 1,3,5")
+    q.add_argument("--attempts", help="posted_on, n, title, ok, reason")
+    q.add_argument("--report", help="where the report of the attempts goes")
+    q.add_argument("--out", required=True)
+    q.set_defaults(run=run_post)
+
     w = jobs.add_parser("watch")
     w.add_argument("--pages", required=True, help="folder of captured pages")
     w.add_argument("--found", required=True)

@@ -108,8 +108,8 @@ def market_value(items: DataFrame, prices: DataFrame, sample: int = S.MARKET_SAM
         F.count(F.lit(1)).alias("n"),
     )
     span = F.concat(
-        F.lit("$"), money.cents(F.col("low")).cast("string"),
-        F.lit("–$"), money.cents(F.col("high")).cast("string"),
+        F.lit("$"), money.plain(money.cents(F.col("low"))),
+        F.lit("–$"), money.plain(money.cents(F.col("high"))),
     )
     return items.join(stats, "item", "left").select(
         *items.columns,

@@ -37,21 +37,27 @@ def closing_within(listings: DataFrame, as_of: Column, hours: int = S.DEFAULT_HO
     return listings.filter((close >= as_of) & (close <= as_of + F.make_dt_interval(hours=F.lit(hours))))
 
 
+def five_digits(code: Column) -> Column:
+    """Five-digit code of a plain or nine-digit one; NULL for anything else."""
+    found = F.regexp_extract(code, r"^\s*(\d{5})(?:-?\d{4})?\s*$", 1)
+    return F.when(found != "", found)
+
+
 def zip_table(centroids: DataFrame) -> DataFrame:
     """One centroid per five-digit code, which bounds the table at 100,000 rows."""
-    five = centroids.filter(F.col("zip").rlike(r"^\d{5}$"))
+    five = centroids.withColumn("zip", five_digits(F.col("zip"))).filter("zip IS NOT NULL")
     return five.groupBy("zip").agg(
         F.min_by("lat", F.struct("lat", "lon")).alias("lat"),
         F.min_by("lon", F.struct("lat", "lon")).alias("lon"),
     )
 
 
-def _miles_from(centroids: DataFrame, home_zip: str, miles: float | None = None) -> DataFrame | None:
+def _miles_from(centroids: DataFrame, home_zip: str, miles: float | None = None) -> DataFrame:
     """Distance of every code from home, of those within ``miles`` if given."""
     zips = zip_table(centroids)
-    home = zips.filter(F.col("zip") == home_zip).first()   # one row: codes are unique
+    home = zips.filter(F.col("zip") == five_digits(F.lit(home_zip))).first()   # one row: codes are unique
     if home is None:
-        return None
+        raise ValueError(f"no centroid for the home code {home_zip!r}")
     lat0, lon0 = F.lit(home["lat"]), F.lit(home["lon"])
     if miles is not None:
         zips = zips.filter(near_latitude(F.col("lat"), lat0, miles))
@@ -63,12 +69,17 @@ def within_radius(listings: DataFrame, centroids: DataFrame, home_zip: str, mile
     """Listings whose ``zip`` lies within ``miles`` of ``home_zip``; adds ``miles``.
 
     Distances are worked out once per code, not once per listing, and only codes
-    inside the radius reach the join.
+    inside the radius reach the join. Nine-digit codes count as their first five; see
+    :func:`unplaced` for listings whose distance cannot be told.
     """
-    near = _miles_from(centroids, home_zip, miles)
-    if near is None:
-        return listings.filter(F.lit(False)).withColumn("miles", F.lit(0.0))
-    return listings.join(F.broadcast(near), "zip")
+    near = _miles_from(centroids, home_zip, miles).withColumnRenamed("zip", "_zip")
+    return listings.join(F.broadcast(near), five_digits(F.col("zip")) == F.col("_zip")).drop("_zip")
+
+
+def unplaced(listings: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Listings without a code that has a centroid: the rejects of a radius search."""
+    known = zip_table(centroids).select(F.col("zip").alias("_zip"))
+    return listings.join(F.broadcast(known), five_digits(F.col("zip")) == F.col("_zip"), "left_anti")
 
 
 def not_too_far(records: DataFrame, centroids: DataFrame, home_zip: str, miles: float) -> DataFrame:
@@ -78,8 +89,6 @@ def not_too_far(records: DataFrame, centroids: DataFrame, home_zip: str, miles:
     before it. A location without a known code stays: its distance cannot be told.
     """
     far = _miles_from(centroids, home_zip)
-    if far is None:
-        return records
     codes = F.regexp_extract_all("location", F.lit(r"\b(\d{5})(?:-\d{4})?\b"), F.lit(1))
     zip_code = F.try_element_at(codes, F.lit(-1))
     return (

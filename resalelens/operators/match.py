@@ -4,8 +4,9 @@ Each query is looked up by its rarest term only: a title that holds every term
 holds that one. The lookup is therefore an equi-join that yields, per query, no
 more rows than its rarest term has titles, and the other terms are then checked
 on the title's own terms. Equal term sets are matched once, on both sides.
-Very common lookup terms are split over several salts, taken from a table of the
-most frequent terms whose size is fixed.
+A lookup term is split over as many salts as its frequency asks for. Only words that
+some query asks for are counted, and only lookup terms are sent to the join: both
+restrictions are joins with small tables below the exchange.
 
 Distinct term sets and rarest terms are read several times, so they are written once
 to the shared folder. The tables they come from are read twice and never copied.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from resalelens import settings as S
 from resalelens.operators.storage import written
 
 ROWS_PER_SALT = 200_000
@@ -41,11 +41,9 @@ def match_sets(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """
     wanted = queries.select("query_key", F.explode("terms").alias("term"))
     postings = titles.select("title_key", F.explode("terms").alias("term"))
-    # Counted before the join: partial counts take the weight off common terms.
-    freq = (
-        postings.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
-    )
+    # Stored, so that the planner sees how small the table of asked terms is.
+    asked = written(wanted.select("term").distinct(), "asked-terms")
+    freq = postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
 
     # A query with a term no title holds matches nothing.
     rarest = written((
@@ -60,22 +58,10 @@ def match_sets(queries: DataFrame, titles: DataFrame) -> DataFrame:
     ), "rarest")
 
     salts = (F.floor(F.col("freq") / ROWS_PER_SALT) + 1).cast("int")
-    hot = (
-        rarest.filter(F.col("freq") >= ROWS_PER_SALT)
-        .groupBy("term").agg(F.max("freq").alias("freq"))
-        .orderBy(F.col("freq").desc(), "term").limit(S.HOT_TERMS)
-        .select("term", salts.alias("salts"))
-    )
-    slices = F.coalesce(F.col("salts"), F.lit(1))
-    lookups = (
-        rarest.select("query_key", "term")
-        .join(F.broadcast(hot), "term", "left")
-        .select("query_key", "term", F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt"))
-    )
-    salted = (
-        postings.join(F.broadcast(hot), "term", "left")
-        .select("title_key", "term", F.pmod(F.xxhash64("title_key"), slices).cast("int").alias("salt"))
-    )
+    lookups = rarest.select("query_key", "term", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    split = written(rarest.groupBy("term").agg(F.max(salts).alias("salts")), "lookup-terms")
+    salted = postings.join(split, "term").select(
+        "title_key", "term", F.pmod(F.xxhash64("title_key"), F.col("salts")).cast("int").alias("salt"))
     candidates = lookups.join(salted, ["term", "salt"]).select("query_key", "title_key")
 
     return (

@@ -26,8 +26,11 @@ def within_daily_cap(attempts: DataFrame, cap: int) -> DataFrame:
     """Attempts made before a day's cap of successes was reached.
 
     The last attempt of a day is its ``cap``-th success. That success is found from
-    at most ``cap`` rows per day and task, so a busy day needs no running sum.
+    at most ``cap`` rows per day and task, so a busy day needs no running sum. A cap of
+    nothing allows no attempt.
     """
+    if cap < 1:
+        return attempts.filter(F.lit(False))
     last = (
         first_rows(attempts.filter("ok").select("posted_on", "n"), ["posted_on"], ["n"], cap)
         .groupBy("posted_on")

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from resalelens import settings as S
 from resalelens.operators.first import first_rows
-from resalelens.operators.storage import is_small
 
 
 def _wanted() -> Column:
@@ -25,23 +23,26 @@ def search_matches(listings: DataFrame, searches: DataFrame) -> DataFrame:
     """Listings of each search entry: same category, and the entry's other terms.
 
     ``listings`` has ``category, title, state, price``; ``searches`` has
-    ``search_id, category, keywords, state, min_bid, max_bid``. A searches table
-    beyond the broadcast bound is joined on (category, salt), so that a category
-    with many listings is spread over several tasks.
+    ``search_id, category, keywords, state, min_bid, max_bid``. An entry without a
+    category takes all: each listing is looked up by its category and by the empty one.
+    One equi-join at every size: Catalyst broadcasts the entries if they are few, else
+    adaptive execution splits categories with many listings.
     """
-    if is_small(searches, S.MAX_BROADCAST_SEARCHES):
-        right, left, on = F.broadcast(searches), listings, F.col("l.category") == F.col("s.category")
-    else:
-        salts = F.sequence(F.lit(0), F.lit(S.SEARCH_SALTS - 1))
-        right = searches.withColumn("_salt", F.explode(salts))
-        left = listings.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(S.SEARCH_SALTS)).cast("int"))
-        on = (F.col("l.category") == F.col("s.category")) & (F.col("l._salt") == F.col("s._salt"))
+    places = F.array_distinct(F.array(F.coalesce("category", F.lit("")), F.lit("")))
+    left = listings.withColumn("_category", F.explode(places))
+    right = searches.withColumn("_category", F.coalesce("category", F.lit("")))
     return (
-        left.alias("l").join(right.alias("s"), on & _wanted())
-        .select(F.col("s.search_id").alias("search_id"), "l.*").drop("_salt")
+        left.alias("l").join(right.alias("s"), (F.col("l._category") == F.col("s._category")) & _wanted())
+        .select(F.col("s.search_id").alias("search_id"), "l.*").drop("_category")
     )
 
 
+def in_state(searches: DataFrame, state: str) -> DataFrame:
+    """Entries with the scan's state where they name none."""
+    own = F.when(F.col("state") != "", F.col("state"))
+    return searches.withColumn("state", F.coalesce(own, F.lit(state)))
+
+
 def capped_per_search(matches: DataFrame, cap: int) -> DataFrame:
     """First ``cap`` listings of each search entry in scan order."""
     return first_rows(matches, ["search_id"], ["pos"], cap)

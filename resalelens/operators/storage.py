@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -10,18 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only on a local master."""
+    """Folder named by ``spark.checkpoint.dir``. Where it is unset and one process does all
+    the work, a folder of that process, removed at its end."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return _local_dir()
 
 
 @cache
 def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -109,7 +109,7 @@ def ranked_deals(listings: DataFrame, stats: DataFrame, **thresholds: float) ->
 
 def deals_from_pages(
     index_pages: DataFrame, sold: DataFrame, detail_pages: DataFrame | None = None,
-    max_rows: int | None = S.MAX_LISTINGS, **thresholds: float,
+    max_rows: int | None = None, **thresholds: float,
 ) -> DataFrame:
     """Captured pages and sold titles to numbered deals.
 

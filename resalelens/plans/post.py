@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from resalelens.operators import posting
+from resalelens.operators.first import capped
 
 
-def export(items: DataFrame, choice: str, city: str) -> DataFrame:
-    """Posting rows of the chosen items. ``items`` is numbered in ``n``."""
-    return posting.export_rows(posting.selected(items, choice), city)
+def export(items: DataFrame, choice: str, city: str, cap: int | None = None) -> DataFrame:
+    """Posting rows of the chosen items, the first ``cap`` of them if there is a daily cap.
+    ``items`` is numbered in ``n``."""
+    chosen = posting.selected(items, choice)
+    return posting.export_rows(chosen if cap is None else capped(chosen, cap, ["n"]), city)
 
 
 def posted(attempts: DataFrame, cap: int) -> DataFrame:

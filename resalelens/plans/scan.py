@@ -13,7 +13,7 @@ from resalelens.operators.storage import written
 
 def closing_nearby(
     listings: DataFrame, centroids: DataFrame, as_of: Column, config: S.ScanConfig = S.ScanConfig(),
-    hours: int = S.DEFAULT_HOURS, max_rows: int = S.MAX_LISTINGS,
+    hours: int = S.DEFAULT_HOURS, max_rows: int | None = None,
 ) -> DataFrame:
     """Listings near home that close soon, soonest first: the first page of a site's search.
 
@@ -21,7 +21,7 @@ def closing_nearby(
     """
     soon = filters.closing_within(listings, as_of, hours)
     near = filters.within_radius(soon, centroids, config.your_zip, config.radius_miles)
-    return capped(near, max_rows, ["close_ts", "pos"])
+    return near if max_rows is None else capped(near, max_rows, ["close_ts", "pos"])
 
 
 def links_to_fetch(listings: DataFrame, searches: DataFrame, found: DataFrame, cap: int) -> DataFrame:

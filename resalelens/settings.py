@@ -45,13 +45,6 @@ EXCLUDED_WORDS = (
 )
 MAX_WEIGHT_LB = 200.0
 
-# Bounds behind every broadcast in the package.
-MAX_BROADCAST_SEARCHES = 10_000   # rows of the searches table, counted before use
-MAX_ZIPS = 100_000                # five decimal digits
-HOT_TERMS = 1024                  # rows of the hot-term table (a top-k)
-
-SEARCH_SALTS = 32
-
 
 @dataclass(frozen=True)
 class Search:

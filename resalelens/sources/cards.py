@@ -63,7 +63,7 @@ def listings_of(cards: DataFrame, base: str = BASE_URL) -> DataFrame:
     )
 
 
-def distinct_listings(listings: DataFrame, max_rows: int | None = S.MAX_LISTINGS) -> DataFrame:
+def distinct_listings(listings: DataFrame, max_rows: int | None = None) -> DataFrame:
     """First listing per key, then titled ones, then the cap, then first per title.
 
     The order matters: a key is taken even if its first title is bad, and the cap

@@ -162,12 +162,22 @@ class _Nodes(HTMLParser):
         else:
             self.handle_comment(data)
 
-    def read(self, html: str) -> list[list]:
+    def parse_marked_section(self, i, report=1):
+        """A marked section of an unknown kind is a comment up to its next ``>``, and the
+        page goes on after it; one without an end is text."""
         try:
-            self.feed(html)
-            self.close()
+            return super().parse_marked_section(i, report)
         except AssertionError:
-            pass   # a declaration the parser rejects ends the page there
+            end = self.rawdata.find(">", i)
+            if end < 0:
+                self.handle_data(self.rawdata[i:])
+                return len(self.rawdata)
+            self.handle_comment(self.rawdata[i + 2:end])
+            return end + 1
+
+    def read(self, html: str) -> list[list]:
+        self.feed(html)
+        self.close()
         self._close_to(0)
         return self.rows
 

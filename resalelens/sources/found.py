@@ -6,13 +6,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resalelens.operators.found import new_items
-from resalelens.operators.storage import is_small
 
 ITEM_SCHEMA = (
     "title STRING, lot STRING, site STRING, url STRING, bid DOUBLE, market_value DOUBLE, "
     "profit DOUBLE, pickup STRING, ends DATE, photos ARRAY<STRING>"
 )
-MAX_DOCUMENT_ITEMS = 100_000
 
 
 def read_found(spark: SparkSession, path: str, schema: str = ITEM_SCHEMA) -> DataFrame:
@@ -33,21 +31,17 @@ def append_found(batch: DataFrame, path: str, schema: str = ITEM_SCHEMA, order:
 
 
 def write_deals(deals: DataFrame, path: str) -> None:
-    """Deals as JSON lines, one file per task."""
-    deals.write.mode("overwrite").json(path)
+    """Deals as JSON lines in the order of their numbers, if they have any; files sort by
+    name in that order."""
+    ordered = deals.orderBy("deal_number") if "deal_number" in deals.columns else deals
+    ordered.write.mode("overwrite").json(path)
 
 
-def items_document(items: DataFrame, max_items: int = MAX_DOCUMENT_ITEMS) -> DataFrame:
-    """All items as one ``{"items": [...]}`` text; one row even without items.
-
-    For capped scans: the number of search entries times their cap bounds the items.
-    Larger results belong in :func:`write_deals`.
-    """
-    if not is_small(items, max_items):
-        raise ValueError(f"more than {max_items} items: write them as JSON lines")
-    rows = F.sort_array(F.collect_list(F.struct(*items.columns)))
-    return items.agg(F.to_json(F.struct(rows.alias("items"))).alias("json"))
+def items_lines(items: DataFrame) -> DataFrame:
+    """One JSON object per item, absent fields included."""
+    return items.select(F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_items(items: DataFrame, path: str) -> None:
-    items_document(items).write.mode("overwrite").text(path)
+    """Items as JSON lines from all tasks, any number of them; a file even without items."""
+    items_lines(items).write.mode("overwrite").text(path)

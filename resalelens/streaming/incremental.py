@@ -1,8 +1,10 @@
 """Process what was captured since the last run.
 
 State between runs is the stream's checkpoint and the found-items table, both in a
-shared folder. Every batch is written to its own folder by batch id, so a batch that
-is repeated after a failure replaces its own rows and sees only those of others.
+shared folder. Every batch is written to a folder named by the run (the id that Spark
+keeps in the checkpoint) and the batch. A batch that is repeated after a failure replaces
+its own rows and sees those of all others; a run with a new checkpoint, whatever its batch
+borders, sees all that earlier runs have found.
 """
 
 from __future__ import annotations
@@ -34,17 +36,17 @@ def new_keys(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFra
     return timed.dropDuplicatesWithinWatermark(keys)
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType, below: int | None = None) -> DataFrame:
-    """Found items of all batches, or of those before one."""
-    full = T.StructType(schema.fields + [T.StructField(BATCH, T.LongType())])
+def read_batches(spark: SparkSession, path: str, schema: T.StructType, but: str | None = None) -> DataFrame:
+    """Found items of all batches, or of all but one."""
+    full = T.StructType(schema.fields + [T.StructField(BATCH, T.StringType())])
     try:
         df = spark.read.schema(full).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         df = spark.createDataFrame([], full)
-    if below is not None:
-        df = df.filter(F.col(BATCH) < below)
+    if but is not None:
+        df = df.filter(F.col(BATCH) != but)
     return df.drop(BATCH)
 
 
@@ -53,9 +55,10 @@ def keep_found(items: DataFrame, path: str, checkpoint: str, order: str = "pos")
     schema = items.schema
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_batches(batch.sparkSession, path, schema, below=batch_id)
-        added = new_items(batch, earlier, order).select(*schema.names)
-        added.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        spark = batch.sparkSession
+        own = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        added = new_items(batch, read_batches(spark, path, schema, but=own), order).select(*schema.names)
+        added.write.mode("overwrite").parquet(f"{path}/{BATCH}={own}")
 
     return (
         items.writeStream.foreachBatch(upsert)

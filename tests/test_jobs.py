@@ -43,7 +43,7 @@ def test_scan_job_adds_items_once(spark, tmp_path):
     def run():
         jobs.main(["scan", "--config", str(tmp_path / "config.json"), "--listings", listings, "--pages", pages, "--prices", prices,
                    "--zips", zips, "--found", f"{tmp_path}/found", "--as-of", "2026-02-01", "--out", f"{tmp_path}/out"])
-        return json.loads(spark.read.text(f"{tmp_path}/out").first()[0])["items"]
+        return [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/out").collect()]
     first = run()
     assert sorted((i["lot"], i["bid"], i["profit"], i["ends"]) for i in first) == [
         ("0", 50.0, 250.0, "2026-03-01"), ("1", 51.0, 249.0, "2026-03-02")]

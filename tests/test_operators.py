@@ -194,21 +194,36 @@ def test_search_matches(spark, monkeypatch):
     assert pairs(matches) == want
     assert pairs(search.capped_per_search(matches, 2)) == [(0, "u1"), (0, "u2"), (1, "u1"), (2, "u3")]
     assert rows(search.union_of_searches(matches)) == [("u1",), ("u2",), ("u3",), ("u4",)]
-    monkeypatch.setattr(S, "MAX_BROADCAST_SEARCHES", 1)
-    big = search.search_matches(listings, entries)
-    assert pairs(big) == want and big.columns == matches.columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert pairs(search.search_matches(listings, entries)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_search_without_category_takes_all(spark):
+    listings, _ = searched(spark)
+    schema = "search_id INT, category STRING, keywords STRING, state STRING, min_bid DOUBLE, max_bid DOUBLE"
+    entries = spark.createDataFrame([(0, "", "", "", None, None), (1, None, None, None, None, None), (2, "no such", "", "", None, None)], schema)
+    n = listings.count()
+    found = search.search_matches(listings, entries)
+    assert found.columns == ["search_id", *listings.columns]
+    assert found.filter("search_id = 0").count() == found.filter("search_id = 1").count() == n == found.count() / 2
+    assert [r.state for r in search.in_state(entries, "AZ").orderBy("search_id").collect()] == ["AZ"] * 3
 
 
 def test_radius(spark):
     zips = spark.createDataFrame(
         [("85001", 33.45, -112.07), ("85001", 99.0, 0.0), ("85701", 32.22, -110.97), ("90001", 33.97, -118.25), ("x", 33.4, -112.0)],
         "zip STRING, lat DOUBLE, lon DOUBLE")
-    df = spark.createDataFrame([(1, "85001"), (2, "85701"), (3, "90001"), (4, "x"), (5, None)], "id INT, zip STRING")
+    df = spark.createDataFrame([(1, "85001-1234"), (2, "85701"), (3, "90001"), (4, "x"), (5, None)], "id INT, zip STRING")
     near = lambda miles, home="85001": [r.id for r in filters.within_radius(df, zips, home, miles).orderBy("id").collect()]
     assert near(100) == [1]
     assert near(120) == [1, 2]
     assert near(500) == [1, 2, 3]
-    assert near(500, "00000") == []
+    assert sorted(r.id for r in filters.unplaced(df, zips).collect()) == [4, 5]
+    with pytest.raises(ValueError):
+        near(500, "00000")
 
 
 def test_not_too_far(spark):
@@ -217,7 +232,8 @@ def test_not_too_far(spark):
     df = spark.createDataFrame(list(enumerate(places)), "id INT, location STRING")
     kept = filters.not_too_far(df, zips, "85001", 100.0)
     assert sorted(r.id for r in kept.collect()) == [0, 1, 3, 4, 5] and kept.columns == df.columns
-    assert filters.not_too_far(df, zips, "11111", 100.0).count() == 6
+    with pytest.raises(ValueError):
+        filters.not_too_far(df, zips, "11111", 100.0)
 
 
 def test_open_long_enough_edges(spark):

@@ -215,14 +215,13 @@ def test_found_items_round_trip(spark, tmp_path):
 
 def test_items_document(spark, tmp_path):
     items = spark.createDataFrame([ITEM], found_source.ITEM_SCHEMA)
-    doc = json.loads(found_source.items_document(scan.items_out(items)).first()["json"])
-    assert doc == {"items": [{"title": "t", "lot": "l", "site": "s", "url": "u1", "bid": 10.0, "market_value": 200.0,
-                              "profit": 190.0, "pickup": "Tempe", "ends": "", "photos": ["p1", "p2"]}]}
-    empty = items.filter("false")
-    found_source.write_items(empty, str(tmp_path / "items"))
-    assert spark.read.text(str(tmp_path / "items")).first()[0] == '{"items":[]}'
-    with pytest.raises(ValueError):
-        found_source.items_document(spark.createDataFrame([ITEM] * 3, found_source.ITEM_SCHEMA), max_items=2)
+    doc = json.loads(found_source.items_lines(scan.items_out(items)).first()["json"])
+    assert doc == {"title": "t", "lot": "l", "site": "s", "url": "u1", "bid": 10.0, "market_value": 200.0,
+                   "profit": 190.0, "pickup": "Tempe", "ends": "", "photos": ["p1", "p2"]}
+    found_source.write_items(items.filter("false"), str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+    found_source.write_items(spark.range(120_000).select(F.col("id").cast("string").alias("url")), str(tmp_path / "many"))
+    assert spark.read.text(str(tmp_path / "many")).count() == 120_000
     found_source.write_deals(items, str(tmp_path / "deals"))
     assert spark.read.json(str(tmp_path / "deals")).first()["url"] == "u1"
 

@@ -204,13 +204,17 @@ def closing_soon(spark, d):
     return capped(filters.closing_within(orders, as_of), 50, ["close_ts", "o_orderkey"])
 
 
-KINDS = ["pickup truck", "weighs 250 lbs", "12 lb", "vans", "2 acre land parcel", "vanity", "1,200 pounds", "bus bar holder", ""]
+KINDS = ["pickup truck", "weighs 250 lbs", "12 lb", "vans", "2 acre land parcel", "vanity", "1,200 pounds", "bus bar holder", "",
+         "10 lb bag, pallet weighs 900 lbs", "engine 2 tons", "95 kg", "90 kg"]
 
 
 @query(rf"""WITH listed AS (
   SELECT p_partkey, p_name || ' ' || {KINDS!r}[p_partkey % {len(KINDS)} + 1] AS text FROM part),
 weighed AS (
-  SELECT *, TRY_CAST(replace(regexp_extract(lower(text), '(\d[\d,]*(?:\.\d+)?)\s*(?:lbs?|pounds?)\b', 1), ',', '') AS DOUBLE) AS lb
+  SELECT *, list_max(
+      list_transform(regexp_extract_all(lower(text), '(\d[\d,]*(?:\.\d+)?)\s*(?:lbs?|pounds?)\b', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE))
+      || list_transform(regexp_extract_all(lower(text), '(\d[\d,]*(?:\.\d+)?)\s*tons?\b', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE) * 2000)
+      || list_transform(regexp_extract_all(lower(text), '(\d[\d,]*(?:\.\d+)?)\s*(?:kgs?|kilos?|kilograms?)\b', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE) * 2.2046226218)) AS lb
   FROM listed)
 SELECT p_partkey, text, lb AS weight_lb,
   regexp_matches(lower(text), '\b(vehicle|truck|sedan|suv|pickup truck|van|bus|motorcycle|trailer|camper|rv|real estate|house|land parcel|acreage)s?\b')
