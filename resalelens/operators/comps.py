@@ -1,11 +1,11 @@
 """Summaries of sold prices.
 
 A popular query may hold a large part of all prices, so no group of prices is
-ever brought together. Prices are counted per (query, source, price band), which
-partial aggregation does before the shuffle; there are a few hundred bands. Running
-sums over the band rows tell in which band a rank lies; only the prices of that band
-are then looked at, and being in cents they are few thousand at most per query for
-ordinary prices, 100,000 for the dearest band.
+ever brought together. Prices are counted once per (query, source, band, price), which
+partial aggregation does before the shuffle, and the counts are stored; there are a few
+hundred bands. Running sums over the band rows tell in which band a rank lies; only the
+prices of that band are then looked at, and being in cents they are few thousand at most
+per query for ordinary prices, 100,000 for the dearest band.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from resalelens import settings as S
 from resalelens.functions import money
 from resalelens.operators.first import first_rows
+from resalelens.operators.storage import written
 
 KEYS = ["query", "source"]
 BAND = [*KEYS, "band"]
@@ -38,17 +39,21 @@ def _before(n: str, w) -> Column:
     return F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
+def price_counts(comps: DataFrame) -> DataFrame:
+    """Rows per query, source, band and price, stored: bands, ranks and lists come from it."""
+    return written(_banded(comps).groupBy(*BAND, "price").agg(_copies(comps).alias("copies")), "price-counts")
+
+
 def comp_stats(comps: DataFrame) -> DataFrame:
     """Average, upper median, lowest, highest and number of prices per query and source.
 
-    ``comps`` has ``query, source, price`` and may have ``copies``. It is read twice:
-    pass a stored table, partitioned by source at scale, not a page extraction.
+    ``comps`` has ``query, source, price`` and may have ``copies``. It is read once, and
+    no row of it goes further than the first, partial count.
     """
-    exact = F.col("price").cast("decimal(18,4)")
-    if "copies" in comps.columns:
-        exact = exact * F.col("copies").cast("decimal(18,0)")
-    bands = _banded(comps).groupBy(*BAND).agg(
-        _copies(comps).alias("n"),
+    counted = price_counts(comps)
+    exact = F.col("price").cast("decimal(18,4)") * F.col("copies").cast("decimal(18,0)")
+    bands = counted.groupBy(*BAND).agg(
+        F.sum("copies").alias("n"),
         F.sum(exact).alias("total"),
         F.min("price").alias("low"),
         F.max("price").alias("high"),
@@ -68,8 +73,8 @@ def comp_stats(comps: DataFrame) -> DataFrame:
     )
     facts = ["rank", "total", "low", "high", "count"]
     steps = (
-        _banded(comps).join(targets, BAND)
-        .groupBy(*KEYS, "price", *facts).agg(_copies(comps).alias("n"))
+        counted.join(targets, BAND)
+        .select(*KEYS, "price", *facts, F.col("copies").alias("n"))
         .withColumn("seen", _before("n", Window.partitionBy(*KEYS).orderBy("price")))
         .filter((F.col("seen") <= F.col("rank")) & (F.col("rank") < F.col("seen") + F.col("n")))
     )
@@ -85,11 +90,9 @@ def comp_stats(comps: DataFrame) -> DataFrame:
 
 def price_list(comps: DataFrame) -> DataFrame:
     """Sorted prices of each query and source as rows: price, copies, first rank."""
-    steps = (
-        _banded(comps).groupBy(*BAND, "price").agg(_copies(comps).alias("copies"))
-        .withColumn("within", _before("copies", Window.partitionBy(*BAND).orderBy("price")))
-    )
-    bands = _banded(comps).groupBy(*BAND).agg(_copies(comps).alias("n")).select(
+    counted = price_counts(comps)
+    steps = counted.withColumn("within", _before("copies", Window.partitionBy(*BAND).orderBy("price")))
+    bands = counted.groupBy(*BAND).agg(F.sum("copies").alias("n")).select(
         *BAND, _before("n", Window.partitionBy(*KEYS).orderBy("band")).alias("before"))
     return steps.join(bands, BAND).select(
         *KEYS, "price", "copies", (F.col("before") + F.col("within") + 1).alias("first_rank"))
