@@ -12,6 +12,8 @@ def deal_report(deals: DataFrame) -> DataFrame:
     """One row of labels per numbered deal."""
     c = F.col
     flags = F.array_join("risk_flags", ", ")
+    places = [c(n) for n in ("pickup_location", "location", "state") if n in deals.columns]
+    place = F.coalesce(*places, F.lit(""))
     return deals.select(
         "deal_number",
         c("title"),
@@ -19,6 +21,8 @@ def deal_report(deals: DataFrame) -> DataFrame:
         money.price_label(c("price_str"), c("price")).alias("current_price"),
         F.coalesce(c("time_left"), F.lit("")).alias("time_remaining"),
         F.coalesce(c("bids"), F.lit(0)).alias("bids"),
+        place.alias("location"),
+        F.coalesce(c("comps_query"), F.lit("")).alias("comps_query"),
         scoring.source_label(c("comps_source")).alias("comps_label"),
         money.whole_dollars(c("comps_avg")).alias("avg"),
         money.whole_dollars(c("comps_median")).alias("median"),
@@ -38,12 +42,13 @@ def deal_block(reports: DataFrame) -> DataFrame:
     # Fixed value: the lines of a block, in order.
     line = (
         "--- DEAL #%d ---\nTITLE:           %s\nURL:             %s\nCURRENT PRICE:   %s\n"
-        "TIME REMAINING:  %s\nBIDS:            %d\nRESALE COMPS (%s):\n  Avg:    %s\n  Median: %s\n"
-        "  Range:  %s\n  Comps:  %s\n  Est. resale value: %s\nPROFIT RATIO:    %s\nEST. PROFIT:     %s\n"
+        "TIME REMAINING:  %s\nBIDS:            %d\nLOCATION:        %s\n\nRESALE COMPS (%s — \"%s\"):\n  Avg:    %s\n  Median: %s\n"
+        "  Range:  %s\n  Comps:  %s\n  Est. resale value: %s\n\nPROFIT RATIO:    %s\nEST. PROFIT:     %s\n"
         "CONFIDENCE:      %s\nRISK FLAGS:      %s\nRECOMMENDATION:  %s"
     )
     parts = [
-        "deal_number", "title", "url", "current_price", "time_remaining", "bids", "comps_label", "avg", "median",
+        "deal_number", "title", "url", "current_price", "time_remaining", "bids", "location",
+        "comps_label", "comps_query", "avg", "median",
         "range", "comps", "resale", "ratio", "profit", "confidence", "risk", "recommendation",
     ]
     return reports.select("deal_number", F.format_string(line, *parts).alias("block"))

@@ -179,7 +179,7 @@ def _usd(c: str) -> str:
 @query(f"""WITH {PART_DEALS_SQL}
 SELECT {RANK_SQL} AS deal_number, title, url,
   CASE WHEN price_str <> '' THEN price_str ELSE printf('$%.2f', price) END AS current_price,
-  time_left AS time_remaining, bids,
+  time_left AS time_remaining, bids, state AS location, comps_query,
   CASE comps_source WHEN 'ebay_sold' THEN 'eBay Sold Listings' ELSE 'Facebook Marketplace Phoenix' END AS comps_label,
   {_usd("comps_avg")} AS avg, {_usd("comps_median")} AS median,
   {_usd("comps_low")} || ' – ' || {_usd("comps_high")} AS range,
@@ -198,10 +198,10 @@ SELECT {RANK_SQL} AS deal_number, '--- DEAL #' || {RANK_SQL} || ' ---' || chr(10
   || 'TITLE:           ' || title || chr(10) || 'URL:             ' || url || chr(10)
   || 'CURRENT PRICE:   ' || CASE WHEN price_str <> '' THEN price_str ELSE printf('$%.2f', price) END || chr(10)
   || 'TIME REMAINING:  ' || time_left || chr(10) || 'BIDS:            ' || bids || chr(10)
-  || 'RESALE COMPS (' || CASE comps_source WHEN 'ebay_sold' THEN 'eBay Sold Listings' ELSE 'Facebook Marketplace Phoenix' END
-  || '):' || chr(10) || '  Avg:    ' || {_usd("comps_avg")} || chr(10) || '  Median: ' || {_usd("comps_median")} || chr(10)
+  || 'LOCATION:        ' || state || chr(10) || chr(10) || 'RESALE COMPS (' || CASE comps_source WHEN 'ebay_sold' THEN 'eBay Sold Listings' ELSE 'Facebook Marketplace Phoenix' END
+  || ' — "' || comps_query || '"):' || chr(10) || '  Avg:    ' || {_usd("comps_avg")} || chr(10) || '  Median: ' || {_usd("comps_median")} || chr(10)
   || '  Range:  ' || {_usd("comps_low")} || ' – ' || {_usd("comps_high")} || chr(10)
-  || '  Comps:  ' || comps_count || ' listings' || chr(10) || '  Est. resale value: ' || {_usd("resale_estimate")} || chr(10)
+  || '  Comps:  ' || comps_count || ' listings' || chr(10) || '  Est. resale value: ' || {_usd("resale_estimate")} || chr(10) || chr(10)
   || 'PROFIT RATIO:    ' || format('{{:,.1f}}', profit_ratio) || 'x' || chr(10)
   || 'EST. PROFIT:     ' || {_usd("est_profit")} || chr(10) || 'CONFIDENCE:      ' || confidence || chr(10)
   || 'RISK FLAGS:      ' || CASE risk WHEN '' THEN 'None' ELSE risk END || chr(10) || 'RECOMMENDATION:  '

@@ -76,7 +76,7 @@ def closing_nearby(spark, d):
     places = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), code.alias("zip"))
     listings = table(spark, d, "orders").join(places, "o_custkey").select(
         F.col("o_orderkey").alias("pos"), F.col("o_orderdate").alias("close_ts"), "zip")
-    found = scan.closing_nearby(listings, _centroids(spark, d), F.lit("1998-06-01").cast("timestamp_ntz"))
+    found = scan.closing_nearby(listings, _centroids(spark, d), F.lit("1998-06-01").cast("timestamp_ntz"), max_rows=50)
     return found.select("pos", "close_ts", "zip", F.round("miles", 3).alias("miles"))
 
 

@@ -18,12 +18,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # --- listings: part --------------------------------------------------------------
 
+def title():
+    """Name of a part with half its number: every title has two listings."""
+    return F.concat_ws(" ", "p_name", F.floor(F.col("p_partkey") / 2).cast("string"))
+
+
+TITLE_SQL = "p_name || ' ' || p_partkey // 2"
+
+
 def part_listings(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     size = F.col("p_size")
     return table(spark, d, "part").select(
         key.alias("id"),
-        F.col("p_name").alias("title"),
+        title().alias("title"),
         F.concat(F.lit(VIEW), key).alias("url"),
         F.col("p_retailprice").alias("price"),
         F.when(size % 4 == 0, "").otherwise(F.format_string("$%.2f", "p_retailprice")).alias("price_str"),
@@ -38,7 +46,7 @@ def part_listings(spark: SparkSession, d: str) -> DataFrame:
 
 
 LISTING_SQL = f"""listing AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, '{VIEW}' || p_partkey AS url,
+  SELECT CAST(p_partkey AS VARCHAR) AS id, {TITLE_SQL} AS title, '{VIEW}' || p_partkey AS url,
          p_retailprice AS price,
          CASE WHEN p_size % 4 = 0 THEN '' ELSE printf('$%.2f', p_retailprice) END AS price_str,
          (p_size % 5) || ' days ' || p_size || ' min' AS time_left,
@@ -66,27 +74,25 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extende
 
 
 def part_comps(spark: SparkSession, d: str, primary=None) -> DataFrame:
-    """Flag R is the primary source, flag A the secondary.
-
-    A union of the two, so that a filter on the source becomes one on the flag.
-    """
-    def side(flag: str, source: str, extra=None) -> DataFrame:
-        keep = F.col("l_returnflag") == flag
-        return (
-            table(spark, d, "lineitem").filter(keep if extra is None else keep & extra)
-            .select(F.col("l_partkey").cast("string").alias("query"), F.lit(source).alias("source"), unit_price().alias("price"))
-            .filter(money.between_exclusive(F.col("price"), S.SCORER_BOUNDS))
-        )
-    return side("R", S.PRIMARY_SOURCE, primary).unionByName(side("A", S.SECONDARY_SOURCE))
+    """Sales with flag R, and ``primary`` if given, are of the primary source, all others
+    of the secondary."""
+    first = F.col("l_returnflag") == "R"
+    first = first if primary is None else first & primary
+    source = F.when(first, S.PRIMARY_SOURCE).otherwise(S.SECONDARY_SOURCE)
+    return (
+        table(spark, d, "lineitem")
+        .select(F.col("l_partkey").cast("string").alias("query"), source.alias("source"), unit_price().alias("price"))
+        .filter(money.between_exclusive(F.col("price"), S.SCORER_BOUNDS))
+    )
 
 
 def comp_sql(primary: str = "true") -> str:
     return f"""comp AS (
   SELECT * FROM (
     SELECT CAST(l_partkey AS VARCHAR) AS query,
-           CASE l_returnflag WHEN 'R' THEN '{S.PRIMARY_SOURCE}' ELSE '{S.SECONDARY_SOURCE}' END AS source,
+           CASE WHEN l_returnflag = 'R' AND {primary} THEN '{S.PRIMARY_SOURCE}' ELSE '{S.SECONDARY_SOURCE}' END AS source,
            {UNIT_SQL} AS price
-    FROM lineitem WHERE (l_returnflag = 'R' AND {primary}) OR l_returnflag = 'A')
+    FROM lineitem)
   WHERE price > 0.99 AND price < 50000)"""
 
 
