@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the job was started from."""
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.basename(PACKAGE)
+    archive = shutil.make_archive(os.path.join(folder, name), "zip", os.path.dirname(PACKAGE), name)
+    spark.sparkContext.addPyFile(archive)
+
 
 def session(app: str = "resale-deals", **conf: str) -> SparkSession:
     """Adaptive execution does the run-time sizing: it merges small shuffle partitions,
@@ -19,4 +35,6 @@ def session(app: str = "resale-deals", **conf: str) -> SparkSession:
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark

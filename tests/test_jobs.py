@@ -1,6 +1,9 @@
 """Jobs from tables on disk to tables on disk."""
 
 import json
+import os
+import subprocess
+import sys
 
 from resalelens import jobs
 from resalelens.sources import found
@@ -61,3 +64,16 @@ def test_watch_job(spark, tmp_path):
     assert run() == [("1", "one")]
     capture("b", [(3, "https://www.ironplanet.com/item/1", "<h1>again</h1>"), (4, "https://www.ironplanet.com/item/3", "<h1>three</h1>")])
     assert run() == [("1", "one"), ("3", "three")]
+
+
+def test_workers_find_the_package_from_any_folder(spark, tmp_path):
+    """A job of its own process, started elsewhere without a search path, reads pages."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    pages = write(spark, f"{tmp_path}/pages", [(1, "https://www.publicsurplus.com/sms/auction/view?auc=1", "<h1>Band saw</h1>")],
+                  "page_id LONG, url STRING, html STRING")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run(
+        [sys.executable, f"{root}/resalelens/jobs.py", "watch", "--pages", pages, "--found", f"{tmp_path}/found", "--state", f"{tmp_path}/state"],
+        cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert spark.read.parquet(f"{tmp_path}/found").count() == 1
