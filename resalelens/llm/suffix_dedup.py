@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from resalelens.llm.shingles import mixed
-from resalelens.llm.tables import bounded_batches
-from resalelens.operators.storage import is_small, written
+from resalelens.llm.tables import Scratch, bounded_batches
+from resalelens.operators.storage import is_small
 
 SPAN = 200
 GRAM = 32
@@ -164,34 +164,38 @@ def joined_spans(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _judge(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """One round over rows with ``name, run, active``: the recurring runs of active rows
-    (``doc, lo, hi``), and one row of each distinct run that must go on."""
+def _judge(rows: DataFrame, keep: list[str], scratch: Scratch, turn: int) -> DataFrame:
+    """One round over rows with ``name, run, active``: stores the recurring runs of active
+    rows (``doc, lo, hi``) and returns one row of each distinct run that must go on."""
     runs = rows.groupBy("name", "run").agg(
-        F.count(F.lit(1)).alias("_n"), F.bool_or("active").alias("_active"), F.min(F.struct("doc", "at", "lo", "hi")).alias("_one"))
-    runs = written(runs, f"{name}-runs")
+        F.count(F.lit(1)).alias("_n"), F.bool_or("active").alias("_active"), F.min(F.struct(*keep)).alias("_one"))
+    runs = scratch.store(runs, f"runs-{turn}")
     # A name goes on if it has several runs, and one of them may still recur in part.
-    mixed_names = runs.groupBy("name").agg(
+    several = runs.groupBy("name").agg(
         F.count(F.lit(1)).alias("_runs"), F.bool_or(F.col("_active") & (F.col("_n") == 1)).alias("_open"))
-    mixed_names = mixed_names.filter((F.col("_runs") > 1) & F.col("_open")).select("name")
-    onward = runs.join(mixed_names, "name").select("_one.*", (F.col("_active") & (F.col("_n") == 1)).alias("active"))
+    several = several.filter((F.col("_runs") > 1) & F.col("_open")).select("name")
     again = runs.filter("_n > 1 AND _active").select("name", "run")
-    recurring = rows.filter("active").join(again, ["name", "run"]).select("doc", "lo", "hi")
-    return recurring, onward
+    scratch.store(rows.filter("active").join(again, ["name", "run"]).select("doc", "lo", "hi"), f"found-{turn}")
+    return runs.join(several, "name").select("_one.*", (F.col("_active") & (F.col("_n") == 1)).alias("active"))
 
 
 def _row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def repeated_windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+PLACE = ["doc", "at", "lo", "hi"]
+CELL = [*PLACE, "from", "near", "far", "bytes"]
+
+
+def repeated_windows(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
     """``doc, lo, hi``: runs of positions in a text at which a recurring window starts."""
-    named = written(
+    named = scratch.store(
         docs.select(_row_key(doc_id, text).alias("doc"), F.explode(anchors()(F.col(text))).alias("_a")).select("doc", "_a.*"), "anchors")
     several = named.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("name")
-    shared = written(named.join(several, "name").withColumn("active", F.lit(True)), "shared-anchors")
-    found, onward = _judge(shared, "suffix-0")
-    all_found = [found]
+    shared = scratch.store(named.join(several, "name").withColumn("active", F.lit(True)), "shared-anchors")
+    scratch.drop("anchors")
+    onward = scratch.store(_judge(shared, PLACE, scratch, 0), "onward")
+    scratch.drop("shared-anchors", "runs-0")
 
     # The bytes around the anchors that go on, as cells of one range of windows.
     places = onward.groupBy("doc").agg(F.collect_list(F.struct("at", "lo", "hi", "active")).alias("_places"))
@@ -201,22 +205,21 @@ def repeated_windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         p["at"].alias("at"), p["lo"].alias("lo"), p["hi"].alias("hi"), p["active"].alias("active"),
         F.substring(raw, p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int") + SPAN).alias("bytes")))
     # A window starts ``back`` bytes before its anchor; cells are ranges of ``back``.
-    cells = texts.select("doc", F.explode(sliced).alias("_p")).select("doc", "_p.*").dropDuplicates(["doc", "at", "lo", "hi"])
+    cells = texts.select("doc", F.explode(sliced).alias("_p")).select("doc", "_p.*")
     cells = cells.select("*", F.col("lo").alias("from"), F.lit(0).alias("near"), F.lit(SPAN - GRAM).alias("far"))
     turn = 1
     while True:
-        cells = written(_named(_halved(cells)), f"cells-{turn}")
+        cells = scratch.store(_named(_halved(cells.filter("near < far"))), f"cells-{turn}")
+        scratch.drop("onward" if turn == 1 else f"runs-{turn - 1}")
         if is_small(cells, 0):
             break
-        keep = cells.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("active").alias("_a")).filter("_n > 1 AND _a").select("name")
-        cells = written(cells.join(keep, "name"), f"shared-cells-{turn}")
-        found, onward = _judge(cells, f"suffix-{turn}")
-        all_found.append(found)
-        onward = onward.groupBy("doc", "at", "lo", "hi").agg(F.bool_or("active").alias("active"))
-        cells = cells.drop("active", "name", "run").dropDuplicates(["doc", "at", "lo", "hi"]).join(onward, ["doc", "at", "lo", "hi"])
-        cells = cells.filter("near < far")
+        cells = _judge(cells, CELL, scratch, turn)
+        if turn > 1:
+            scratch.drop(f"cells-{turn - 1}")
         turn += 1
-    return reduce(DataFrame.union, all_found)
+    spark = docs.sparkSession
+    found = [spark.read.schema("doc long, lo long, hi long").parquet(scratch.paths[f"found-{t}"]) for t in range(turn)]
+    return reduce(DataFrame.union, found)
 
 
 def _halved(cells: DataFrame) -> DataFrame:
@@ -244,7 +247,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept``; ``kept`` holds the remaining
     bytes, which need not be whole characters."""
     bounded_batches(docs.sparkSession)
-    spans = repeated_windows(docs, doc_id, text).groupBy("doc").agg(
+    spans = repeated_windows(docs, doc_id, text, Scratch(docs.sparkSession)).groupBy("doc").agg(
         F.collect_list(F.struct("lo", (F.col("hi") + SPAN).alias("hi"))).alias("_spans"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _row_key(doc_id, text).alias("doc"))
     done = rows.join(spans, "doc", "left").select("doc_id", cutter()(F.col("text"), F.col("_spans")).alias("_c"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
+from resalelens.operators.storage import fresh_path
+
 BATCH_ROWS = 2_000
 BATCH_BYTES = 16 << 20
 
@@ -16,3 +20,27 @@ def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes: texts differ a lot in length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+class Scratch:
+    """Stored tables of one operator, each dropped once later ones no longer need it.
+
+    Spark keeps the shuffle files of finished steps until the driver collects garbage;
+    dropping a table asks for that, so a long run of steps needs the disk of a few."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
