@@ -130,9 +130,9 @@ def suffix_of(host: Column) -> Column:
 
 
 def host_priors(weighed: DataFrame, classes: int) -> DataFrame:
-    """``_host, _prior``: log prior of each class, from ``_of, _suffix, _log``."""
-    sums = [F.sum(F.exp(F.col("_log")[i])).alias(f"_s{i}") for i in range(classes)]
-    hosts = written(weighed.groupBy("_of", "_suffix").agg(*sums), "host-sums")
+    """Log prior of each class per host, from the posteriors without a prior."""
+    sums = [F.sum(F.exp(F.col("__lid_log")[i])).alias(f"_s{i}") for i in range(classes)]
+    hosts = written(weighed.groupBy("__lid_of", "_suffix").agg(*sums), "host-sums")
     again = [F.sum(f"_s{i}").alias(f"_u{i}") for i in range(classes)]
     total = hosts.agg(*again).first()
     mass = sum(x or 0 for x in total) + ALL_WEIGHT
@@ -146,7 +146,7 @@ def host_priors(weighed: DataFrame, classes: int) -> DataFrame:
     upper = smoothed([f"_u{i}" for i in range(classes)], [F.lit(x) for x in overall], SUFFIX_WEIGHT)
     joined = hosts.join(by_suffix, F.col("_suffix").eqNullSafe(F.col("_sx")))
     lower = smoothed([f"_s{i}" for i in range(classes)], upper, HOST_WEIGHT)
-    return joined.select(F.col("_of").alias("_host"), F.array(*[F.log(p) for p in lower]).alias("_prior"))
+    return joined.select(F.col("__lid_of").alias("__lid_host"), F.array(*[F.log(p) for p in lower]).alias("__lid_prior"))
 
 
 def identify(
@@ -161,19 +161,19 @@ def identify(
     declared, host = (nothing if c is None else c for c in (declared, host))
     weigh = evidence(languages, spark.sparkContext.broadcast(model))
     log = weigh(F.col(text), declared.cast("string"), suffix_of(host))
-    seen = pages.select(host.alias("_of"), suffix_of(host).alias("_suffix"), log.alias("_log"))
+    seen = pages.select(host.alias("__lid_of"), suffix_of(host).alias("_suffix"), log.alias("__lid_log"))
     priors = written(host_priors(seen, len(languages)), "host-priors")
-    known = pages.withColumns({"_of": host, "_log": log}).join(priors, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    known = pages.withColumns({"__lid_of": host, "__lid_log": log}).join(priors, F.col("__lid_of").eqNullSafe(F.col("__lid_host")), "left")
     # Fused weights before they are made to sum to one; the largest is one.
-    fused = F.zip_with("_log", "_prior", lambda a, b: a + b)
-    known = known.withColumn("_fused", fused).withColumn("_best", F.array_max("_fused"))
-    mass = F.aggregate("_fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best")))
+    fused = F.zip_with("__lid_log", "__lid_prior", lambda a, b: a + b)
+    known = known.withColumn("__lid_fused", fused).withColumn("__lid_best", F.array_max("__lid_fused"))
+    mass = F.aggregate("__lid_fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__lid_best")))
     named = F.array(*map(F.lit, languages))
-    best = F.element_at(named, F.array_position("_fused", F.col("_best")).cast("int"))
+    best = F.element_at(named, F.array_position("__lid_fused", F.col("__lid_best")).cast("int"))
     wordless = ~F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return (
         known.withColumn("language", F.when(wordless, NONE).otherwise(best))
         .withColumn("confidence", F.when(wordless, 1.0).otherwise(1.0 / mass))
         .withColumn("accepted", F.col("language") != NONE)
-        .drop("_of", "_log", "_host", "_prior", "_fused", "_best")
+        .drop("__lid_of", "__lid_log", "__lid_host", "__lid_prior", "__lid_fused", "__lid_best")
     )

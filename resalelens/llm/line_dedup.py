@@ -38,15 +38,15 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
     solid = F.filter(_lines(F.col(text)), lambda x: F.trim(x, F.lit(BLANKS)) != "")
     keys = F.array_distinct(F.transform(solid, _key))
     counts = (
-        pages.select(F.col(host).alias("_host"), F.explode(keys).alias("_line"))
-        .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_pages)
+        pages.select(F.col(host).alias("__site_host"), F.explode(keys).alias("__site_line"))
+        .groupBy("__site_host", "__site_line").agg(F.count(F.lit(1)).alias("__site_n"))
+        .filter(F.col("__site_n") >= min_pages)
     )
-    totals = pages.groupBy(F.col(host).alias("_of")).agg(F.count(F.lit(1)).alias("_pages"))
+    totals = pages.groupBy(F.col(host).alias("__site_of")).agg(F.count(F.lit(1)).alias("__site_pages"))
     return (
-        counts.join(totals, F.col("_host").eqNullSafe(F.col("_of")))
-        .filter(F.col("_n") > F.col("_pages") * F.lit(ratio))
-        .groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
+        counts.join(totals, F.col("__site_host").eqNullSafe(F.col("__site_of")))
+        .filter(F.col("__site_n") > F.col("__site_pages") * F.lit(ratio))
+        .groupBy("__site_host").agg(F.collect_list("__site_line").alias("__site_drop"))
     )
 
 
@@ -57,14 +57,14 @@ def drop_lines(
     lines before and dropped, ``n_lines`` and ``n_dropped``."""
     # Stored, so that the planner knows how large the table is.
     bad = written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
-    listed = F.coalesce(F.col("_drop"), F.array().cast("array<long>"))
+    listed = F.coalesce(F.col("__site_drop"), F.array().cast("array<long>"))
     kept = F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(listed, _key(x)))
     before = F.coalesce(F.size(_lines(F.col(text))), F.lit(0))
-    joined = pages.join(bad, F.col(host).eqNullSafe(F.col("_host")), "left").withColumn("_kept", kept)
+    joined = pages.join(bad, F.col(host).eqNullSafe(F.col("__site_host")), "left").withColumn("__site_kept", kept)
     return (
         joined
         .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(before).cast("long"))
-        .withColumn("n_dropped", (F.col("n_lines") - F.when(F.col(text).isNull(), 0).otherwise(F.size("_kept"))).cast("long"))
-        .withColumn(text, F.array_join("_kept", "\n"))
-        .drop("_kept", "_drop", "_host")
+        .withColumn("n_dropped", (F.col("n_lines") - F.when(F.col(text).isNull(), 0).otherwise(F.size("__site_kept"))).cast("long"))
+        .withColumn(text, F.array_join("__site_kept", "\n"))
+        .drop("__site_kept", "__site_drop", "__site_host")
     )

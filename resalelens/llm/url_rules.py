@@ -193,6 +193,6 @@ def judge_urls(
     bounded_batches(pages.sparkSession)
     host, path, query = url_parts(F.col(url))
     judged = verdict_of(host_rules, glob_rules)(F.concat(F.lit("."), host, path, query))
-    return pages.withColumns({"host": host, "path": path, "_judged": judged}).select(
+    return pages.withColumns({"host": host, "path": path, "__judged": judged}).select(
         *[c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "pattern")],
-        "host", "path", "_judged.rule", "_judged.verdict", "_judged.pattern")
+        "host", "path", "__judged.rule", "__judged.verdict", "__judged.pattern")
