@@ -1,40 +1,60 @@
-"""Link tables of captured pages, read with built-in functions only."""
+"""Link tables of captured pages.
+
+Anchors are found with built-in functions; one Arrow function then resolves the character
+references of their links and texts, of which there are over two thousand names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import html as html_text
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from resalelens.functions.text import strip
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
-_ANCHOR = r"(?is)<a\s[^>]*>.*?(?=</a\s*>|<a\s|$)"
-_HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-_TAG = r"<[^>]*>"
+# Inside a tag a quoted value may hold any character; a quote without an end is one itself.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>"""
+_ANCHOR = rf"(?is)<a\s{_INSIDE}.*?(?=</a\s*>|<a\s|$)"
+_BEFORE = r"""(?:\s++|[^\s>"']++|"[^"]*+"|'[^']*+')*?(?<=\s)"""
+_HREF = rf"""(?is)^<a(?=\s){_BEFORE}href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+_TAG = rf"<{_INSIDE}"
 
-# The character references that occur in links and link texts.
-_REFERENCES = (("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#39", "'"), ("&nbsp", " "), ("&amp", "&"))
+_LINK = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z0-9]{1,32});?(?=(.?))", re.S)
 
 
-def unescape(c: Column, attribute: bool = False) -> Column:
+def unescape(text: str, attribute: bool = False) -> str:
     """Resolve references. The semicolon may be missing; in an attribute only where no
     letter, digit or equals sign follows."""
-    end = r"(?:;|(?![=A-Za-z0-9]))" if attribute else ";?"
-    for name, char in _REFERENCES:
-        c = F.regexp_replace(c, name + end, char)
-    return c
+    if "&" not in text:
+        return text
+    if not attribute:
+        return html_text.unescape(text)
+
+    def resolve(m: re.Match) -> str:
+        open_end = not m[0].endswith(";") and (m[1] == "=" or m[1].isalnum())
+        return m[0] if open_end else html_text.unescape(m[0])
+    return _REFERENCE.sub(resolve, text)
 
 
-def _href(anchor: Column) -> Column:
-    return unescape(F.concat(*[F.regexp_extract(anchor, _HREF, g) for g in (1, 2, 3)]), attribute=True)
+@F.arrow_udf(_LINK)
+def _resolved(found: pa.Array) -> pa.Array:
+    rows = [links and [
+        {"href": unescape(x["href"], attribute=True), "text": unescape(x["text"])} for x in links] for links in found.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())])))
 
 
 def anchors(html: Column) -> Column:
     """``array<struct<href, text>>`` of the anchors with a link, in page order."""
     shown = F.regexp_replace(html, _HIDDEN, "")
     found = F.filter(F.regexp_extract_all(shown, F.lit(_ANCHOR), F.lit(0)), lambda a: a.rlike(_HREF))
-    return F.transform(found, lambda a: F.struct(
-        _href(a).alias("href"),
-        strip(unescape(F.regexp_replace(a, _TAG, ""))).alias("text")))
+    raw = F.transform(found, lambda a: F.struct(
+        F.concat(*[F.regexp_extract(a, _HREF, g) for g in (1, 2, 3)]).alias("href"),
+        F.regexp_replace(a, _TAG, "").alias("text")))
+    return F.transform(_resolved(raw), lambda x: F.struct(x["href"].alias("href"), strip(x["text"]).alias("text")))
 
 
 def scan_links(pages: DataFrame) -> DataFrame:

@@ -165,6 +165,14 @@ def test_prices_in_page_order(spark):
     assert [r["price"] for r in prices.market_prices(prices.scan_sold(df)).orderBy("pos").collect()] == [5.0, 62.5]
 
 
+def test_links_with_quotes_and_references(spark):
+    html = """<a title='a>b' href='/x'>one &eacute;</a><a data-href="/no" href="/y&#x27;&#8211;?a=1&amp;b&copy=2&copy;">t<b title="<i>">wo</b></a>
+      <a title="open href=/z>three</a><a href=/w&lt;>&nbsp;four &notit; five</a>"""
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id LONG, html STRING")
+    got = [(r["href"], r["text"]) for r in links.scan_links(df).orderBy("pos").collect()]
+    assert ("/x", "one é") in got and ("/y'–?a=1&b&copy=2©", "two") in got and ("/w<", "four ¬it; five") in got
+
+
 def test_links(spark):
     html = """<!-- <a href="/c">c</a> --><script>"<a href='/s'>"</script><A class=x HREF='/a?x=1&amp;y=2'> One <b>two</b></A>
     <a name=n>none</a><a href=/plain>pl</a><abbr href="/no">z</abbr><a href="/a?x=1&amp;y=2">again</a><a data-href="/no" href="/z">open"""
