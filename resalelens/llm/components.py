@@ -1,11 +1,12 @@
 """Connected components of a graph by repeated contraction.
 
 Every node looks at itself and its neighbours and points to the one with the smallest
-random priority; edges are then drawn between the nodes pointed to. Each round contracts
-stars and cliques at once and long paths by a constant factor, so the number of rounds
-grows with the logarithm of the longest path. A node of any degree is one aggregate with
-partial sums and one join on a key that is unique on the other side. Each round's tables
-are written to the shared folder, so a lost executor costs one round at most.
+hash, and then to where that one points; edges are drawn between the nodes pointed to.
+Two rounds contract a star or clique, and each contracts long paths by a constant factor,
+so the number of rounds grows with the logarithm of the longest path. A node of any degree
+is one aggregate with partial sums and one join on a key that is unique on the other side.
+Each round's tables are written to the shared folder, so a lost executor costs one round
+at most.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         if is_small(left, 0):
             break
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("node"))
-        best = F.min(rank("b"))
-        points = written(
-            both.groupBy("a").agg(best.alias("_best"))
-            .select(F.col("a").alias("node"), F.least(F.col("_best"), rank("a"))["node"].alias("to")), f"points-{turn}")
+        rank = lambda c: F.struct(F.xxhash64(c).alias("rank"), F.col(c).alias("node"))
+        once = both.groupBy("a").agg(F.min(rank("b")).alias("_best")).select(
+            F.col("a").alias("node"), F.least(F.col("_best"), rank("a"))["node"].alias("to"))
+        once = written(once, f"first-points-{turn}")
+        twice = once.select(F.col("node").alias("to"), F.col("to").alias("_next"))
+        points = written(once.join(twice, "to").select("node", F.col("_next").alias("to")), f"points-{turn}")
         if where is None:
             where = points.select("node", F.col("to").alias("component"))
         else:

@@ -153,10 +153,9 @@ def near_duplicates(
             F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
         .withColumn("row_key", F.col("first.row_key")), "classes")
 
-    links = _links(docs, doc_id, text, classes, width, percent)
-    groups = components(links)
-    of_class = classes.join(groups, F.col("class") == F.col("node"), "left").select(
-        "class", "first", F.coalesce("component", "class").alias("group"))
+    groups = _groups(docs, doc_id, text, classes, width, percent)
+    of_class = classes.join(groups, F.col("class") == F.col("key"), "left").select(
+        "class", "first", F.coalesce("label", "class").alias("group"))
     lowest = of_class.groupBy("group").agg(F.min("first").alias("_first"))
     named = of_class.join(lowest, "group").select("class", "_first")
     component = F.coalesce(F.col("_first.doc_id"), F.col("doc_id"))
@@ -172,15 +171,29 @@ def keep_one(
     """One row of each group, and all rows without words, with the columns of ``docs``."""
     found = near_duplicates(docs, doc_id, text, width, percent)
     chosen = found.filter("chosen").select(
-        F.col("row_key").alias("_row_key"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    stay = docs.withColumn("_row_key", _row_key(doc_id, text)).join(chosen, "_row_key")
+        F.col("row_key").alias("__mh_key"), (F.col("n_shingles") == 0).alias("__mh_empty")).distinct()
+    stay = docs.withColumn("__mh_key", _row_key(doc_id, text)).join(chosen, "__mh_key")
     # A repeated row has the same key; its copies go as well.
-    one = stay.filter("NOT _empty").dropDuplicates(["_row_key"])
-    return one.unionByName(stay.filter("_empty")).select(*docs.columns)
-
-
-def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links ``a, b`` between classes, enough to connect all groups."""
+    one = stay.filter("NOT __mh_empty").dropDuplicates(["__mh_key"])
+    return one.unionByName(stay.filter("__mh_empty")).select(*docs.columns)
+
+
+def _merged(label: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """``key, label`` of all linked classes: the labels so far, joined by new links."""
+    if label is None:
+        return components(links).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    now = lambda c: label.select(F.col("key").alias(c), F.col("label").alias(f"_{c}"))
+    of = lambda c: F.coalesce(f"_{c}", c)
+    drawn = written(links.join(now("a"), "a", "left").join(now("b"), "b", "left").select(of("a").alias("a"), of("b").alias("b")), f"{name}-drawn")
+    joined = components(drawn).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    # Classes that had no label yet are nodes of the new graph themselves.
+    fresh = joined.select(F.col("_old").alias("key"), F.col("_old").alias("label")).join(label, "key", "left_anti")
+    every = label.union(fresh).join(joined, F.col("label") == F.col("_old"), "left")
+    return written(every.select("key", F.coalesce("_new", "label").alias("label")), name)
+
+
+def _groups(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """``key, label``: classes that links connect share a label; others may be absent."""
     bands = classes.select(F.explode("bands").alias("bucket"), F.col("class").alias("key"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     members = written(bands.join(shared, "bucket"), "members")
@@ -200,7 +213,7 @@ def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, width: i
         near = (
             pairs.distinct()
             .join(of("a"), F.col("a") == F.col("key_a")).join(of("b"), F.col("b") == F.col("key_b"))
-            .filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+            .filter(_possible(most, F.col("n_a"), F.col("n_b"), percent))
             .filter(agree("signature_a", "signature_b") >= least)
             .select("a", "b")
         )
@@ -212,49 +225,62 @@ def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, width: i
     facts = info.select("key", "n", "signature")
     pivot = members.groupBy("bucket").agg(F.min("key").alias("a"))
     stars = members.join(pivot, "bucket").filter("key <> a").select("a", F.col("key").alias("b"))
-    links = confirmed(stars, facts, "links-0")
-
-    turn, size, done = 0, MORE_PIVOTS, None
+    label = _merged(None, confirmed(stars, facts, "links"), "labels")
+
+    members = _open(members, label)
+    if is_small(members, 0):
+        return label
+    facts, ordered = _with_own(members, facts, texts, width)
+    members = members.join(ordered, "key")
+    done = members.select("bucket", F.lit(None).cast(ordered.schema["order"].dataType).alias("upto")).distinct()
+    turn, size = 0, 1
     while True:
-        label = components(links).select(F.col("node").alias("key"), "component")
-        now = members.join(label, "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("bucket")
-        now = written(now.join(mixed, "bucket"), f"open-{turn}")
-        if is_small(now, 0):
-            return links
-        if done is None:
-            facts, ordered = _with_own(now, facts, texts, width, percent)
-            now = now.join(ordered, "key")
-            members = written(now.select("bucket", "key", "order"), "members-open")
-            done = members.select("bucket").distinct().withColumn("upto", F.lit(None).cast(members.schema["order"].dataType))
+        # A class whose own shingles rule out even the smallest partner is settled.
+        smallest = members.groupBy("bucket").agg(F.min("n").alias("_small"))
+        able = members.join(smallest, "bucket").filter(_possible(F.col("n") - F.col("own"), F.col("n"), F.col("_small"), percent))
+        members = written(_open(able.drop("_small", "label"), label), f"open-{turn}")
+        if is_small(members, 0):
+            return label
         # The next pivots of each bucket in order of their share of own shingles.
-        waiting = now.join(done, "bucket").filter(F.col("upto").isNull() | (F.col("order") > F.col("upto")))
+        waiting = members.join(done, "bucket").filter(F.col("upto").isNull() | (F.col("order") > F.col("upto")))
         turn_order = F.row_number().over(Window.partitionBy("bucket").orderBy("order"))
         pivots = written(
             waiting.withColumn("_rank", turn_order).filter(F.col("_rank") <= size)
-            .select("bucket", F.col("key").alias("a"), F.col("label").alias("_la"), F.col("order").alias("_oa")), f"pivots-{turn}")
+            .select("bucket", F.col("key").alias("a"), *(F.col(c).alias(f"_{c}") for c in ("label", "order", "n", "own"))), f"pivots-{turn}")
+        common = F.least(F.col("n") - F.col("own"), F.col("_n") - F.col("_own"))
         pairs = (
-            now.join(pivots, "bucket").filter((F.col("label") != F.col("_la")) & (F.col("order") > F.col("_oa")))
+            members.join(pivots, "bucket")
+            .filter((F.col("label") != F.col("_label")) & (F.col("order") > F.col("_order")) & _possible(common, F.col("n"), F.col("_n"), percent))
             .select("a", F.col("key").alias("b")))
-        found = confirmed(pairs, facts, f"links-{turn + 1}")
-        links = written(links.union(found), f"all-links-{turn}")
+        label = _merged(label, confirmed(pairs, facts, f"links-{turn}"), f"labels-{turn}")
         # Buckets whose classes have all been pivots are settled.
-        done = pivots.groupBy("bucket").agg(F.max("_oa").alias("upto"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == size).drop("_n")
+        last = pivots.groupBy("bucket").agg(F.max("_order").alias("upto"), F.count(F.lit(1)).alias("_count"))
+        done = written(last.filter(F.col("_count") == size).drop("_count"), f"done-{turn}")
         members = members.join(done.select("bucket"), "bucket", "left_semi")
-        done = written(done, f"done-{turn}")
         turn, size = turn + 1, size * MORE_PIVOTS
 
 
-def _with_own(now: DataFrame, facts: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _possible(common: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of sizes ``n`` and ``m`` can be linked if they share ``common`` at most."""
+    return (100 + percent) * common >= percent * (n + m)
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of buckets that hold several labels, with their labels."""
+    now = members.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    several = now.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("bucket")
+    return now.join(several, "bucket")
+
+
+def _with_own(members: DataFrame, facts: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Facts with ``own``, the number of shingles that no other open class has, and per
-    class that can still be linked its place in the order of pivots."""
-    keys = now.select("key").distinct()
+    class these numbers and its place in the order of pivots."""
+    keys = written(members.select("key").distinct(), "open-keys")
     listed = texts.join(keys, "key").select("key", F.explode(shingle_lists(width)("text")).alias("shingle"))
     single = (
         listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key"))
         .filter("_n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own")))
     full = written(
         facts.join(keys, "key").join(single, "key", "left").withColumn("own", F.coalesce("own", F.lit(0))), "own")
-    # A link needs a common part of at least ``percent`` of the set.
-    able = full.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    return full, able.select("key", F.struct((F.col("own") / F.col("n")).alias("share"), F.col("key").alias("tie")).alias("order"))
+    place = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("key").alias("tie"))
+    return full, full.select("key", "n", "own", place.alias("order"))
