@@ -192,8 +192,10 @@ def repeated_windows(docs: DataFrame, doc_id: str, text: str, scratch: Scratch)
     named = scratch.store(
         docs.select(_row_key(doc_id, text).alias("doc"), F.explode(anchors()(F.col(text))).alias("_a")).select("doc", "_a.*"), "anchors")
     several = named.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("name")
+    # Stored, so that the join below deals both sides anew and a hot name can be split.
+    several = scratch.store(several, "several")
     shared = scratch.store(named.join(several, "name").withColumn("active", F.lit(True)), "shared-anchors")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "several")
     onward = scratch.store(_judge(shared, PLACE, scratch, 0), "onward")
     scratch.drop("shared-anchors", "runs-0")
 
