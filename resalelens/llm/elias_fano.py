@@ -102,11 +102,11 @@ class EliasFano:
         begin[some] = self._select(step[some] - 1, False) - (step[some] - 1)
         # Low bits rise within a step: a binary search in all of them at once.
         low, high = begin.copy(), end.copy()
-        while (low < high).any():
-            mid = (low + high) // 2
-            less = (low < high) & (_unpack(self.low, np.minimum(mid, self.n - 1), self.bits) < want)
-            high = np.where((low < high) & ~less, mid, high)
-            low = np.where(less, mid + 1, low)
+        while len(left := np.flatnonzero(low < high)):
+            mid = (low[left] + high[left]) // 2
+            less = _unpack(self.low, mid, self.bits) < want[left]
+            high[left[~less]] = mid[~less]
+            low[left[less]] = mid[less] + 1
         hit = low < end
         hit[hit] = _unpack(self.low, low[hit], self.bits) == want[hit]
         out[inside[hit]] = low[hit]

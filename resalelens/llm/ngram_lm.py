@@ -61,12 +61,14 @@ def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code, size
 
 
-def contexts(code: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The token before each token."""
-    before = np.empty_like(code)
-    before[1:] = code[:-1]
-    before[np.cumsum(size) - size] = START
-    return before
+def numbered(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens in order with START after them, the place of each token among them,
+    and the place of the token before it."""
+    names, place = np.unique(code, return_inverse=True)
+    before = np.empty_like(place)
+    before[1:] = place[:-1]
+    before[np.cumsum(size) - size] = len(names)
+    return np.append(names, START), place, before
 
 
 def _counted(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,15 +119,13 @@ COUNTS = "shard int, pairs binary, tokens binary"
 def count_pairs(train: DataFrame, text: str, bits: int) -> DataFrame:
     """Packed pair and token counts per shard."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        tokens = 0
+        pairs: list[tuple] = []
+        tokens: list[tuple] = []
+        held = 0
 
         def send():
-            a, b, n = _counted(*(np.concatenate(x) for x in zip(*held)))
-            near, total = np.unique(b, return_inverse=True)
-            total = np.bincount(total, weights=n, minlength=len(near)).astype(np.int64)
-            b = successor(b)
-            a, b, n = _counted(a, b, n)
+            a, b, n = _merge(pairs)
+            near, none, total = _merge(tokens)
             cut = np.searchsorted(shard_of(a, bits), np.arange(2 ** bits + 1))
             own = np.searchsorted(shard_of(near, bits), np.arange(2 ** bits + 1))
             for s in range(2 ** bits):
@@ -133,16 +133,19 @@ def count_pairs(train: DataFrame, text: str, bits: int) -> DataFrame:
                 if i < j or k < m:
                     yield pa.RecordBatch.from_arrays([
                         pa.array([s], pa.int32()), pa.array([_encode(a[i:j], b[i:j], n[i:j])], pa.binary()),
-                        pa.array([_encode(near[k:m], near[k:m] * U(0), total[k:m])], pa.binary())], names=["shard", "pairs", "tokens"])
+                        pa.array([_encode(near[k:m], none[k:m], total[k:m])], pa.binary())], names=["shard", "pairs", "tokens"])
 
         for batch in batches:
             code, size = sequences(batch.column(0).to_pylist())
             if len(code):
-                held.append(_counted(contexts(code, size), code, np.ones(len(code), np.int64)))
-                tokens += len(code)
-            if tokens >= HELD_TOKENS:
+                names, place, before = numbered(code, size)
+                pair, n = np.unique(before * len(names) + place, return_counts=True)
+                pairs.append((names[pair // len(names)], successor(names[pair % len(names)]), n))
+                tokens.append((names[:-1], names[:-1] * U(0), np.bincount(place, minlength=len(names) - 1)))
+                held += len(code)
+            if held >= HELD_TOKENS:
                 yield from send()
-                held, tokens = [], 0
+                pairs, tokens, held = [], [], 0
         if held:
             yield from send()
     return train.select(F.col(text)).mapInArrow(count, COUNTS)
@@ -204,31 +207,28 @@ class Shard:
         self.count, self.left, self.known = parts[4:7]
         self.pointers, self.successors, self.code = EliasFano.of(parts[7:11]), EliasFano.of(parts[11:15]), parts[15]
 
-    def counts(self, code: np.ndarray) -> np.ndarray:
+    def words_at(self, code: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each word: its count, the weight it leaves to the lower order as a context,
+        the range of its successors, and what is added to them."""
+        count, weights = np.zeros(len(code), np.int64), np.ones(len(code))
+        begin, end, base = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64), np.zeros(len(code), U)
         at = self.words.find(code)
-        return np.where(at >= 0, self.count[np.maximum(at, 0)].astype(np.int64) if self.words.n else 0, 0)
-
-    def conditional(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probability of the pairs (0 if not kept) and weight of the lower order."""
-        p, a = np.zeros(len(word)), np.ones(len(word))
-        at = self.words.find(context)
-        seen = np.flatnonzero(at >= 0)
-        seen = seen[self.known[at[seen]] > 0]
-        if not len(seen):
-            return p, a
-        place = at[seen]
-        a[seen] = weight(self.left[place])
-        begin, end = (self.pointers.get(place + k).astype(np.int64) for k in (0, 1))
-        some = np.flatnonzero(begin < end)
-        if not len(some):
-            return p, a
-        base = np.zeros(len(some), U)
-        later = begin[some] > 0
-        base[later] = self.successors.get(begin[some][later] - 1) + U(1)
-        hit = self.successors.find(base + successor(word[seen[some]]))
-        found = (hit >= begin[some]) & (hit < end[some])
-        p[seen[some[found]]] = weight(self.code[hit[found]])
-        return p, a
+        there = np.flatnonzero(at >= 0)
+        count[there] = self.count[at[there]].astype(np.int64)
+        there = there[self.known[at[there]] > 0]
+        weights[there] = weight(self.left[at[there]])
+        begin[there], end[there] = (self.pointers.get(at[there] + k).astype(np.int64) for k in (0, 1))
+        later = np.flatnonzero((begin < end) & (begin > 0))
+        base[later] = self.successors.get(begin[later] - 1) + U(1)
+        return count, weights, begin, end, base
+
+    def discounted(self, word: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Discounted probability of each word in a context's range, 0 if it is not kept."""
+        p = np.zeros(len(word))
+        hit = self.successors.find(base + successor(word))
+        found = (hit >= begin) & (hit < end)
+        p[found] = weight(self.code[hit[found]])
+        return p
 
 
 BUILT = "shard int, tokens long, words long"
@@ -249,7 +249,10 @@ def build_shards(counts: DataFrame, path: str, shards: int) -> DataFrame:
             aside = f"{root}/_{shard}-{np.random.default_rng().integers(1 << 62)}"
             with where.open_output_stream(aside) as f:
                 f.write(Shard.build(_merge(pairs), near))
-            where.move(aside, f"{root}/{shard}")
+            if where.get_file_info(f"{root}/{shard}").type == fs.FileType.NotFound:
+                where.move(aside, f"{root}/{shard}")
+            else:
+                where.delete_file(aside)
             row = [[shard], [int(near[2].sum())], [len(near[0])]]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int64(), pa.int64()))], names=["shard", "tokens", "words"])
 
@@ -264,7 +267,7 @@ def build_shards(counts: DataFrame, path: str, shards: int) -> DataFrame:
                 tokens.append(_decode(b))
         if now is not None:
             yield close(now, pairs, tokens)
-    return counts.repartitionByRange(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, BUILT)
+    return counts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, BUILT)
 
 
 class Model:
@@ -286,26 +289,32 @@ class Model:
                     self.open[s] = Shard(np.frombuffer(f.read(), np.uint8))
         return self.open[s]
 
-    def _by_shard(self, code: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
-        own = shard_of(code, self.bits)
-        order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(2 ** self.bits + 1))
-        for s in range(2 ** self.bits):
-            if cut[s] < cut[s + 1] and (shard := self.shard(s)) is not None:
-                yield shard, order[cut[s]:cut[s + 1]]
+    def _by_shard(self, own: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
+        """Shards that are there, and the places whose number in ``own`` is theirs."""
+        order = np.argsort(own.astype(np.uint16) if self.bits <= 16 else own, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            if len(part) and (shard := self.shard(int(own[part[0]]))) is not None:
+                yield shard, part
 
-    def score(self, code: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its training count, log10 base probability, log10 probability."""
-        names, back = np.unique(code, return_inverse=True)
-        count = np.zeros(len(names), np.int64)
-        for shard, at in self._by_shard(names):
-            count[at] = shard.counts(names[at])
-        count = count[back]
-        base = (count + 1) / (self.tokens + self.distinct + 1)
-        p, a = np.zeros(len(code)), np.ones(len(code))
-        for shard, at in self._by_shard(before):
-            p[at], a[at] = shard.conditional(before[at], code[at])
-        return count, np.log10(base), np.log10(p + a * base)
+        if not len(code):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        names, place, before = numbered(code, size)
+        own = shard_of(names, self.bits)
+        facts = (np.zeros(len(names), np.int64), np.ones(len(names)), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), np.zeros(len(names), U))
+        for shard, at in self._by_shard(own):
+            for column, values in zip(facts, shard.words_at(names[at])):
+                column[at] = values
+        count, weights, begin, end, base = facts
+        low = (count + 1) / (self.tokens + self.distinct + 1)
+        p = np.zeros(len(code))
+        todo = np.flatnonzero((begin < end)[before])
+        for shard, at in self._by_shard(own[before[todo]]):
+            at = todo[at]
+            c = before[at]
+            p[at] = shard.discounted(code[at], begin[c], end[c], base[c])
+        return count[place], np.log10(low)[place], np.log10(p + weights[before] * low[place])
 
 
 @lru_cache(maxsize=2)
@@ -323,7 +332,7 @@ def scorer(path: str, bits: int, tokens: int, distinct: int):
     @F.arrow_udf(SCORED)
     def score(texts: pa.Array) -> pa.Array:
         code, size = sequences(texts.to_pylist())
-        count, base, full = model(path, bits, tokens, distinct).score(code, contexts(code, size))
+        count, base, full = model(path, bits, tokens, distinct).score(code, size)
         start = np.cumsum(size) - size
         sums = [np.add.reduceat(x, start) if len(size) else x for x in ((count > 0).astype(np.int64), base, full)]
         return pa.StructArray.from_arrays([pa.array(x) for x in (size, *sums)], names=["n_tokens", "n_known", "base_score", "score"])
@@ -345,6 +354,6 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text", train_tex
     built = written(build_shards(count_pairs(train, train_text, bits), path, 2 ** bits), "ngram-shards")
     tokens, distinct = built.agg(F.sum("tokens"), F.sum("words")).first()
     tokens, distinct = int(tokens or 0), int(distinct or 0)
-    scored = docs.withColumn("_scored", scorer(path, bits, tokens, distinct)(F.col(text)))
+    scored = docs.withColumn("__scored", scorer(path, bits, tokens, distinct)(F.col(text)))
     names = ("n_tokens", "n_known", "base_score", "score")
-    return scored.withColumns({c: F.col(f"_scored.{c}") for c in names} | {"train_tokens": F.lit(tokens).cast("long")}).drop("_scored")
+    return scored.withColumns({c: F.col(f"__scored.{c}") for c in names} | {"train_tokens": F.lit(tokens).cast("long")}).drop("__scored")

@@ -84,8 +84,8 @@ def test_probabilities_sum_to_one():
     shard = ngram_lm.Shard(np.frombuffer(ngram_lm.Shard.build(pairs, (a[:0], a[:0], np.zeros(0, np.int64))), np.uint8))
     for context in range(1, 9):
         word = np.arange(64, dtype=np.uint64) << np.uint64(64 - ngram_lm.SUCCESSOR_BITS)
-        p, rest = shard.conditional(np.full(64, context, np.uint64), word)
-        assert p.sum() + rest[0] == pytest.approx(1, rel=0.04)
+        _, rest, begin, end, base = shard.words_at(np.full(64, context, np.uint64))
+        assert shard.discounted(word, begin, end, base).sum() + rest[0] == pytest.approx(1, rel=0.04)
 
 
 @pytest.mark.parametrize("n, top", [(0, 10), (1, 1), (1, 1 << 63), (5, 3), (1000, 10 ** 6), (5000, (1 << 64) - 1), (128, 1)])
