@@ -9,7 +9,7 @@ sequences that the automaton accepts are then exactly those that BPE produces.
 All arcs of one token lead to the same state, because each gadget moves them together.
 So the table is one target per token plus, per state, the state it was copied from and
 the arc it lost. Whether a state has an arc for a token is read off that table once and
-kept in a transition table that fills as words are seen.
+kept in a transition table that fills as words are seen, up to ``MEMO_ARCS`` arcs.
 
 Every prefix of a word has exactly one accepted token sequence. Encoding walks the word
 once, follows the vocabulary's trie from each reached position, and takes the arcs the
@@ -39,6 +39,7 @@ from resalelens.llm.tables import bounded_batches
 MEMO_CHUNKS = 300_000
 MEMO_ARCS = 2_000_000
 ROOT = 0
+TOKEN = -1
 
 
 def byte_symbols() -> list[str]:
@@ -59,7 +60,8 @@ class Automaton:
         self.last = [vocab.get(s + end) for s in symbols]
         self._compile([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self._spell(vocab, symbols, end)
-        self.arcs: dict[int, int] = {}
+        self.arcs: list[dict[int, int]] = [{} for _ in self.copied]
+        self.filled = 0
 
     def _compile(self, merges: list[tuple[int, int, int]]) -> None:
         self.copied, self.lost, self.born = [ROOT], [-1], [-1]
@@ -98,8 +100,7 @@ class Automaton:
         """Trie of the tokens' symbols: bytes, and 256 + byte for the last of a word."""
         code = {s: b for b, s in enumerate(symbols)}
         live = {t for t in self.base + self.last if t is not None} | set(self.left)
-        self.trie: dict[int, int] = {}
-        self.token_at = [-1]
+        self.trie: dict[int, dict | int] = {TOKEN: -1}
         for text, token in vocab.items():
             if token not in live:
                 continue
@@ -108,21 +109,17 @@ class Automaton:
             path = [code[ch] for ch in chars]
             if final:
                 path[-1] += 256
-            node = 0
+            node = self.trie
             for sym in path:
-                nxt = self.trie.get(node << 9 | sym)
-                if nxt is None:
-                    nxt = self.trie[node << 9 | sym] = len(self.token_at)
-                    self.token_at.append(-1)
-                node = nxt
-            self.token_at[node] = token
+                node = node.setdefault(sym, {TOKEN: -1})
+            node[TOKEN] = token
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-split word."""
         n = len(word)
         path = list(word)
         path[-1] += 256
-        trie, token_at, arcs = self.trie, self.token_at, self.arcs
+        trie, rows = self.trie, self.arcs
         states: list[int] = [ROOT] + [-1] * n
         taken = [0] * (n + 1)
         starts = [0] * (n + 1)
@@ -130,22 +127,23 @@ class Automaton:
             state = states[i]
             if state < 0:
                 continue
-            node = 0
-            for j in range(i, n):
-                node = trie.get(node << 9 | path[j])
+            row, node, j = rows[state], trie, i
+            for sym in path[i:]:
+                node = node.get(sym)
                 if node is None:
                     break
-                token = token_at[node]
-                if token < 0 or states[j + 1] >= 0:
+                j += 1
+                token = node[TOKEN]
+                if token < 0 or states[j] >= 0:
                     continue
-                key = state << 20 | token
-                to = arcs.get(key)
+                to = row.get(token)
                 if to is None:
                     to = self.target.get(token, ROOT) if self._has(state, token) else -1
-                    if len(arcs) < MEMO_ARCS:
-                        arcs[key] = to
+                    if self.filled < MEMO_ARCS:
+                        row[token] = to
+                        self.filled += 1
                 if to >= 0:
-                    states[j + 1], taken[j + 1], starts[j + 1] = to, token, i
+                    states[j], taken[j], starts[j] = to, token, i
         ids = []
         while n:
             ids.append(taken[n])
@@ -167,7 +165,7 @@ class Codec:
         self.markers = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.names = dict(self.automaton.labels) | {i: t for t, i in self.special.items()}
         self.memo = Memo(self.encode_chunk)
-        self.words = Memo(self.encode_word)
+        self.words = Memo(self.encode_word, MEMO_CHUNKS // 2)
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Little-endian 32-bit ids of a run of characters without white space."""
