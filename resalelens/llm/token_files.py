@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from resalelens.llm.bpe import Memo, chunks, vocabulary
+from resalelens.llm.bpe import MEMO_CHUNKS, chunks, lower, vocabulary
 from resalelens.llm.tables import bounded_batches
-from resalelens.operators.storage import fresh_path
+from resalelens.operators.storage import fresh_path, written
 
 # Fixed values of the format: ids per word and bits per id for each selector.
 COUNTS = np.array([0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -129,30 +129,75 @@ def unpack(payload: bytes) -> np.ndarray:
 
 class LibraryEncoder:
     """Ids from the tokenizers library. White space ends every token of this vocabulary,
-    so a text's ids are those of its chunks; chunks seen before come from a bounded memo."""
+    and so does the border of letters and punctuation; a text's ids are those of its
+    chunks, and each distinct chunk or word is encoded once while the bounded memos hold
+    it. Words of letters alone are encoded many at a time, with a space between them, and
+    told apart by their last tokens."""
+
+    TAIL = ".,;:!?"
+    AT_ONCE = 500
 
     def __init__(self, spec_text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec_text)
-        self.memo = Memo(lambda chunk: self._ids([chunk])[0])
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _word_ids(self, plain: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters in lower case."""
+        out = {}
+        groups = [plain[i:i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            cuts = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)
+            start = 0
+            for word, end in zip(group, cuts.tolist(), strict=True):
+                out[word] = ids[start:end]
+                start = end
+        return out
+
+    def _new(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks."""
+        cores, whole = {}, []
+        for chunk in missing:
+            plain = lower(chunk)
+            core = plain.rstrip(self.TAIL)
+            if core.isalpha():
+                cores[chunk] = core, plain[len(core):]
+            else:
+                whole.append(chunk)
+        known = self.words
+        fresh = self._word_ids(list({c for c, _ in cores.values() if c not in known}))
+        tails = {t for _, t in cores.values() if t and t not in known}
+        fresh |= zip(tails, self._ids(list(tails)))
+        known |= fresh
+        out = {chunk: known[core] + (known[tail] if tail else b"") for chunk, (core, tail) in cores.items()}
+        out |= zip(whole, self._ids(whole))
+        for word in list(fresh)[:max(0, len(known) - MEMO_CHUNKS // 2)]:
+            del known[word]
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of whole texts."""
         split = [chunks(t or "") for t in texts]
-        new = list({c for part in split for c in part if c not in self.memo})
-        known = dict(zip(new, self._ids(new)))
-        for chunk in new[:max(0, self.memo.most - len(self.memo))]:
-            self.memo[chunk] = known[chunk]
-        if not known:
-            return [b"".join(map(self.memo.__getitem__, part)) for part in split]
-        get, memo = known.get, self.memo
-        return [b"".join([get(c) if c in known else memo[c] for c in part]) for part in split]
+        memo = self.memo
+        found = [list(map(memo.get, part)) for part in split]
+        missing = {c for part, ids in zip(split, found) if None in ids for c, b in zip(part, ids) if b is None}
+        new = self._new(missing)
+        out = [
+            b"".join([new[c] if b is None else b for c, b in zip(part, ids)] if None in ids else ids)
+            for part, ids in zip(split, found)]
+        for chunk in list(new)[:max(0, MEMO_CHUNKS - len(memo))]:
+            memo[chunk] = new[chunk]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -225,7 +270,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     length = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     sizes = stored.groupBy("part").agg(F.sum(length).alias("_size"))
     earlier = F.sum("_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    offsets = written(sizes.select("part", F.coalesce(earlier, F.lit(0)).alias("_before")), "token-offsets")
     return (
         stored.select("part", "seq", "start_in_part", "doc_ids", "lengths", "payload").mapInArrow(documents, READ)
         .join(offsets, "part")
