@@ -231,7 +231,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, width:
     if is_small(members, 0):
         return label
     facts, ordered = _with_own(members, facts, texts, width)
-    members = members.join(ordered, "key")
+    members = written(members.join(ordered, "key"), "members-own")
     done = members.select("bucket", F.lit(None).cast(ordered.schema["order"].dataType).alias("upto")).distinct()
     turn, size = 0, 1
     while True:
@@ -256,7 +256,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, width:
         # Buckets whose classes have all been pivots are settled.
         last = pivots.groupBy("bucket").agg(F.max("_order").alias("upto"), F.count(F.lit(1)).alias("_count"))
         done = written(last.filter(F.col("_count") == size).drop("_count"), f"done-{turn}")
-        members = members.join(done.select("bucket"), "bucket", "left_semi")
+        members = written(members.join(done.select("bucket"), "bucket", "left_semi"), f"members-{turn}")
         turn, size = turn + 1, size * MORE_PIVOTS
 
 
