@@ -43,7 +43,7 @@ def _bare(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(EDGES.sub(b"", word) or word)
 
 
-CODES = Memo(_bare, most=400_000)
+CODES = Memo(_bare, most=200_000)
 
 
 def coded(text: str | None) -> np.ndarray:

@@ -8,7 +8,7 @@ import xxhash
 from resalelens.llm.bpe import Memo
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-WORDS = Memo(xxhash.xxh3_64_intdigest, most=400_000)
+WORDS = Memo(xxhash.xxh3_64_intdigest, most=200_000)
 
 
 def words(text: str | None) -> list[bytes]:

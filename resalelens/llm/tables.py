@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from resalelens.operators.storage import fresh_path
 
-BATCH_ROWS = 2_000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1_000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
