@@ -2,7 +2,8 @@
 the stage before it kept; the last one adds the token ids.
 
 1. language ID: rows whose text is in no language go; ``lang`` is the language found.
-2. line dedup: texts lose the boilerplate lines of their source.
+2. line dedup: texts lose the boilerplate lines of their source; copies do not make a
+   text boilerplate.
 3. MinHash near-dedup: one row of each group of near copies stays (five words, 0.8).
 4. decontamination: rows that hold a benchmark item, edited or not, go.
 5. BPE: ``ids``, ``n_tokens`` and the ``decoded`` text are added.
@@ -32,7 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``n_chars`` follows the new text."""
-    found = line_dedup.drop_lines(docs, "source", "text")
+    found = line_dedup.drop_lines(docs, "source", "text", copies_apart=True)
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

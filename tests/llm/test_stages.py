@@ -207,3 +207,27 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id for r in got), key=repr) == [4, 5, None]
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+# --- copies in the pipeline ---------------------------------------------------------
+
+def test_pipeline_keeps_one_full_text_of_many_copies(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda: " ".join(word() for _ in range(12))
+    copied, near = ["\n".join(line() for _ in range(12)) for _ in range(2)]
+    rows = [(i, "home | login\n" + "\n".join(line() for _ in range(4))) for i in range(60)]
+    rows += [(100 + i, copied) for i in range(40)]
+    # Near copies, each with a word of its own and none without one.
+    for i in range(40):
+        lines = near.split("\n")
+        lines[i % 12] = lines[i % 12].rsplit(" ", 1)[0] + " " + word()
+        rows.append((200 + i, "\n".join(lines)))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS).repartition(4)
+    lined = corpus_pipeline.line_stage(spark, docs, "")
+    by = {r.doc_id: r.text for r in lined.collect()}
+    assert not any("login" in by[k] for k in range(60)) and all(by.values()) and len(by) == len(rows)
+    got = [r.text for r in corpus_pipeline.near_stage(spark, lined, "").collect()]
+    assert got.count(copied) == 1
+    assert sum(len(shingles(t) & shingles(near)) >= 0.8 * len(shingles(near)) for t in got) == 1
+    assert sum(t.count("\n") == 3 for t in got) == 60
