@@ -16,9 +16,10 @@ The posterior of a language is the product of
 One more class, ``und``, draws trigrams uniformly: text that no language explains better
 than chance. Rows of that class, and texts without any letter, are not accepted.
 
-Trigram counts are fitted on the ``TRAIN_ROWS`` labelled rows with the smallest hashes;
-everything else covers all rows. Missing evidence is neutral. Rows without a host share
-one prior. Repeated rows count each.
+Trigram counts are fitted on all labelled rows, so a language of any share has a model;
+equal texts of one label are counted once there, so a group of copies does not outweigh
+the rest. Everything else covers all rows, and repeated rows count each. Missing evidence
+is neutral. Rows without a host share one prior.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from resalelens.operators.storage import written
 
 BUCKETS = 1 << 14
 EFFECTIVE = 100
-TRAIN_ROWS = 2_000
 DECLARED_TRUST = 0.9
 SUFFIX_TRUST = 0.8
 HOST_WEIGHT, SUFFIX_WEIGHT, ALL_WEIGHT = 20.0, 50.0, 100.0
@@ -65,13 +65,19 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 COUNTED = "language string, bucket int, n long"
 
 
-def train(labelled: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram probabilities, with the uniform class last."""
     bounded_batches(labelled.sparkSession)
     known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    place = F.xxhash64(F.col(text))
-    cut = known.select(place.alias("_place")).orderBy("_place").limit(rows).agg(F.max("_place")).first()[0]
-    sample = known.filter(place <= F.lit(cut)) if cut is not None else known
+    known = known.select(F.col(label).alias("language"), F.col(text).alias("text"))
+    page = F.xxhash64("text")
+    # Only texts with copies are shuffled, one of each text per task.
+    several = written(
+        known.groupBy("language", page.alias("_page")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        .select(F.col("language").alias("_of"), "_page"), "copied-texts")
+    marked = known.join(several, (F.col("language") == F.col("_of")) & (page == F.col("_page")), "left")
+    single = marked.filter("_page IS NULL").select("language", "text")
+    copied = marked.filter("_page IS NOT NULL").groupBy("language", "_page").agg(F.any_value("text").alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -85,7 +91,8 @@ def train(labelled: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS) ->
                     names=["language", "bucket", "n"])
 
     # As many rows as languages x buckets at most.
-    table = sample.select(F.col(label), F.col(text)).mapInArrow(count, COUNTED).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = single.union(copied.select("language", "text")).mapInArrow(count, COUNTED)
+    table = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(table["language"].unique())
     counts = np.zeros((len(languages) + 1, BUCKETS))
     for i, language in enumerate(languages):

@@ -231,3 +231,19 @@ def test_pipeline_keeps_one_full_text_of_many_copies(spark):
     assert got.count(copied) == 1
     assert sum(len(shingles(t) & shingles(near)) >= 0.8 * len(shingles(near)) for t in got) == 1
     assert sum(t.count("\n") == 3 for t in got) == 60
+
+
+# --- rare languages and copies in training ------------------------------------------
+
+def test_training_covers_rare_languages_and_counts_copies_once(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text", "lang")
+    plain = docs.filter("lang <> 'es'").dropDuplicates(["text"])
+    spanish = docs.filter("lang = 'es'").dropDuplicates(["text"]).orderBy(F.xxhash64("text").desc()).limit(2).cache()
+    # More than 2,000 texts have smaller hashes than the two Spanish ones.
+    many = spark.range(6_000).select(F.concat(F.lit("the of and "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    languages, _ = language.train(plain.union(many).union(spanish), "text", "lang")
+    assert languages == ["de", "en", "es", "fr", "und"]
+    once = language.train(plain.union(spanish), "text", "lang")
+    copies = spanish.limit(1).crossJoin(spark.range(3_000)).select("text", "lang")
+    again = language.train(plain.union(spanish).union(copies).repartition(7), "text", "lang")
+    assert once[0] == again[0] and np.array_equal(once[1], again[1])
