@@ -1,18 +1,21 @@
 """Find benchmark items in training texts, edited copies included.
 
-Seeds are the items' word n-grams. Their frequencies in the corpus are counted, and of
-each item's seeds the rarer ones are kept (``RARE`` of them, ties included, never none).
-Where a text holds one, the stretch of the text that the item would cover there is aligned
-with the item by Smith-Waterman over words. The score is the best local alignment as a
-share of the item's words: matches count 1, other words and gaps -1.
+Seeds are all word pairs of the items. An alignment of a score ``t`` times the ``m`` words
+of an item has ``M`` matches and at most ``M - t m`` edits, which cut the matches into one
+run more than there are edits. So it holds ``t m - 1`` seeds or more, and these lie on
+diagonals at most ``(1 - t) m`` apart, as every gap shifts them by one. Where a text has
+that many hits of an item on such diagonals, the stretch that any alignment around them
+can cover is aligned with the item by Smith-Waterman over words. Nothing that reaches the
+threshold is passed over, however the item was edited. The score is the best local
+alignment as a share of the item's words: matches count 1, other words and gaps -1.
 
 The reference set is read in blocks of ``BLOCK_ITEMS`` items, so what a worker holds does
-not grow with it; each block is run against all texts. Texts are never shuffled. Both
-passes look a text's n-grams up with array operations. A text with many hits of one item
-has its stretches joined, so no word is aligned with the same item twice.
+not grow with it; each block is run against all texts. Texts are never shuffled. Each is
+looked up with array operations. A text with many hits of one item has its stretches
+joined, so no word is aligned with the same item twice.
 
-Words are runs between white space in lower case, less punctuation at their ends. Items and texts without words match nothing; items shorter than a seed are one seed
-of all their words. Repeated rows are rows of their own.
+Words are runs between white space in lower case, less punctuation at their ends. Items
+and texts without words match nothing; items of one or two words are one seed. Repeated rows are rows of their own.
 """
 
 from __future__ import annotations
@@ -30,8 +33,7 @@ from resalelens.llm.bpe import Memo
 from resalelens.llm.shingles import MIX, mixed
 from resalelens.llm.tables import bounded_batches
 
-SEED_WORDS = 3
-RARE = 0.75
+SEED_WORDS = 2
 THRESHOLD = 0.5
 BLOCK_ITEMS = 5_000
 BLOOM = 1 << 22
@@ -70,24 +72,11 @@ class Items:
         self.item = np.array([s[1] for s in seeds], np.int64)
         self.offset = np.array([s[2] for s in seeds], np.int64)
         self.widths = sorted({min(width, len(c)) for _, c in self.rows})
-        self._mark()
-
-    def _mark(self) -> None:
+        self.size = np.array([len(c) for _, c in self.rows], np.int64)
         self.distinct = np.unique(self.seed)
         self.bloom = np.zeros(BLOOM, bool)
         self.bloom[(self.distinct & np.uint64(BLOOM - 1)).astype(np.int64)] = True
 
-    def rarer(self, frequency: dict[int, int], share: float) -> None:
-        """Keep each item's rarer seeds."""
-        n = np.array([frequency.get(s, 0) for s in self.seed.view(np.int64).tolist()], np.int64)
-        keep = np.zeros(len(self.seed), bool)
-        for k in range(len(self.rows)):
-            own = np.flatnonzero(self.item == k)
-            ranked = np.sort(n[own])
-            keep[own] = n[own] <= ranked[max(0, int(np.ceil(share * len(own))) - 1)]
-        self.seed, self.item, self.offset = self.seed[keep], self.item[keep], self.offset[keep]
-        self._mark()
-
     def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a text and the seeds found there."""
         at, found = [], []
@@ -103,16 +92,39 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(at), np.concatenate(found)
 
+    def candidates(self, code: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Items and diagonals (place in the text less place in the item) of the hits that
+        an alignment of that score can hold."""
+        at, found = self.hits(code)
+        low = np.searchsorted(self.seed, found)
+        many = np.searchsorted(self.seed, found, "right") - low
+        own = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        item, begin = self.item[own], np.repeat(at, many) - self.offset[own]
+        order = np.lexsort((begin, item))
+        item, begin = item[order], begin[order]
+        need = np.maximum(1, np.ceil(threshold * self.size[item] - 1e-9).astype(np.int64) - 1)
+        # The last of the hits needed, if it is of the same item and near enough.
+        last = np.arange(len(item)) + need - 1
+        here = np.flatnonzero(last < len(item))
+        last = last[here]
+        apart = (1 - threshold) * self.size[item[here]] + 1e-9
+        good = (item[last] == item[here]) & (begin[last] - begin[here] <= apart)
+        # Hits in any such range.
+        cover = np.zeros(len(item) + 1, np.int64)
+        np.add.at(cover, here[good], 1)
+        np.add.at(cover, last[good] + 1, -1)
+        stay = np.cumsum(cover[:-1]) > 0
+        pairs = np.unique(np.stack([item[stay], begin[stay]]), axis=1)
+        return pairs[0], pairs[1]
+
     def matches(self, code: np.ndarray, threshold: float) -> list[dict]:
         """Items that a text holds: item, score, and the stretch of words that was aligned."""
-        at, found = self.hits(code)
         spans: dict[int, list[tuple[int, int]]] = {}
-        for p, g in zip(at.tolist(), found):
-            for s in range(int(np.searchsorted(self.seed, g)), int(np.searchsorted(self.seed, g, "right"))):
-                k, begin = int(self.item[s]), p - int(self.offset[s])
-                size = len(self.rows[k][1])
-                slack = size // 4 + 4
-                spans.setdefault(k, []).append((max(0, begin - slack), min(len(code), begin + size + slack)))
+        for k, begin in zip(*(x.tolist() for x in self.candidates(code, threshold))):
+            # As far as gaps can take an alignment that starts or ends on this diagonal.
+            size = len(self.rows[k][1])
+            slack = int((1 - threshold) * size) + 1
+            spans.setdefault(k, []).append((max(0, begin - slack), min(len(code), begin + size + slack)))
         out = []
         for k, own in spans.items():
             item_id, item = self.rows[k]
@@ -160,15 +172,6 @@ def blocks(items: DataFrame, item_id: str, text: str, width: int) -> Iterator[It
         yield Items([(r.i, r.t) for r in part.toLocalIterator()], width)
 
 
-def seed_finder(block: Broadcast[Items]):
-    """Column function: text to the distinct seeds it holds."""
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def seeds(texts: pa.Array) -> pa.Array:
-        found = (np.unique(block.value.hits(coded(t))[1]).view(np.int64).tolist() for t in texts.to_pylist())
-        return pa.array(found, pa.list_(pa.int64()))
-    return seeds
-
-
 def aligner(block: Broadcast[Items], threshold: float):
     """Column function: text to the items it holds."""
     kind = pa.list_(pa.struct([
@@ -182,7 +185,7 @@ def aligner(block: Broadcast[Items], threshold: float):
 
 def find_items(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    width: int = SEED_WORDS, threshold: float = THRESHOLD, share: float = RARE,
+    width: int = SEED_WORDS, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """All rows and columns with ``matches`` added or replaced: an array of ``item_id``,
     ``score``, ``from_word``, ``to_word``, empty for clean texts."""
@@ -190,10 +193,6 @@ def find_items(
     bounded_batches(spark)
     found = F.array().cast(MATCH)
     for block in blocks(items, item_id, item_text, width):
-        seeds = seed_finder(spark.sparkContext.broadcast(block))
-        # One row per seed of the block at most.
-        counted = docs.select(F.explode(seeds(F.col(text))).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-        block.rarer({r.seed: r.n for r in counted.toLocalIterator()}, share)
         align = aligner(spark.sparkContext.broadcast(block), threshold)
         found = F.concat(found, align(F.col(text)))
     return docs.withColumn("matches", found)

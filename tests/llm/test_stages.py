@@ -247,3 +247,34 @@ def test_training_covers_rare_languages_and_counts_copies_once(spark):
     copies = spanish.limit(1).crossJoin(spark.range(3_000)).select("text", "lang")
     again = language.train(plain.union(spanish).union(copies).repartition(7), "text", "lang")
     assert once[0] == again[0] and np.array_equal(once[1], again[1])
+
+
+# --- edited copies down to the threshold --------------------------------------------
+
+def test_find_items_agrees_with_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(80)]
+    word = lambda: rng.choice(vocabulary)
+    items = [[word() for _ in range(n)] for n in (3, 4, 14, 14, 18, 18, 25, 40)]
+    texts = []
+    for item in items:
+        for step in (2, 3, 4, 5):
+            replaced = [word() if i % step == step - 1 else w for i, w in enumerate(item)]
+            inserted = [x for i, w in enumerate(item) for x in ([w, word()] if i % step == step - 1 else [w])]
+            dropped = [w for i, w in enumerate(item) if i % step != step - 1]
+            texts += [[word() for _ in range(30)] + t + [word() for _ in range(20)] for t in (replaced, inserted, dropped)]
+    # Many copies of an edited passage.
+    texts += [texts[-6]] * 20 + [[word() for _ in range(400)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    number = {w: i for i, w in enumerate(vocabulary)}
+    code = lambda t: np.array([number[w] for w in t])
+    want = {}
+    for (i, t), (k, item) in itertools.product(enumerate(texts), enumerate(items)):
+        score = decontaminate.local_score(code(item), code(t)) / len(item)
+        # Of three or four words two in a row are asked for.
+        pairs = {*zip(item, item[1:])} & {*zip(t, t[1:])}
+        if score >= decontaminate.THRESHOLD and pairs:
+            want[i, k] = score
+    got = {(r.doc_id, m.item_id): m.score for r in decontaminate.find_items(df, asked).collect() for m in r.matches}
+    assert got == pytest.approx(want) and len({k for _, k in want}) == len(items)
