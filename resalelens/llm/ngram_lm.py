@@ -6,9 +6,8 @@ one count per batch before it is shuffled. Each shard adds up what it gets. The
 shards follows the size of the corpus.
 
 Model. Interpolated absolute discounting: ``p(w | v) = (c(v w) - D) / c(v) + a(v) p(w)``
-with ``p(w) = (c(w) + 1) / (N + V + 1)``; pairs seen fewer than ``MIN_PAIR`` times are left
-to the lower order, which ``a(v)`` accounts for. A context that training has not seen
-leaves ``p(w)``.
+with ``p(w) = (c(w) + 1) / (N + V + 1)``. All pairs are kept, those seen once as well
+(``MIN_PAIR``). A context that training has not seen leaves ``p(w)``.
 
 Trie. One file per shard in the shared folder. Level one is the Elias-Fano sequence of its
 words' hashes with their counts and 8-bit weights ``a``; monotone pointers, Elias-Fano as
@@ -41,7 +40,7 @@ from resalelens.operators.storage import fresh_path, written
 U = np.uint64
 END, START = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 SUCCESSOR_BITS = 40
-MIN_PAIR = 2
+MIN_PAIR = 1
 DISCOUNT = 0.75
 #: Text per shard, and tokens that a counting task gathers before it sends them.
 SHARD_BYTES = 16 << 20

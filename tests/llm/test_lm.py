@@ -97,3 +97,13 @@ def test_elias_fano(n, top):
     asked = np.concatenate([v, rng.integers(0, top, 300, dtype=np.uint64, endpoint=True), np.array([0, (1 << 64) - 1], np.uint64)])
     there = set(v.tolist())
     assert coded.find(asked).tolist() == [int(np.searchsorted(v, np.uint64(x))) if x in there else -1 for x in asked.tolist()]
+
+
+def test_pairs_seen_once_count(spark, monkeypatch):
+    rows = [(i, f"left w{i} right once{i} end") for i in range(60)] + [(i, "left w0 right once0 end") for i in range(60, 120)]
+    with monkeypatch.context() as whole:
+        whole.setattr(ngram_lm, "MIN_PAIR", 1)
+        want = expected(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.withColumn("held_out", ngram_lm.held_out(df.doc_id))
+    agree(ngram_lm.score_texts(df, df.filter("NOT held_out")).collect(), want)
