@@ -8,7 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from resalelens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, minhash, ngram_lm, suffix_dedup, token_files, url_rules
+from resalelens.llm import (
+    bpe, decontaminate, embedding_dedup, language, line_dedup, minhash, ngram_lm, suffix_dedup, token_files, url_rules, vector_codes,
+)
 from resalelens.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +155,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.drop_repeats(docs)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, codebooks = vector_codes.encode(vectors)
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.checksum(codebooks)).alias("codebooks_sha256"))
