@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resalelens.llm import (
-    bpe, decontaminate, embedding_dedup, language, line_dedup, minhash, ngram_lm, suffix_dedup, token_files, url_rules, vector_codes,
+    bpe, conversation_repair, decontaminate, embedding_dedup, language, line_dedup, minhash, ngram_lm, suffix_dedup,
+    token_files, url_rules, vector_codes,
 )
 from resalelens.llm.tables import table
 
@@ -163,3 +164,16 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, codebooks = vector_codes.encode(vectors)
     return vector_codes.with_label_error(coded).select(
         "vec_id", "code", "error", "label_error", F.lit(vector_codes.checksum(codebooks)).alias("codebooks_sha256"))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = conversation_repair.Repair(conversation_repair.damaged(rows))
+    same = F.col("_of").eqNullSafe(F.col("conv_id"))
+    found = rows.select(F.col("conv_id").alias("_of")).distinct().join(repair.conversations, same, "left").drop("conv_id")
+    found = found.withColumnRenamed("_of", "conv_id").join(repair.digests().withColumnRenamed("conv_id", "_of"), same, "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
