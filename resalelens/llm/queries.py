@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from resalelens.llm import (
-    bpe, conversation_repair, decontaminate, embedding_dedup, language, line_dedup, minhash, ngram_lm, suffix_dedup,
-    token_files, url_rules, vector_codes,
+    bpe, conversation_repair, decontaminate, embedding_dedup, language, line_dedup, minhash, mixing, ngram_lm,
+    suffix_dedup, token_files, url_rules, vector_codes,
 )
 from resalelens.llm.tables import table
 
@@ -158,6 +158,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, mixing.weights_in_turn(docs))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 @query()
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
