@@ -4,6 +4,7 @@ deals   index pages, sold titles and optional detail pages to ranked deals
 scan    listings, pages, sold prices and found items to new items
 post    numbered items to posting rows under the daily cap, and the report of attempts
 watch   newly captured detail pages to the found-records table, as a stream
+keep    captured pages into a store that later scans look links up in
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
 from resalelens import settings as S  # noqa: E402
-from resalelens.operators.first import first_per_key  # noqa: E402
 from resalelens.operators.search import in_state  # noqa: E402
 from resalelens.operators.storage import written  # noqa: E402
 from resalelens.plans import deals, post, report, scan  # noqa: E402
 from resalelens.session import session  # noqa: E402
-from resalelens.sources import config, found, records  # noqa: E402
+from resalelens.sources import captures, config, found, records  # noqa: E402
 from resalelens.streaming import incremental  # noqa: E402
 
 PAGE_SCHEMA = "page_id LONG, url STRING, html STRING"
@@ -46,11 +46,13 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> None:
     known = found.read_found(spark, a.found)
     searches = in_state(config.searches_of(table), params.state)
     links = scan.links_to_fetch(spark.read.parquet(a.listings), searches, known, params.max_listings_per_search)
-    # The latest capture of each page.
-    pages = first_per_key(spark.read.parquet(a.pages).join(links, "url", "left_semi"), "url", [F.col("page_id").desc()])
+    if captures.is_store(spark, a.pages):
+        pages = captures.latest(spark, a.pages, links)
+    else:
+        pages = captures.latest_of(spark.read.parquet(a.pages), links)
     centroids = spark.read.parquet(a.zips) if a.zips else None
     as_of = F.lit(a.as_of).cast("timestamp") if a.as_of else F.current_timestamp()
-    read = written(records.extract_records(pages), "records")
+    read = written(records.extract_records(pages, **S.RECORD_LIMITS), "records")
     if a.rejects:
         records.rejects(read).write.mode("overwrite").parquet(a.rejects)
     items = written(scan.scan(read, spark.read.parquet(a.prices), as_of, params, centroids), "items")
@@ -58,6 +60,10 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> None:
     found.append_found(items, a.found, order="url")
 
 
+def run_keep(spark: SparkSession, a: argparse.Namespace) -> None:
+    captures.keep(spark.read.parquet(a.pages), a.store, buckets=a.buckets)
+
+
 def run_post(spark: SparkSession, a: argparse.Namespace) -> None:
     params = config.read_config(spark, a.config).first()   # one row of parameters
     post.export(spark.read.parquet(a.items), a.choice, params["your_city_state"], params["max_daily_posts"]).write.mode(
@@ -90,7 +96,7 @@ def parser() -> argparse.ArgumentParser:
     s = jobs.add_parser("scan")
     s.add_argument("--config", default="config.json")
     s.add_argument("--listings", required=True, help="url, title, category, state, price, pos")
-    s.add_argument("--pages", required=True, help="page_id, url, html")
+    s.add_argument("--pages", required=True, help="page_id, url, html: a table, or a store of the keep job")
     s.add_argument("--prices", required=True, help="sold prices: item, pos, price")
     s.add_argument("--found", required=True, help="found-items table, read and added to")
     s.add_argument("--zips", help="centroids: zip, lat, lon")
@@ -114,6 +120,12 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--state", required=True, help="stream checkpoint folder")
     w.add_argument("--files", type=int, help="files per batch")
     w.set_defaults(run=run_watch)
+
+    k = jobs.add_parser("keep")
+    k.add_argument("--pages", required=True, help="page_id, url, html")
+    k.add_argument("--store", required=True, help="capture store, started if there is none")
+    k.add_argument("--buckets", type=int, default=captures.BUCKETS, help="of a new store")
+    k.set_defaults(run=run_keep)
     return p
 
 

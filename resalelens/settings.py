@@ -22,6 +22,7 @@ MAX_PHOTOS = 10
 MAX_LOCATION = 100
 MAX_DESCRIPTION = 2000
 MAX_EXPORT_TITLE = 100
+RECORD_LIMITS = {"max_location": MAX_LOCATION, "max_photos": MAX_PHOTOS, "max_description": MAX_DESCRIPTION}
 MAX_LISTINGS = 50
 DEFAULT_HOURS = 72
 CLOSING_HOURS = 24

@@ -15,30 +15,27 @@ CARD_PRICE = r"\$[\d,]+(?:\.\d{2})?"
 BASE_URL = "https://www.publicsurplus.com"
 
 
-def scan_cards(pages: DataFrame) -> DataFrame:
-    """Anchors to a listing with the lines and first price of the card around them."""
-    nodes = F.col("nodes")
+def _cards(nodes: dom.Nodes) -> tuple:
+    """Anchors to a listing, each with the text of the item around it, else of its parent."""
+    found, shown = [], {}
+    for at, n in enumerate(nodes, 1):
+        if n[dom.TAG] == "a" and n[dom.HREF] and urls.VIEW_PATH in n[dom.HREF]:
+            frame = n[dom.ITEM] or n[dom.PARENT]
+            if frame not in shown:
+                shown[frame] = dom.shown_of(nodes, frame)
+            found.append({"href": n[dom.HREF], "anchor_text": dom.shown_of(nodes, at), "card": shown[frame]})
+    return (found,)
 
-    def card_of(at: Column) -> Column:
-        anchor = F.element_at(nodes, at)
-        frame = F.when(anchor["item"] > 0, anchor["item"]).otherwise(anchor["parent"])
-        card = dom.rendered_text(nodes, frame)
-        return F.struct(
-            anchor["href"].alias("href"),
-            text.strip(dom.rendered_text(nodes, at)).alias("anchor_text"),
-            card.alias("card"),
-        )
 
-    anchors = dom.positions(
-        nodes, lambda n: dom.is_element(n, "a") & urls.is_listing_link(n["href"]))
-    # Cards are read inside the page's row; only their texts are exploded.
+def scan_cards(pages: DataFrame) -> DataFrame:
+    """Anchors to a listing with the lines and first price of the card around them."""
     found = (
-        dom.page_nodes(pages.select("page_id", "html"), rendered=True)
-        .select("page_id", F.posexplode(F.transform(anchors, card_of)).alias("pos", "c"))
-        .select("page_id", "pos", "c.*")
+        dom.page_values(
+            pages.select("page_id", "html"), _cards, "cards ARRAY<STRUCT<href: STRING, anchor_text: STRING, card: STRING>>", rendered=True)
+        .select("page_id", F.posexplode("cards").alias("pos", "c")).select("page_id", "pos", "c.*")
     )
     return found.select(
-        "page_id", "pos", "href", "anchor_text",
+        "page_id", "pos", "href", text.strip(F.col("anchor_text")).alias("anchor_text"),
         F.regexp_extract("card", CARD_PRICE, 0).alias("price_str"),
         text.card_lines(F.col("card")).alias("card_lines"),
     )

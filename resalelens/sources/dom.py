@@ -1,19 +1,23 @@
 """Captured HTML pages as node arrays.
 
-One Arrow map turns each page into an array of nodes in document order. Everything
-that reads a page afterwards is array work on its own row, so no extraction needs a
-shuffle. An element's text is the run of text nodes up to its ``stop`` position.
+``page_values`` parses each page once and hands its nodes to a reader, which picks the few
+texts that a job asks for; nothing else leaves the Python worker, and one page's nodes are
+in memory at a time. ``page_nodes`` gives all nodes as an array for ad-hoc queries, which
+are then array work on the page's own row. Neither shuffles. Nodes are in document order;
+an element's text is the run of text nodes up to its ``stop`` position.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from resalelens.functions.text import strip
+from resalelens.functions.text import BLANKS, strip
 
 # Kinds of node. HIDDEN are comments; RAW is the text of the RAW_TAGS, which counts as
 # text of those elements only.
@@ -35,9 +39,10 @@ NODE = T.StructType([
     T.StructField("src", T.StringType()),
     T.StructField("dir", T.StringType()),
 ])
-_STOP, _NEXT, _TEXT = (NODE.names.index(n) for n in ("stop", "next_elem", "text"))
+KIND, PARENT, STOP, NEXT, ITEM, TAG, TEXT_OF, GAP, ID, CLS, HREF, SRC = range(12)   # places in a node
 _ARROW = pa.struct([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in NODE.fields])
 _PAGES_PER_BATCH = 256
+_BYTES_PER_BATCH = 8 << 20
 _DOCUMENT = "#document"   # tag of the node around all others, always at position 1
 
 # Fixed values of HTML: elements without content, elements that start a new line,
@@ -79,7 +84,7 @@ class _Nodes(HTMLParser):
     def _close_to(self, depth: int) -> None:
         here = len(self.rows)
         for tag, at, _, _ in self.open[depth:]:
-            self.rows[at - 1][_STOP] = here
+            self.rows[at - 1][STOP] = here
             if tag in _LINE:
                 self.gap = "\n"
         del self.open[depth:]
@@ -117,7 +122,7 @@ class _Nodes(HTMLParser):
             kept.get("id"), cls, kept.get("href"), kept.get("src"), kept.get("dir")])
         before = self.last_child.get(parent)
         if before:
-            self.rows[before - 1][_NEXT] = at
+            self.rows[before - 1][NEXT] = at
         self.last_child[parent] = at
         if tag not in _VOID:
             self.open.append((tag, at, item, raw or tag in RAW_TAGS))
@@ -140,7 +145,7 @@ class _Nodes(HTMLParser):
 
     def handle_data(self, data):
         if self.joined:
-            self.rows[-1][_TEXT] += data
+            self.rows[-1][TEXT_OF] += data
             return
         if self.open[-1][3]:
             self._add_text(RAW, data, "")
@@ -200,6 +205,63 @@ def _arrow_nodes(rendered: bool):
     return run
 
 
+Nodes = list[list]
+
+
+def texts_of(nodes: Nodes, at: int) -> list[list]:
+    """Text nodes inside the element at a position."""
+    element = nodes[at - 1]
+    raw = element[TAG] in RAW_TAGS
+    return [n for n in nodes[at - 1:element[STOP]] if n[KIND] == TEXT or raw and n[KIND] == RAW]
+
+
+def raw_of(nodes: Nodes, at: int, sep: str = "") -> str:
+    """Text of an element as written."""
+    return sep.join(n[TEXT_OF] for n in texts_of(nodes, at))
+
+
+def clean_of(nodes: Nodes, at: int, sep: str = "") -> str:
+    """Text of an element with every piece trimmed and blank pieces left out."""
+    return sep.join(t for n in texts_of(nodes, at) if (t := n[TEXT_OF].strip(BLANKS)))
+
+
+_BLANK_RUN = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def shown_of(nodes: Nodes, at: int) -> str:
+    """Text of an element with the line breaks a reader sees."""
+    return "".join(n[GAP] + _BLANK_RUN.sub(" ", n[TEXT_OF]) for n in texts_of(nodes, at))
+
+
+def _arrow_values(read: Callable, schema: pa.Schema, rendered: bool, keep: list[str], drop: list[str]):
+    names = [n for n in schema.names if n not in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, start, size = [], 0, 0
+            pages = [batch.column(c).to_pylist() for c in drop]
+            for i, (html, *known) in enumerate(zip(batch.column("html").to_pylist(), *pages)):
+                found = read(_Nodes(rendered).read(html or ""), *known)
+                rows.append(found)
+                size += sum(len(str(v)) for v in found)
+                if size > _BYTES_PER_BATCH or i == batch.num_rows - 1:
+                    picked = [pa.array(list(c), schema.field(n).type) for n, c in zip(names, zip(*rows))]
+                    whole = [batch.column(n).slice(start, len(rows)) for n in keep]
+                    yield pa.RecordBatch.from_arrays(whole + picked, keep + names)
+                    rows, start, size = [], i + 1, 0
+    return run
+
+
+def page_values(pages: DataFrame, read: Callable, fields: str, known: tuple[str, ...] = (), rendered: bool = False) -> DataFrame:
+    """Replace ``html`` by the columns ``fields``. ``read(nodes, *known)`` gives their values
+    for a page, from its nodes and the page's columns ``known``. Filter and project pages
+    before this call: neither crosses a Python map."""
+    kept = [f for f in pages.schema.fields if f.name != "html"]
+    schema = T.StructType(kept + T.StructType.fromDDL(fields).fields)
+    run = _arrow_values(read, to_arrow_schema(schema), rendered, [f.name for f in kept], list(known))
+    return pages.mapInArrow(run, schema)
+
+
 def page_nodes(pages: DataFrame, rendered: bool = False) -> DataFrame:
     """Replace ``html`` by ``nodes``. Filter and project pages before this call:
     neither crosses a Python map."""

@@ -1,11 +1,16 @@
 """Listing-detail pages as typed records, driven by site rules.
 
-A new site is one more rule. Rules are folded into the plan as literals, so routing
-a page to its rule is a projection, not a join.
+A new site is one more rule. Rules are data: one literal table routes a link to its site,
+and a page is read by the compiled patterns of its own site, all labels in one pass over its
+texts. Neither the plan nor the work on a page grows with the number of rules. The texts
+under the labels are all that leaves the pass; amounts and dates are read from them by
+built-in functions.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -87,26 +92,19 @@ LOCATION_CLASS = r"location|pickup|agency"
 DETAIL_PHOTO = r"auction|photo|img"
 
 
-def _by_site(rules, value) -> Column:
-    """CASE over the site column; ``value`` maps a rule to its column."""
-    chain = F
-    for rule in rules:
-        chain = chain.when(F.col("site") == rule.site, value(rule))
-    return chain
+UNKNOWN = "unknown"
 
 
 def site_of(url: Column, rules=SITE_RULES) -> Column:
     """Site of the first rule whose host occurs in the link; NULL without one."""
-    chain = F
-    for rule in rules:
-        chain = chain.when(F.contains(url, F.lit(rule.host)), rule.site)
-    return chain
+    table = F.from_json(F.lit(json.dumps([[r.host, r.site] for r in rules])), "array<array<string>>")
+    return F.try_element_at(F.filter(table, lambda r: F.contains(url, r[0])), F.lit(1))[1]
 
 
 def routed(pages: DataFrame, rules=SITE_RULES) -> DataFrame:
     """Add ``site``, and ``error`` for pages no rule covers."""
     site = site_of(F.col("url"), rules)
-    return pages.withColumn("site", F.coalesce(site, F.lit("unknown"))).withColumn(
+    return pages.withColumn("site", F.coalesce(site, F.lit(UNKNOWN))).withColumn(
         "error", F.when(site.isNull(), S.UNSUPPORTED))
 
 
@@ -118,98 +116,121 @@ def rejects(records: DataFrame) -> DataFrame:
     return records.filter(F.col("error").isNotNull()).select("url", "site", "error")
 
 
-def _first_text(values: Column, test) -> Column:
-    return F.try_element_at(F.filter(values, test), F.lit(1))
-
-
-def _labelled(nodes: Column, pattern: str) -> Column:
-    """Parents of the text nodes that carry a label, in document order."""
-    labels = F.filter(nodes, lambda n: (n["kind"] != dom.ELEMENT) & n["text"].rlike(pattern))
-    return F.transform(labels, lambda n: n["parent"])
-
-
-def _title(nodes: Column, rule: SiteRule) -> Column:
-    tries = [
-        dom.clean_text(nodes, dom.first_position(nodes, lambda n, t=tag: dom.is_element(n, t)))
-        for tag in rule.title_tags
-    ]
-    # The first heading counts even if it is empty.
-    return F.coalesce(*tries)
-
-
-def _lot(url: Column, rule: SiteRule) -> Column:
-    return F.coalesce(*[blank_to_null(F.regexp_extract(url, p, 1)) for p in rule.lot_patterns])
-
-
-def _bid(nodes: Column, rule: SiteRule, loose: bool) -> Column:
-    text = dom.clean_text if rule.spaced_bid else dom.raw_text
-    sep = " " if rule.spaced_bid else ""
-    bids = F.transform(_labelled(nodes, rule.bid_label), lambda p: money.bid_of(text(nodes, p, sep), loose))
-    return F.try_element_at(F.filter(bids, lambda b: b > 0), F.lit(1))
-
-
-def _end_date(nodes: Column, rule: SiteRule) -> Column:
-    dates = F.transform(
-        _labelled(nodes, rule.date_label),
-        lambda p: F.regexp_extract(dom.raw_text(nodes, p, " "), DATE_IN_TEXT, 0))
-    return _first_text(dates, lambda d: d != "")
-
-
-def _location(nodes: Column, rule: SiteRule) -> Column:
-    parents = _labelled(nodes, rule.location_label)
-    if rule.location_mode == "parent":
-        text = dom.clean_text(nodes, F.try_element_at(parents, F.lit(1)))
-    else:
-        def beside(p: Column) -> Column:
-            sibling = F.element_at(nodes, p)["next_elem"]
-            alone = dom.clean_text(nodes, p) if rule.location_mode == "sibling_or_parent" else F.lit("")
-            return F.when(sibling > 0, dom.clean_text(nodes, F.greatest(sibling, F.lit(1)))).otherwise(alone)
-        text = _first_text(F.transform(parents, beside), lambda t: t != "")
-    return F.substring(text, 1, S.MAX_LOCATION)
-
-
-def _photos(nodes: Column, rule: SiteRule) -> Column:
-    images = F.filter(
-        nodes, lambda n: dom.is_element(n, "img") & n["src"].isNotNull() & n["src"].rlike(rule.photo_pattern))
-    links = F.transform(images, lambda n: n["src"])
-    if rule.base_url:
-        links = F.array_distinct(F.transform(links, lambda s: absolutize(s, rule.base_url)))
-    return F.slice(links, 1, S.MAX_PHOTOS)
-
-
-def _description(nodes: Column, rule: SiteRule) -> Column:
-    tries = [
-        dom.clean_text(
-            nodes, dom.first_position(nodes, lambda n, t=tag, c=cls: dom.is_element(n, t) & n["cls"].rlike(c)), " ")
-        for tag, cls in rule.descriptions
-    ]
-    text = F.coalesce(*tries) if tries else F.lit(None).cast("string")
-    return F.substring(text, 1, S.MAX_DESCRIPTION)
-
-
-def extract_records(pages: DataFrame, rules=SITE_RULES, loose: bool = False) -> DataFrame:
+class _Reader:
+    """Reads pages of one site. A page's texts are searched for any label first; the few
+    that hit are then tried for each kind of label."""
+
+    FIELDS = (
+        "title STRING, lot STRING, bids ARRAY<STRING>, dates ARRAY<STRING>, location STRING, photos ARRAY<STRING>, "
+        "description STRING, base STRING")
+
+    def __init__(self, rule: SiteRule):
+        self.rule = rule
+        self.lots = [re.compile(p) for p in rule.lot_patterns]
+        labels = (rule.bid_label, rule.date_label, rule.location_label)
+        self.labels = [re.compile(p) for p in labels]
+        self.any_label = re.compile("|".join(f"(?:{_scoped(p)})" for p in labels))
+        self.photo = re.compile(rule.photo_pattern)
+        self.descriptions = [(tag, re.compile(p)) for tag, p in rule.descriptions]
+
+    def lot(self, url: str) -> str | None:
+        return next((m[1] for p in self.lots if (m := p.search(url)) and m[1]), None)
+
+    def location(self, nodes: dom.Nodes, parents: list[int]) -> str | None:
+        mode = self.rule.location_mode
+        if mode == "parent":
+            return dom.clean_of(nodes, parents[0]) if parents else None
+        for p in parents:
+            beside = nodes[p - 1][dom.NEXT]
+            text = dom.clean_of(nodes, beside) if beside else dom.clean_of(nodes, p) if mode == "sibling_or_parent" else ""
+            if text:
+                return text
+        return None
+
+    def read(self, nodes: dom.Nodes, url: str) -> tuple:
+        bid, date, place = self.labels
+        bids, dates, places, photos = [], [], [], []
+        titles, descriptions = {}, {}
+        for at, n in enumerate(nodes, 1):
+            if n[dom.KIND] != dom.ELEMENT:
+                text = n[dom.TEXT_OF]
+                if self.any_label.search(text):
+                    for pattern, parents in ((bid, bids), (date, dates), (place, places)):
+                        if pattern.search(text):
+                            parents.append(n[dom.PARENT])
+                continue
+            tag = n[dom.TAG]
+            if tag in self.rule.title_tags:
+                titles.setdefault(tag, at)
+            if tag == "img" and n[dom.SRC] is not None and self.photo.search(n[dom.SRC]):
+                photos.append(n[dom.SRC])
+            if n[dom.CLS] is not None:
+                for k, (of, pattern) in enumerate(self.descriptions):
+                    if of == tag and k not in descriptions and pattern.search(n[dom.CLS]):
+                        descriptions[k] = at
+        # The first heading counts even if it is empty.
+        title = next((titles[t] for t in self.rule.title_tags if t in titles), None)
+        about = min(descriptions) if descriptions else None
+        bid_text = (lambda p: dom.clean_of(nodes, p, " ")) if self.rule.spaced_bid else (lambda p: dom.raw_of(nodes, p))
+        return (
+            None if title is None else dom.clean_of(nodes, title), self.lot(url), list(map(bid_text, bids)),
+            [dom.raw_of(nodes, p, " ") for p in dates], self.location(nodes, places), photos,
+            None if about is None else dom.clean_of(nodes, descriptions[about], " "), self.rule.base_url)
+
+
+def _scoped(pattern: str) -> str:
+    """A pattern whose leading flag holds for itself only, to stand beside others."""
+    return f"(?i:{pattern[4:]})" if pattern.startswith("(?i)") else pattern
+
+
+def _page_reader(rules):
+    """Reader of pages by their site; patterns are compiled once per worker and site."""
+    of_site = {r.site: r for r in reversed(rules)}
+    readers: dict[str, _Reader] = {}
+
+    def read(nodes: dom.Nodes, url: str, site: str) -> tuple:
+        if site not in readers:
+            readers[site] = _Reader(of_site[site])
+        return readers[site].read(nodes, url)
+    return read
+
+
+def extract_records(
+    pages: DataFrame, rules=SITE_RULES, loose: bool = False, max_location: int | None = None,
+    max_photos: int | None = None, max_description: int | None = None,
+) -> DataFrame:
     """One record per page. ``pages`` has ``page_id, url, html``.
 
-    Absent texts are NULL here; :func:`with_sentinels` gives the output form.
+    Absent texts are NULL here; :func:`with_sentinels` gives the output form. Locations,
+    photos and descriptions are whole unless a limit is given.
     """
     sited = routed(pages.select("page_id", "url", "html"), rules)
-    known = dom.page_nodes(accepted(sited).drop("error"))
-    nodes = F.col("nodes")
+    known = dom.page_values(accepted(sited).drop("error"), _page_reader(rules), _Reader.FIELDS, ("url", "site"))
+    bids = F.transform("bids", lambda t: money.bid_of(t, loose))
+    dates = F.transform("dates", lambda t: F.regexp_extract(t, DATE_IN_TEXT, 0))
+    links = F.when(F.col("base") == "", F.col("photos")).otherwise(
+        F.array_distinct(F.transform("photos", lambda s: absolutize(s, F.col("base")))))
+
+    def cut(text: str, limit: int | None) -> Column:
+        return (F.col(text) if limit is None else F.substring(text, 1, limit)).alias(text)
+
     found = known.select(
-        "page_id", "url", "site",
-        _by_site(rules, lambda r: _title(nodes, r)).alias("title"),
-        _by_site(rules, lambda r: _lot(F.col("url"), r)).alias("lot"),
-        _by_site(rules, lambda r: _bid(nodes, r, loose)).alias("current_bid"),
-        _by_site(rules, lambda r: _end_date(nodes, r)).alias("end_date"),
-        _by_site(rules, lambda r: _location(nodes, r)).alias("location"),
-        _by_site(rules, lambda r: _photos(nodes, r)).alias("photos"),
-        _by_site(rules, lambda r: _description(nodes, r)).alias("description"),
+        "page_id", "url", "site", "title", "lot",
+        _first(bids, lambda b: b > 0).alias("current_bid"),
+        _first(dates, lambda d: d != "").alias("end_date"),
+        cut("location", max_location),
+        (links if max_photos is None else F.slice(links, 1, max_photos)).alias("photos"),
+        cut("description", max_description),
         F.lit(None).cast("string").alias("error"),
     )
     unknown = sited.filter(F.col("error").isNotNull()).select("page_id", "url", "site", "error")
     return found.unionByName(unknown, allowMissingColumns=True)
 
 
+def _first(values: Column, test) -> Column:
+    return F.try_element_at(F.filter(values, test), F.lit(1))
+
+
 def with_sentinels(records: DataFrame) -> DataFrame:
     """Output form: absent texts are empty, an absent bid is zero."""
     texts = {c: "" for c in ("title", "lot", "end_date", "location", "description")}

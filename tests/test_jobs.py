@@ -43,15 +43,19 @@ def test_scan_job_adds_items_once(spark, tmp_path):
         "page_id LONG, url STRING, html STRING")
     prices = write(spark, f"{tmp_path}/prices", [("Band saw", i, 300.0) for i in range(3)], "item STRING, pos INT, price DOUBLE")
     zips = write(spark, f"{tmp_path}/zips", [("85001", 33.45, -112.07)], "zip STRING, lat DOUBLE, lon DOUBLE")
-    def run():
+    store = f"{tmp_path}/store"
+    jobs.main(["keep", "--pages", pages, "--store", store, "--buckets", "3"])
+
+    def run(pages=pages):
         jobs.main(["scan", "--config", str(tmp_path / "config.json"), "--listings", listings, "--pages", pages, "--prices", prices,
-                   "--zips", zips, "--found", f"{tmp_path}/found", "--as-of", "2026-02-01", "--out", f"{tmp_path}/out"])
+                   "--zips", zips, "--found", f"{tmp_path}/found-{os.path.basename(pages)}", "--as-of", "2026-02-01", "--out", f"{tmp_path}/out"])
         return [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/out").collect()]
     first = run()
     assert sorted((i["lot"], i["bid"], i["profit"], i["ends"]) for i in first) == [
         ("0", 50.0, 250.0, "2026-03-01"), ("1", 51.0, 249.0, "2026-03-02")]
     assert run() == []      # the capped links are known now
-    assert found.read_found(spark, f"{tmp_path}/found").count() == 2
+    assert found.read_found(spark, f"{tmp_path}/found-{os.path.basename(pages)}").count() == 2
+    assert run(store) == first
 
 
 def test_watch_job(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Hand-written pages with the records expected of them."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ LAYOUT_B = """<body><h2>Lathe &amp; tools</h2><div>Starting Bid: <em>USD</em> 1,
 
 
 def test_layout_b(spark):
-    r = record(spark, "https://www.bidspotter.com/en-us/x/lots/ab12?x", LAYOUT_B)
+    r = record(spark, "https://www.bidspotter.com/en-us/x/lots/ab12?x", LAYOUT_B, max_description=S.MAX_DESCRIPTION)
     assert (r["title"], r["lot"], r["current_bid"], r["end_date"]) == ("Lathe & tools", "ab12", 1040.0, "12/01/2026")
     assert r["location"].replace("\n ", "\n") == "Houston,TX"
     assert r["photos"] == ["https://www.bidspotter.com/img/a.jpg", "http://cdn/x/LOT9.png"]
@@ -83,8 +84,10 @@ def test_layout_c(spark, url, lot):
 
 def test_photos_and_location_are_cut(spark):
     html = "<h1>x</h1><p>Location: " + "y" * 200 + "</p>" + "".join(f"<img src='/photo{i}'>" for i in range(15))
-    r = record(spark, "https://www.publicsurplus.com/x", html)
+    r = record(spark, "https://www.publicsurplus.com/x", html, **S.RECORD_LIMITS)
     assert len(r["location"]) == 100 and r["photos"] == [f"/photo{i}" for i in range(10)]
+    r = record(spark, "https://www.publicsurplus.com/x", html)
+    assert len(r["location"]) == 210 and len(r["photos"]) == 15
 
 
 def test_unsupported_host_and_route_order(spark):
@@ -267,3 +270,13 @@ def test_scan_filters(spark):
 
 def test_bounds_are_fixed():
     assert S.SCORER_BOUNDS == (0.99, 50000.0) and S.MARKET_BOUNDS == (1.0, 100000.0)
+
+
+def test_plan_does_not_grow_with_rules(spark):
+    """Three and two hundred rules give plans of the same size, and pages find their rule."""
+    many = tuple(replace(records.SITE_RULES[0], site=f"s{i}", host=f"host{i}.example") for i in range(200))
+    df = pages(spark, (1, "https://a.host7.example/item/5", "<h1>x</h1>"), (2, "https://host199.example/", "<h1>y</h1><p>Buy Now 7</p>"))
+    few, all_ = (records.extract_records(df, rules)._jdf.queryExecution().executedPlan().treeString() for rules in (many[:3], many))
+    assert len(few.splitlines()) == len(all_.splitlines()) and all_.count("CASE") == few.count("CASE")
+    got = records.extract_records(df, many).orderBy("page_id").collect()
+    assert [(r.site, r.title, r.lot, r.current_bid) for r in got] == [("s7", "x", "5", None), ("s199", "y", None, 7.0)]

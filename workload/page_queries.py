@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from resalelens import settings as S
-from resalelens.functions import dates, money
+from resalelens.functions import money
 from resalelens.functions.urls import absolutize
 from resalelens.operators.filters import has_title
 from resalelens.operators.first import first_per_key
+from resalelens.operators.storage import fresh_path
 from resalelens.plans import deals
-from resalelens.sources import cards, dom, links, prices, records
+from resalelens.sources import captures, cards, dom, links, prices, records
 from resalelens.sources.records import SiteRule
 from workload.registry import query
-from workload.standins import DEAL_SQL, SCORED_SQL, STATS_SQL, UNIT_SQL, table, unit_price
+from workload.standins import DEAL_SQL, SCORED_SQL, STATS_SQL, UNIT_SQL, part_listings, table, unit_price
 
 TEXT_SQL = r"""trim(replace(replace(replace(replace(replace(regexp_replace({}, '&(lt|gt|quot|#39|nbsp|amp);?', '&\1;', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'))"""
@@ -104,7 +105,7 @@ SELECT page_id, site,
   left({TEXT_SQL.format("regexp_extract(html, '<div class=.ad.>(.*?)</div>', 1, 's')")}, 2000) AS description
 FROM routed WHERE site IS NOT NULL""")
 def page_records(spark, d):
-    found = records.extract_records(pages(spark, d), PAGE_RULES)
+    found = records.extract_records(pages(spark, d), PAGE_RULES, **S.RECORD_LIMITS)
     return records.with_sentinels(records.accepted(found)).select("page_id", "site", "title", "lot", "description")
 
 
@@ -170,13 +171,13 @@ record AS (
 
 @query(f"WITH {AUCTION_SQL}\nSELECT * FROM record")
 def auction_records(spark, d):
-    found = records.with_sentinels(records.extract_records(auction_pages(spark, d)))
+    found = records.with_sentinels(records.extract_records(auction_pages(spark, d), **S.RECORD_LIMITS))
     return found.withColumn("photos", F.coalesce(F.array_join("photos", " "), F.lit("")))
 
 
 @query(f"WITH {AUCTION_SQL}\nSELECT url, site, error FROM record WHERE error IS NOT NULL")
 def rejected_pages(spark, d):
-    return records.rejects(records.extract_records(auction_pages(spark, d)))
+    return records.rejects(records.extract_records(auction_pages(spark, d), **S.RECORD_LIMITS))
 
 
 @query("""SELECT p_partkey AS page_id, p_name || ' kit' AS title, 'Runs well.
@@ -260,12 +261,6 @@ def market_prices(spark, d):
     return prices.market_prices(prices.scan_sold(price_pages(spark, d))).select("query", "page_id", "pos", "price")
 
 
-def record_table(spark, d) -> DataFrame:
-    """Records of the auction pages with parsed closing dates."""
-    found = records.extract_records(auction_pages(spark, d))
-    return found.withColumn("ends", dates.end_date(F.col("end_date")))
-
-
 # --- pages to deals -------------------------------------------------------------------
 
 def detail_pages(spark, d) -> DataFrame:
@@ -312,3 +307,23 @@ def deals_from_pages(spark, d):
     return found.select(
         "deal_number", "id", "title", "price", "comps_avg", "comps_median", "comps_count", "comps_query",
         "resale_estimate", "profit_ratio", "est_profit", "confidence", F.array_join("risk_flags", ", ").alias("risk"))
+
+
+# --- captures kept for lookup -----------------------------------------------------------
+
+@query("""SELECT CASE WHEN p_size % 2 = 0 THEN p_partkey + 100000000 ELSE p_partkey END AS page_id,
+  'https://www.publicsurplus.com/sms/auction/view?auc=' || p_partkey AS url, CAST(p_partkey AS VARCHAR) AS lot,
+  CASE WHEN p_size % 2 = 0 THEN p_name || ' &' || p_brand ELSE 'First ' || p_partkey END AS title
+FROM part WHERE p_partkey % 4 = 0""")
+def latest_captures(spark, d):
+    """Every part's page is captured, those of even size again later, and some captures are
+    stored twice; all listing links are then looked up."""
+    again = auction_pages(spark, d).join(
+        table(spark, d, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("page_id")), "page_id", "left_semi")
+    again = again.withColumn("page_id", F.col("page_id") + 100000000)
+    title = F.concat(F.lit("<h1>First "), F.col("page_id").cast("string"), F.lit("</h1>"))
+    store = fresh_path(spark, "captures")
+    captures.keep(auction_pages(spark, d).withColumn("html", title), store, buckets=16)
+    captures.keep(again.unionByName(again.filter("length(url) % 2 = 0")), store)
+    found = records.extract_records(captures.latest(spark, store, part_listings(spark, d)))
+    return records.accepted(found).select("page_id", "url", "lot", "title")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from resalelens import settings as S
 from resalelens.functions import money
 from resalelens.operators import filters, posting
 from resalelens.operators.storage import fresh_path
@@ -39,7 +40,7 @@ def kept_items(spark, d) -> DataFrame:
     names = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("item"))
     sold = table(spark, d, "lineitem").select("l_partkey", F.struct(*LINE_ORDER).alias("pos"), unit_price().alias("price"))
     prices = sold.filter(money.between_exclusive(F.col("price"), (1.0, 100000.0))).join(names, "l_partkey")
-    found_records = records.extract_records(auction_pages(spark, d))
+    found_records = records.extract_records(auction_pages(spark, d), **S.RECORD_LIMITS)
     return scan.scan(found_records, prices, F.lit(AS_OF).cast("timestamp"))
 
 
