@@ -73,7 +73,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _glob_regex(glob: str) -> str:
-    return "".join({"*": ".*", "@": "[^/]*"}.get(ch, re.escape(ch)) for ch in glob).replace("'", "''")
+    return "".join({"*": ".*", "@": "[^/?]*"}.get(ch, re.escape(ch)) for ch in glob).replace("'", "''")
 
 
 def _urls_sql() -> str:

@@ -8,7 +8,8 @@ not limited by the word. The states of a batch of URLs are a matrix: one array s
 character position moves all patterns on all URLs that are still being read.
 
 Patterns are matched against ``.host path ?query`` (the canonical URL below) as a whole:
-``*`` is any run of characters and ``@`` any run without a slash.
+``*`` is any run of characters and ``@`` any run without a slash or
+question mark, so that ``@`` stays within the host.
 
 Host rules ``host/path`` become ``@.host/path*``: the host itself and its subdomains, and
 paths that start with the rule's. The longest fitting host rule decides. Where none fits,
@@ -32,6 +33,8 @@ from resalelens.llm.tables import bounded_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = 64
+#: Bytes that ``@`` does not cross: a host ends at a slash or a question mark.
+PART_ENDS = list(b"/?")
 
 
 @dataclass(frozen=True)
@@ -79,9 +82,9 @@ class GlobSet:
         n = sum(len(lits) for lits, _ in parsed)
         self.words = max(1, -(-n // WORD))
         accept = [[] for _ in range(256)]
-        loops = [np.zeros(self.words, np.uint64) for _ in range(2)]     # any byte, no slash
+        loops = [np.zeros(self.words, np.uint64) for _ in range(2)]     # any byte, no part end
         self.always = np.zeros(self.words, np.uint64)                    # starts anywhere
-        self.no_slash = np.zeros(self.words, np.uint64)                  # starts before a slash
+        self.no_slash = np.zeros(self.words, np.uint64)                  # starts before a part end
         self.first = np.zeros(self.words, np.uint64)                     # starts at the start
         self.ends: list[tuple[int, np.uint64]] = []
         bit = 0
@@ -103,7 +106,8 @@ class GlobSet:
             for word, mask in places:
                 self.accept[byte, word] |= mask
         self.loop = np.tile(loops[0] | loops[1], (256, 1))
-        self.loop[ord("/")] = loops[0]
+        for byte in PART_ENDS:
+            self.loop[byte] = loops[0]
         # A literal may only follow the literal before it in its own pattern.
         self.begin = self.first | self.always | self.no_slash
 
@@ -144,7 +148,7 @@ class GlobSet:
             if i == 0:
                 moved |= self.first
             state[:live] = (moved & self.accept[byte]) | (old & self.loop[byte])
-            slashed[:live] |= byte == ord("/")
+            slashed[:live] |= np.isin(byte, PART_ENDS)
         out = np.zeros((len(texts), len(self.ends)), bool)
         for g, (word, mask) in enumerate(self.ends):
             out[order, g] = (state[:, word] & mask) != 0

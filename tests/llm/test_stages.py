@@ -59,13 +59,13 @@ def test_line_dedup(spark):
 def test_globs_against_regular_expressions():
     rng = random.Random(2)
     for _ in range(60):
-        globs = ["".join(rng.choice("ab/*@") for _ in range(rng.randint(1, 9))) for _ in range(30)]
+        globs = ["".join(rng.choice("ab/?*@") for _ in range(rng.randint(1, 9))) for _ in range(30)]
         globs = [g for g in globs if set(g) - set("*@")] or ["a"]
-        texts = ["".join(rng.choice("ab/") for _ in range(rng.randint(0, 10))) for _ in range(50)]
+        texts = ["".join(rng.choice("ab/?") for _ in range(rng.randint(0, 10))) for _ in range(50)]
         hit = url_rules.GlobSet(globs).match([t.encode() for t in texts])
         for j, g in enumerate(globs):
             # A run of wildcards is one: any run of characters if one of them is.
-            shape = re.sub(r"[*@]+", lambda m: ".*" if "*" in m[0] else "[^/]*", g)
+            shape = re.sub(r"[*@]+", lambda m: ".*" if "*" in m[0] else "[^/?]*", g.replace("?", "[?]"))
             for i, t in enumerate(texts):
                 assert hit[i, j] == bool(re.fullmatch(shape, t)), (g, t)
 
@@ -77,7 +77,8 @@ def test_url_rules(spark):
         "http://x.org/fr/a": ("org/fr/", "allow"), "http://x.org/FR/a": (None, "allow"), "http://a.net": (None, "allow"), "http://a.net?/": (None, "allow"),
         "http://a.net#/": (None, "allow"), "http://a.com/x.net/": (None, "allow"), "http://a.net:80/": (None, "allow"), "a.net/x": (None, "allow"),
         "": (None, "allow"), None: (None, "allow"), "http://net/": ("net/", "block"), "://a.net/": ("net/", "block"),
-        "http://a.com/login": (None, "block"), "http://a.com/a.zip": (None, "block"), "http://a.com/x?sessionid=1": (None, "block"),
+        "http://x.com?a.net/y": (None, "allow"), "http://x.com?q=.org/fr/login": (None, "block"),
+        "http://x.com#.net/": (None, "allow"), "http://x.com?.example.com/de/": (None, "allow"), "http://a.com/login": (None, "block"), "http://a.com/a.zip": (None, "block"), "http://a.com/x?sessionid=1": (None, "block"),
         "http://é.com/ü" + "q" * 100_000: (None, "allow"), "http://a.org/fr/login": ("org/fr/", "allow"), "x\ny://B.net/\nz": ("net/", "block"),
     }
     df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate([*want, "http://a.net/x"])], "page_id long, url string, host string")
