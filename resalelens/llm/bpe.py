@@ -16,7 +16,8 @@ once, follows the vocabulary's trie from each reached position, and takes the ar
 automaton has. Decoding emits the label of each arc.
 
 Texts are pre-split into chunks between white space, which no token crosses; each
-worker keeps the ids of chunks it has seen, in a memo of bounded size.
+worker keeps the ids of chunks it has seen, in a memo of bounded size that it drops when
+another operator runs in it.
 
 Null and empty texts give no tokens.
 """
@@ -34,10 +35,13 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from resalelens.llm.tables import bounded_batches
+from resalelens.llm.tables import at_work, bounded_batches, keeps
 
-MEMO_CHUNKS = 300_000
-MEMO_ARCS = 2_000_000
+#: Entries of the memos; keys of more than ``MEMO_KEY`` characters or bytes are not kept, so
+#: these bound bytes as well.
+MEMO_CHUNKS = 150_000
+MEMO_ARCS = 1_000_000
+MEMO_KEY = 48
 ROOT = 0
 TOKEN = -1
 
@@ -101,6 +105,7 @@ class Automaton:
         code = {s: b for b, s in enumerate(symbols)}
         live = {t for t in self.base + self.last if t is not None} | set(self.left)
         self.trie: dict[int, dict | int] = {TOKEN: -1}
+        self.longest = 1
         for text, token in vocab.items():
             if token not in live:
                 continue
@@ -110,6 +115,7 @@ class Automaton:
             if final:
                 path[-1] += 256
             node = self.trie
+            self.longest = max(self.longest, len(path))
             for sym in path:
                 node = node.setdefault(sym, {TOKEN: -1})
             node[TOKEN] = token
@@ -128,7 +134,7 @@ class Automaton:
             if state < 0:
                 continue
             row, node, j = rows[state], trie, i
-            for sym in path[i:]:
+            for sym in path[i:i + self.longest]:
                 node = node.get(sym)
                 if node is None:
                     break
@@ -201,7 +207,7 @@ class Codec:
 
 
 class Memo(dict):
-    """Results of a function of one argument, up to a bounded number of them."""
+    """Results of a function of one text, up to a bounded number of short ones."""
 
     def __init__(self, function, most: int = MEMO_CHUNKS):
         super().__init__()
@@ -209,7 +215,7 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.function(key)
-        if len(self) < self.most:
+        if len(self) < self.most and len(key) <= MEMO_KEY:
             self[key] = value
         return value
 
@@ -234,6 +240,9 @@ def codec(spec_text: str) -> Codec:
     return Codec(spec_text)
 
 
+keeps("bpe", codec.cache_clear)
+
+
 def vocabulary(spark: SparkSession, path: str) -> Broadcast[str]:
     """A tokenizer file for the workers; its size is that of the vocabulary."""
     with open(path, encoding="utf-8") as f:
@@ -244,6 +253,7 @@ def encoder(spec: Broadcast[str]):
     """Column function: text to its ids as little-endian unsigned 32-bit integers."""
     @F.arrow_udf(T.BinaryType())
     def encode(texts: pa.Array) -> pa.Array:
+        at_work("bpe")
         one = codec(spec.value).encode
         return pa.array((one(t.as_py()) for t in texts), pa.binary())
     return encode
@@ -253,6 +263,7 @@ def decoder(spec: Broadcast[str]):
     """Column function: ids as written by :func:`encoder` to text; null gives null."""
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
+        at_work("bpe")
         one = codec(spec.value).decode
         return pa.array((None if not b.is_valid else one(np.frombuffer(b.as_buffer(), "<u4").tolist()) for b in ids), pa.string())
     return decode

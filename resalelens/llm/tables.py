@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,31 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_forget: dict[str, list[Callable[[], None]]] = {}
+_at_work: list[str] = []
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    """Register how to drop what an operator keeps in a Python worker between batches."""
+    _forget.setdefault(operator, []).append(forget)
+
+
+def at_work(operator: str) -> None:
+    """Drop what other operators keep in this worker: workers are used again for later
+    stages, and would otherwise hold the memos of all operators that ever ran in them."""
+    if _at_work and _at_work[-1] == operator:
+        return
+    for other, actions in _forget.items():
+        if other != operator:
+            for forget in actions:
+                forget()
+    _at_work[:] = [operator]
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Stored tables of one operator, each dropped once later ones no longer need it.
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from resalelens.llm.bpe import MEMO_CHUNKS, chunks, lower, vocabulary
-from resalelens.llm.tables import bounded_batches
+from resalelens.llm.bpe import MEMO_CHUNKS, MEMO_KEY, chunks, lower, vocabulary
+from resalelens.llm.tables import at_work, bounded_batches, keeps
 from resalelens.operators.storage import fresh_path, written
 
 # Fixed values of the format: ids per word and bits per id for each selector.
@@ -153,11 +154,15 @@ class LibraryEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _word_ids(self, plain: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters in lower case."""
+        """Ids of words of letters in normal form and lower case. A group in which the library
+        sees other borders than the spaces is encoded word by word."""
         out = {}
         groups = [plain[i:i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
         for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
             cuts = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)
+            if len(cuts) != len(group):
+                out |= zip(group, self._ids(group))
+                continue
             start = 0
             for word, end in zip(group, cuts.tolist(), strict=True):
                 out[word] = ids[start:end]
@@ -168,7 +173,7 @@ class LibraryEncoder:
         """Ids of chunks."""
         cores, whole = {}, []
         for chunk in missing:
-            plain = lower(chunk)
+            plain = lower(unicodedata.normalize("NFC", chunk))
             core = plain.rstrip(self.TAIL)
             if core.isalpha():
                 cores[chunk] = core, plain[len(core):]
@@ -181,8 +186,10 @@ class LibraryEncoder:
         known |= fresh
         out = {chunk: known[core] + (known[tail] if tail else b"") for chunk, (core, tail) in cores.items()}
         out |= zip(whole, self._ids(whole))
-        for word in list(fresh)[:max(0, len(known) - MEMO_CHUNKS // 2)]:
-            del known[word]
+        full = max(0, len(known) - MEMO_CHUNKS // 2)
+        for k, word in enumerate(fresh):
+            if k < full or len(word) > MEMO_KEY:
+                del known[word]
         return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
@@ -195,7 +202,7 @@ class LibraryEncoder:
         out = [
             b"".join([new[c] if b is None else b for c, b in zip(part, ids)] if None in ids else ids)
             for part, ids in zip(split, found)]
-        for chunk in list(new)[:max(0, MEMO_CHUNKS - len(memo))]:
+        for chunk in [c for c in new if len(c) <= MEMO_KEY][:max(0, MEMO_CHUNKS - len(memo))]:
             memo[chunk] = new[chunk]
         return out
 
@@ -205,6 +212,9 @@ def library_encoder(spec_text: str) -> LibraryEncoder:
     return LibraryEncoder(spec_text)
 
 
+keeps("token files", library_encoder.cache_clear)
+
+
 FILES = "part int, seq int, start_in_part long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -218,6 +228,7 @@ def write_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         keys, ids, held = [], [], 0
+        at_work("token files")
         encode = library_encoder(spec.value).encode_all
 
         def file():
