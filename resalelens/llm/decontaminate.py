@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from resalelens.llm.bpe import Memo
 from resalelens.llm.shingles import MIX, mixed
-from resalelens.llm.tables import bounded_batches
+from resalelens.llm.tables import at_work, bounded_batches, keeps
 
 SEED_WORDS = 2
 THRESHOLD = 0.5
@@ -46,6 +46,7 @@ def _bare(word: bytes) -> int:
 
 
 CODES = Memo(_bare, most=200_000)
+keeps("decontamination", CODES.clear)
 
 
 def coded(text: str | None) -> np.ndarray:
@@ -179,6 +180,7 @@ def aligner(block: Broadcast[Items], threshold: float):
 
     @F.arrow_udf(MATCH)
     def align(texts: pa.Array) -> pa.Array:
+        at_work("decontamination")
         return pa.array((block.value.matches(coded(t), threshold) for t in texts.to_pylist()), kind)
     return align
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from resalelens.llm.tables import bounded_batches
+from resalelens.llm.tables import at_work, bounded_batches
 from resalelens.operators.storage import written
 
 BUCKETS = 1 << 14
@@ -80,6 +80,7 @@ def train(labelled: DataFrame, text: str, label: str) -> tuple[list[str], np.nda
     copied = marked.filter("_page IS NOT NULL").groupBy("language", "_page").agg(F.any_value("text").alias("text"))
 
     def count(batches):
+        at_work("language")
         for batch in batches:
             labels = np.array(batch.column(0).to_pylist(), object)
             for language in sorted(set(labels)):
@@ -115,6 +116,7 @@ def evidence(languages: list[str], model: Broadcast[np.ndarray]):
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def weigh(texts: pa.Array, declared: pa.Array, suffixes: pa.Array) -> pa.Array:
+        at_work("language")
         code, count = buckets(texts.to_pylist())
         start = (np.cumsum(count) - count)[count > 0]
         out = np.zeros((len(count), len(languages)))

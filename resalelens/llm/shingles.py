@@ -6,9 +6,11 @@ import numpy as np
 import xxhash
 
 from resalelens.llm.bpe import Memo
+from resalelens.llm.tables import at_work, keeps
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS = Memo(xxhash.xxh3_64_intdigest, most=200_000)
+keeps("shingles", WORDS.clear)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -30,6 +32,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after the other, and how many each
     has. A text of fewer words than ``width`` has one shingle, without words none."""
+    at_work("shingles")
     parts = [words(t) for t in texts]
     size = np.array([len(p) for p in parts], np.int64)
     code = word_hashes([w for p in parts for w in p])

@@ -3,6 +3,7 @@
 import array
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -142,3 +143,33 @@ def test_op6_on_the_small_table(spark, library):
         assert (row.start, row.n_tokens) == (start, len(want))
         assert row.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
         start += len(want)
+
+
+def test_file_encoder_agrees_on_every_code_point(library):
+    """Each code point of the first two planes as a word, within one and at its end, with
+    those that normal form takes apart among words of letters."""
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"ab{ch}cd {ch} q{ch}" for ch in points[i:i + 64]) for i in range(0, len(points), 64)]
+    texts += ["क़लम और ज़मीन", "ਸ਼ਹਿਰ", "שּׁלום יִ", "Å Å ﬁ ſ K"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = encoder.encode_all(texts)
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_long_words_take_linear_time(codec):
+    start = time.perf_counter()
+    word = "abcdefghij" * 40_000
+    assert codec.decode(np.frombuffer(codec.encode(word), "<u4").tolist()).replace(" ", "") == word + "</w>"
+    assert time.perf_counter() - start < 20
+
+
+def test_workers_forget_other_operators(codec):
+    from resalelens.llm import shingles, tables
+    shingles.shingle_sets(["some words here"], 2)
+    assert len(shingles.WORDS) == 3
+    tables.at_work("bpe")
+    assert len(shingles.WORDS) == 0
+    memo = bpe.Memo(len)
+    assert memo["a" * 1000] == 1000 and memo["ab"] == 2 and list(memo) == ["ab"]
