@@ -1,10 +1,28 @@
-"""Search entries against listings, and the caps that follow."""
+"""Search entries against listings, and the caps that follow.
+
+An entry meets only listings that can match it. An entry with a keyword of three characters
+or more is looked up by the rarest three characters of the keyword, any other by the parts
+of its bid range, which are ranges of powers of two that do not overlap. Both are equi-joins
+together with the category, and both give each pair once; the whole entry is then checked on
+the pairs. An entry whose keyword holds three characters that no title has is dropped before
+the join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from resalelens.operators.first import first_rows
+from resalelens.operators.storage import written
+
+GRAM = 3
+#: Bids are told apart up to two to this power of dollars; larger ones share the last bin.
+LEVELS = 42
+_TOP = (1 << LEVELS) - 1
+
+
+def _words() -> Column:
+    return F.coalesce(F.lower("keywords"), F.lit(""))
 
 
 def _wanted() -> Column:
@@ -19,22 +37,102 @@ def _wanted() -> Column:
     )
 
 
+def grams(text: Column) -> Column:
+    """Distinct runs of three characters; none in a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    runs = F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM)))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _dollars(bid: Column) -> Column:
+    """Whole dollars within the bins, NULL for no bid; not a number is above any amount."""
+    return F.when(F.isnan(bid), _TOP).when(bid.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(_TOP), F.floor(bid)))).cast("long")
+
+
+def _part_key(level: Column, part: Column) -> Column:
+    return F.concat(F.lit("p"), level.cast("string"), F.lit(":"), part.cast("string"))
+
+
+def range_parts(low: Column, high: Column) -> Column:
+    """The fewest ranges of powers of two, aligned to their size, that make up a range of
+    bids: ``array<struct<level, part>>``. An absent bound is open."""
+    kind = "struct<low:bigint,high:bigint,parts:array<struct<level:int,part:bigint>>>"
+    start = F.struct(
+        F.coalesce(_dollars(low), F.lit(0)).alias("low"), F.coalesce(_dollars(high), F.lit(_TOP)).alias("high"),
+        F.array().alias("parts")).cast(kind)
+
+    def part(level: Column, at: Column, taken: Column) -> Column:
+        one = F.array(F.struct(level.alias("level"), at.alias("part")))
+        return F.when(taken, one).otherwise(F.array().cast("array<struct<level:int,part:bigint>>"))
+
+    def step(acc: Column, level: Column) -> Column:
+        """Take the ends that are no half of a larger part, then go to parts twice as large."""
+        low, high = acc["low"], acc["high"]
+        odd, even = (low <= high) & (low % 2 == 1), (low <= high) & (high % 2 == 0)
+        return F.struct(
+            F.shiftright(low + odd.cast("long"), 1).alias("low"), (F.shiftright(high + 1 - even.cast("long"), 1) - 1).alias("high"),
+            F.concat(acc["parts"], part(level, low, odd), part(level, high, even)).alias("parts")).cast(kind)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step)["parts"]
+
+
+def entry_keys(listings: DataFrame, searches: DataFrame) -> DataFrame:
+    """``searches`` with the category and key of each lookup, ``_category, _key``; stored."""
+    category = F.coalesce("category", F.lit("")).alias("_category")
+    entries = searches.withColumn("_words", _words())
+    long = entries.filter(F.length("_words") >= GRAM)
+    asked = written(long.select(F.explode(grams(F.col("_words"))).alias("_gram")).distinct(), "asked-grams")
+    held = listings.select(F.explode(grams(F.lower("title"))).alias("_gram"))
+    freq = held.join(asked, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        long.select("_words").distinct().select("_words", F.explode(grams(F.col("_words"))).alias("_gram"))
+        .join(freq, "_gram", "left").groupBy("_words")
+        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_key"), F.min(F.coalesce("_n", F.lit(0))).alias("_least"))
+        .filter("_least > 0").select("_words", "_key"))
+    by_gram = long.join(rarest, "_words").select(*searches.columns, category, F.concat(F.lit("t"), "_key").alias("_key"))
+    open_range = F.col("min_bid").isNull() & F.col("max_bid").isNull()
+    parts = F.transform(range_parts(F.col("min_bid"), F.col("max_bid")), lambda p: _part_key(p["level"], p["part"]))
+    keys = F.when(open_range, F.array(F.lit("a"))).otherwise(parts)
+    by_bid = entries.filter(F.length("_words") < GRAM).select(*searches.columns, category, F.explode(keys).alias("_key"))
+    return written(by_gram.unionByName(by_bid), "search-keys")
+
+
+def _listing_keys(used: list[str]) -> Column:
+    """All keys under which a listing may be looked up; ``used`` are the kinds in use."""
+    kinds = []
+    if "a" in used:
+        kinds.append(F.array(F.lit("a")))
+    if "t" in used:
+        kinds.append(F.transform(grams(F.lower("title")), lambda g: F.concat(F.lit("t"), g)))
+    levels = sorted(int(u[1:]) for u in used if u[0] == "p")
+    if levels:
+        bid = _dollars(F.col("price"))
+        kinds.append(F.when(F.col("price").isNotNull(), F.array(*[_part_key(F.lit(n), F.shiftright(bid, n)) for n in levels])))
+    return F.flatten(F.array_compact(F.array(*kinds)))
+
+
+def candidates(listings: DataFrame, searches: DataFrame) -> DataFrame:
+    """Pairs of a listing ``l`` and an entry ``s`` that the index brings together."""
+    keyed = entry_keys(listings, searches)
+    kind = F.when(F.col("_key").startswith("p"), F.substring_index("_key", ":", 1)).otherwise(F.substring("_key", 1, 1))
+    used = [r[0] for r in keyed.select(kind).distinct().collect()] or ["a"]   # 45 kinds at most
+    places = F.array_distinct(F.array(F.coalesce("category", F.lit("")), F.lit("")))
+    spread = listings.select("*", F.explode(_listing_keys(used)).alias("_key"))
+    asked = keyed.select("_key").distinct()
+    left = spread.join(asked, "_key", "left_semi").withColumn("_category", F.explode(places))
+    return left.alias("l").join(
+        keyed.alias("s"), (F.col("l._category") == F.col("s._category")) & (F.col("l._key") == F.col("s._key")))
+
+
 def search_matches(listings: DataFrame, searches: DataFrame) -> DataFrame:
     """Listings of each search entry: same category, and the entry's other terms.
 
     ``listings`` has ``category, title, state, price``; ``searches`` has
     ``search_id, category, keywords, state, min_bid, max_bid``. An entry without a
     category takes all: each listing is looked up by its category and by the empty one.
-    One equi-join at every size: Catalyst broadcasts the entries if they are few, else
-    adaptive execution splits categories with many listings.
     """
-    places = F.array_distinct(F.array(F.coalesce("category", F.lit("")), F.lit("")))
-    left = listings.withColumn("_category", F.explode(places))
-    right = searches.withColumn("_category", F.coalesce("category", F.lit("")))
-    return (
-        left.alias("l").join(right.alias("s"), (F.col("l._category") == F.col("s._category")) & _wanted())
-        .select(F.col("s.search_id").alias("search_id"), "l.*").drop("_category")
-    )
+    return candidates(listings, searches).filter(_wanted()).select(
+        F.col("s.search_id").alias("search_id"), "l.*").drop("_category", "_key")
 
 
 def in_state(searches: DataFrame, state: str) -> DataFrame:

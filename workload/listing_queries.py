@@ -268,3 +268,21 @@ SELECT field, missing, rows FROM (
   UNION ALL SELECT 'price', count(*) FILTER (price IS NULL) FROM listing), total""")
 def required_fields(spark, d):
     return filters.missing_fields(part_listings(spark, d), ["title", "state", "price_str", "price"])
+
+
+@query(f"""WITH {LISTING_SQL}, entry AS (
+  SELECT p_partkey AS search_id, CASE WHEN p_size % 5 = 0 THEN '' ELSE upper(substr(p_name, 3, 5)) END AS keywords,
+    CASE WHEN p_size % 11 = 0 THEN '' ELSE p_type END AS kind, CASE WHEN p_size % 7 <> 0 THEN p_retailprice * 0.98 END AS low,
+    p_retailprice * 1.02 AS high FROM part)
+SELECT search_id, id, title, price FROM entry JOIN listing
+  ON (kind = '' OR kind = category) AND contains(lower(title), lower(keywords)) AND (low IS NULL OR price >= low) AND price <= high
+QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY pos) <= 3""")
+def search_entries(spark, d):
+    """As many search entries as listings: keywords, categories and bid ranges of all parts."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    entries = table(spark, d, "part").select(
+        F.col("p_partkey").alias("search_id"), F.when(size % 5 == 0, "").otherwise(F.upper(F.substring("p_name", 3, 5))).alias("keywords"),
+        F.when(size % 11 == 0, "").otherwise(F.col("p_type")).alias("category"), F.lit("").alias("state"),
+        F.when(size % 7 != 0, price * 0.98).alias("min_bid"), (price * 1.02).alias("max_bid"))
+    matches = search.search_matches(part_listings(spark, d), entries)
+    return search.capped_per_search(matches, 3).select("search_id", "id", "title", "price")
