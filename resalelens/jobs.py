@@ -30,9 +30,15 @@ PAGE_SCHEMA = "page_id LONG, url STRING, html STRING"
 
 def run_deals(spark: SparkSession, a: argparse.Namespace) -> None:
     details = spark.read.parquet(a.details) if a.details else None
+    near = None
+    if a.hours is not None or a.radius is not None:
+        if a.radius is not None and not (a.zip and a.zips):
+            raise SystemExit("--radius needs --zip and --zips")
+        zips = spark.read.parquet(a.zips) if a.radius is not None else None
+        near = lambda listings: scan.within_reach(listings, a.hours, zips, a.zip, a.radius)
     ranked = deals.deals_from_pages(
         spark.read.parquet(a.index), spark.read.parquet(a.sold), details, a.max,
-        min_ratio=a.min_ratio, min_profit=a.min_profit)
+        min_ratio=a.min_ratio, min_profit=a.min_profit, reach=near)
     if a.json:
         found.write_deals(ranked, a.out)
     else:
@@ -43,7 +49,7 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> None:
     table = config.read_config(spark, a.config)
     row = table.drop("searches").first()   # one row of parameters
     params = S.ScanConfig(**row.asDict(), searches=())
-    known = found.read_found(spark, a.found)
+    known = found.read_found(spark, a.found, but=a.run_id)
     searches = in_state(config.searches_of(table), params.state)
     links = scan.links_to_fetch(spark.read.parquet(a.listings), searches, known, params.max_listings_per_search)
     if captures.is_store(spark, a.pages):
@@ -56,8 +62,11 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.rejects:
         records.rejects(read).write.mode("overwrite").parquet(a.rejects)
     items = written(scan.scan(read, spark.read.parquet(a.prices), as_of, params, centroids), "items")
-    found.write_items(scan.items_out(items), a.out)
-    found.append_found(items, a.found, order="url")
+    if a.document:
+        found.write_items_document(scan.items_out(items), a.out, a.document)
+    else:
+        found.write_items(scan.items_out(items), a.out)
+    found.append_found(items, a.found, order="url", run=a.run_id)
 
 
 def run_keep(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -74,8 +83,8 @@ def run_post(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
     pages = incremental.captures(spark, a.pages, spark.createDataFrame([], PAGE_SCHEMA).schema, a.files)
-    fresh = records.accepted(records.extract_records(pages))
-    incremental.keep_found(fresh, a.found, a.state, order="page_id").awaitTermination()
+    read = records.extract_records(pages, **S.RECORD_LIMITS)
+    incremental.keep_records(read, a.found, a.state, a.rejects).awaitTermination()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -90,6 +99,10 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--min-ratio", type=float, default=S.MIN_RATIO)
     d.add_argument("--min-profit", type=float, default=S.MIN_PROFIT)
     d.add_argument("--max", type=int, help="row cap; none by default")
+    d.add_argument("--hours", type=int, help="only listings whose card says that they close within so many hours")
+    d.add_argument("--zip", help="home code, for --radius")
+    d.add_argument("--radius", type=float, help="only listings whose card names a code within so many miles of home")
+    d.add_argument("--zips", help="centroids: zip, lat, lon")
     d.add_argument("--json", action="store_true", help="raw deals as JSON lines instead of report rows")
     d.set_defaults(run=run_deals)
 
@@ -102,6 +115,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--zips", help="centroids: zip, lat, lon")
     s.add_argument("--as-of", help="time of the scan, now by default")
     s.add_argument("--rejects", help="table of pages that gave no record, with the reason")
+    s.add_argument("--run-id", help="name of the run: repeated after a failure, it gives the same items and replaces its own found items")
+    s.add_argument("--document", type=int, help="write so many JSON objects with items, instead of JSON lines")
     s.add_argument("--out", required=True)
     s.set_defaults(run=run_scan)
 
@@ -118,6 +133,7 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--pages", required=True, help="folder of captured pages")
     w.add_argument("--found", required=True)
     w.add_argument("--state", required=True, help="stream checkpoint folder")
+    w.add_argument("--rejects", help="table of pages that gave no record, with the reason, by batch")
     w.add_argument("--files", type=int, help="files per batch")
     w.set_defaults(run=run_watch)
 

@@ -82,19 +82,31 @@ def unplaced(listings: DataFrame, centroids: DataFrame) -> DataFrame:
     return listings.join(F.broadcast(known), five_digits(F.col("zip")) == F.col("_zip"), "left_anti")
 
 
-def not_too_far(records: DataFrame, centroids: DataFrame, home_zip: str, miles: float) -> DataFrame:
-    """Records without those whose location names a code more than ``miles`` away.
+def code_of(location: Column) -> Column:
+    """Code of a location: its last five-digit number, since a street number comes before it."""
+    codes = F.regexp_extract_all(location, F.lit(r"\b(\d{5})(?:-\d{4})?\b"), F.lit(1))
+    return F.try_element_at(codes, F.lit(-1))
 
-    The last five-digit number of a location is its code, since a street number comes
-    before it. A location without a known code stays: its distance cannot be told.
+
+def code_on_card(text: Column) -> Column:
+    """Code on a card: the last one that follows a state, since lots are numbers too."""
+    codes = F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2},?\s+(\d{5})(?:-\d{4})?\b"), F.lit(1))
+    return F.try_element_at(codes, F.lit(-1))
+
+
+def not_too_far(
+    records: DataFrame, centroids: DataFrame, home_zip: str, miles: float, code: Column | None = None,
+) -> DataFrame:
+    """Records without those whose location names a code more than ``miles`` away; ``code``
+    is the code of ``location`` if none is given. A record without a known code stays: its
+    distance cannot be told.
     """
-    far = _miles_from(centroids, home_zip)
-    codes = F.regexp_extract_all("location", F.lit(r"\b(\d{5})(?:-\d{4})?\b"), F.lit(1))
-    zip_code = F.try_element_at(codes, F.lit(-1))
+    far = _miles_from(centroids, home_zip).select(F.col("zip").alias("_zip"), F.col("miles").alias("_miles"))
+    own = code_of(F.col("location")) if code is None else code
     return (
-        records.withColumn("zip", zip_code).join(F.broadcast(far), "zip", "left")
-        .filter(F.col("miles").isNull() | (F.col("miles") <= miles))
-        .drop("zip", "miles")
+        records.withColumn("_code", own).join(F.broadcast(far), F.col("_code") == F.col("_zip"), "left")
+        .filter(F.col("_miles").isNull() | (F.col("_miles") <= miles))
+        .drop("_code", "_zip", "_miles")
     )
 
 

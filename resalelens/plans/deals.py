@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from resalelens import settings as S
@@ -109,16 +111,18 @@ def ranked_deals(listings: DataFrame, stats: DataFrame, **thresholds: float) ->
 
 def deals_from_pages(
     index_pages: DataFrame, sold: DataFrame, detail_pages: DataFrame | None = None,
-    max_rows: int | None = None, **thresholds: float,
+    max_rows: int | None = None, reach: Callable[[DataFrame], DataFrame] | None = None, **thresholds: float,
 ) -> DataFrame:
-    """Captured pages and sold titles to numbered deals.
+    """Captured pages and sold titles to numbered deals. ``reach`` filters the listings
+    before anything else, as a site's own search would.
 
     Index pages give the listings, detail pages better titles and descriptions, and
     the sold titles that hold a listing's terms its comps. Listings are written before
     and after their details, so that every page is parsed once, and detail pages only
     of listings with a price.
     """
-    found = cards.distinct_listings(cards.listings_of(cards.scan_cards(index_pages)), max_rows)
+    carded = cards.listings_of(cards.scan_cards(index_pages))
+    found = cards.distinct_listings(carded if reach is None else reach(carded), max_rows)
     listings = written(found.filter(filters.has_price(F.col("price"))), "listings")
     if detail_pages is not None:
         wanted = detail_pages.join(listings.select("url"), "url", "left_semi")

@@ -24,6 +24,20 @@ def closing_nearby(
     return near if max_rows is None else capped(near, max_rows, ["close_ts", "pos"])
 
 
+def within_reach(
+    listings: DataFrame, hours: int | None = None, centroids: DataFrame | None = None, home_zip: str | None = None,
+    miles: float | None = None,
+) -> DataFrame:
+    """Listings of index pages that close within ``hours`` and lie within ``miles`` of home, as
+    far as their cards tell: without a time or a known code they stay."""
+    if hours is not None:
+        left = dates.time_left_minutes(F.col("time_left"))
+        listings = listings.filter(left.isNull() | (left <= hours * 60))
+    if miles is not None:
+        listings = filters.not_too_far(listings, centroids, home_zip, miles, filters.code_on_card(F.col("card_text")))
+    return listings
+
+
 def links_to_fetch(listings: DataFrame, searches: DataFrame, found: DataFrame, cap: int) -> DataFrame:
     """Links of all search entries, capped per entry, that no earlier scan has kept."""
     matches = search.capped_per_search(search.search_matches(listings, searches), cap)

@@ -1,7 +1,7 @@
 """Process what was captured since the last run.
 
-State between runs is the stream's checkpoint and the found-items table, both in a
-shared folder. Every batch is written to a folder named by the run (the id that Spark
+State between runs is the stream's checkpoint and the found-items store, both in a
+shared folder. Every batch is a writer of the store, named by the run (the id that Spark
 keeps in the checkpoint) and the batch. A batch that is repeated after a failure replaces
 its own rows and sees those of all others; a run with a new checkpoint, whatever its batch
 borders, sees all that earlier runs have found.
@@ -9,13 +9,11 @@ borders, sees all that earlier runs have found.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from resalelens.operators.found import new_items
-
-BATCH = "scan_batch"
+from resalelens.operators.storage import written
+from resalelens.sources import found_store
 
 
 def captures(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -36,29 +34,16 @@ def new_keys(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFra
     return timed.dropDuplicatesWithinWatermark(keys)
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType, but: str | None = None) -> DataFrame:
-    """Found items of all batches, or of all but one."""
-    full = T.StructType(schema.fields + [T.StructField(BATCH, T.StringType())])
-    try:
-        df = spark.read.schema(full).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        df = spark.createDataFrame([], full)
-    if but is not None:
-        df = df.filter(F.col(BATCH) != but)
-    return df.drop(BATCH)
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Found items of all batches."""
+    return found_store.read(spark, path, schema)
 
 
 def keep_found(items: DataFrame, path: str, checkpoint: str, order: str = "pos") -> StreamingQuery:
-    """Add each micro-batch's new items to the found-items table, once per link."""
-    schema = items.schema
-
+    """Add each micro-batch's new items to the found-items store, once per link."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
-        added = new_items(batch, read_batches(spark, path, schema, but=own), order).select(*schema.names)
-        added.write.mode("overwrite").parquet(f"{path}/{BATCH}={own}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        found_store.add(batch, path, f"{query}-{batch_id}", order)
 
     return (
         items.writeStream.foreachBatch(upsert)
@@ -67,6 +52,25 @@ def keep_found(items: DataFrame, path: str, checkpoint: str, order: str = "pos")
     )
 
 
+def keep_records(records: DataFrame, path: str, checkpoint: str, rejects: str | None = None) -> StreamingQuery:
+    """Accepted records of each micro-batch to the found-items store; the links of the
+    others, with the reason, to a folder per batch of ``rejects``. The batch is stored
+    once, so its pages are read once for both."""
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        read = written(batch, "records")
+        found_store.add(read.filter("error IS NULL"), path, f"{query}-{batch_id}", "page_id")
+        if rejects:
+            refused = read.filter("error IS NOT NULL").select("url", "site", "error")
+            refused.write.mode("overwrite").parquet(f"{rejects}/batch={query}-{batch_id}")
+
+    return (
+        records.writeStream.foreachBatch(upsert)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's rows to a Parquet table, exactly once."""
     return (

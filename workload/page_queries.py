@@ -14,7 +14,7 @@ from resalelens.plans import deals
 from resalelens.sources import captures, cards, dom, links, prices, records
 from resalelens.sources.records import SiteRule
 from workload.registry import query
-from workload.standins import DEAL_SQL, SCORED_SQL, STATS_SQL, UNIT_SQL, part_listings, table, unit_price
+from workload.standins import DEAL_SQL, SCORED_SQL, STATS_SQL, TITLE_SQL, UNIT_SQL, part_listings, table, title, unit_price
 
 TEXT_SQL = r"""trim(replace(replace(replace(replace(replace(regexp_replace({}, '&(lt|gt|quot|#39|nbsp|amp);?', '&\1;', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'))"""
@@ -201,7 +201,7 @@ def index_pages(spark, d) -> DataFrame:
     link = F.concat(F.lit("<a href='/sms/auction/view?auc="), key, F.lit("'>"))
     card = F.concat(
         F.lit("<li class='row'>"), link, F.lit("<img src='/x'></a><div>"), link, F.lit("View</a></div>"),
-        F.lit("<p>#"), key, F.lit(" - "), F.col("p_name"), F.lit("<p>Bid: <b>$"), F.format_number("p_retailprice", 2), F.lit("</b>"),
+        F.lit("<p>#"), key, F.lit(" - "), title(), F.lit("<p>Bid: <b>$"), F.format_number("p_retailprice", 2), F.lit("</b>"),
         F.lit("<div>"), size.cast("string"), F.lit(" hours<br>"), F.when(size % 3 == 0, "AZ").otherwise("Tempe"),
         F.lit("</div><span>"), (size % 7).cast("string"), F.lit(" bids</span>"))
     cards_ = table(spark, d, "part").select(
@@ -212,11 +212,11 @@ def index_pages(spark, d) -> DataFrame:
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS id,
-  array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title,
+  array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') || ' ' || p_partkey // 2 AS title,
   'https://www.publicsurplus.com/sms/auction/view?auc=' || p_partkey AS url, p_retailprice AS price,
   '$' || format('{:,.2f}', p_retailprice) AS price_str, p_size || ' hours' AS time_left, p_size % 7 AS bids,
   CASE WHEN p_size % 3 = 0 THEN 'AZ' END AS location,
-  'View | #' || p_partkey || ' - ' || p_name || ' | Bid: $' || format('{:,.2f}', p_retailprice) || ' | ' || p_size || ' hours | '
+  'View | #' || p_partkey || ' - ' || p_name || ' ' || p_partkey // 2 || ' | Bid: $' || format('{:,.2f}', p_retailprice) || ' | ' || p_size || ' hours | '
     || CASE WHEN p_size % 3 = 0 THEN 'AZ' ELSE 'Tempe' END || ' | ' || (p_size % 7) || ' bids' AS card_text
 FROM part""")
 def index_listings(spark, d):
@@ -264,48 +264,58 @@ def market_prices(spark, d):
 # --- pages to deals -------------------------------------------------------------------
 
 def detail_pages(spark, d) -> DataFrame:
-    """A detail page for half of the parts; some say untested, some have a title that is too short."""
+    """A detail page for every part; some say untested, some have a title that is too short."""
     key, size = F.col("p_partkey").cast("string"), F.col("p_size")
     html = F.concat(
-        F.lit("<h1>"), F.when(size % 8 == 0, "abc").otherwise(F.upper("p_name")), F.lit("</h1><div class='item-desc'>"),
-        F.when(size % 6 == 0, "Sold untested").otherwise("Works"), F.lit("</div>"))
-    return table(spark, d, "part").filter(size % 2 == 0).select(
+        F.lit("<h1>"), F.when(size % 8 == 0, "abc").when(size % 2 == 0, F.upper(title())).otherwise(title()),
+        F.lit("</h1><div class='item-desc'>"), F.when(size % 6 == 0, "Sold untested").otherwise("Works"), F.lit("</div>"))
+    return table(spark, d, "part").select(
         F.col("p_partkey").alias("page_id"),
         F.concat(F.lit("https://www.publicsurplus.com/sms/auction/view?auc="), key).alias("url"), html.alias("html"))
 
 
 def sold_titles(spark, d) -> DataFrame:
-    """Sales of parts under the part's name and brand."""
+    """All sales of parts, under the listing's title and the part's brand."""
     names = table(spark, d, "part").select(
-        F.col("p_partkey").alias("l_partkey"), F.concat_ws(" - ", "p_name", "p_brand").alias("title"))
-    second = F.col("l_returnflag") == "A"
-    return table(spark, d, "lineitem").filter(F.col("l_returnflag").isin("R", "A")).join(names, "l_partkey").select(
-        "title", F.when(second, S.SECONDARY_SOURCE).otherwise(S.PRIMARY_SOURCE).alias("source"), unit_price().alias("price"),
+        F.col("p_partkey").alias("l_partkey"), F.concat_ws(" - ", title(), "p_brand").alias("title"))
+    first = F.col("l_returnflag") == "R"
+    return table(spark, d, "lineitem").join(names, "l_partkey").select(
+        "title", F.when(first, S.PRIMARY_SOURCE).otherwise(S.SECONDARY_SOURCE).alias("source"), unit_price().alias("price"),
     ).filter(money.between_exclusive(F.col("price"), S.SCORER_BOUNDS))
 
 
-@query(f"""WITH comp AS (
+# Words of more than two characters decide which sales belong to a listing.
+SOUGHT_SQL = """p_name || CASE WHEN length(CAST(p_partkey // 2 AS VARCHAR)) > 2 THEN ' ' || p_partkey // 2 ELSE '' END"""
+
+
+@query(f"""WITH named AS (SELECT *, {SOUGHT_SQL} AS sought FROM part),
+sold AS (
+  SELECT sought, p_name AS words, length(CAST(p_partkey // 2 AS VARCHAR)) > 2 AS numbered, l_returnflag, {UNIT_SQL} AS price
+  FROM lineitem JOIN named ON p_partkey = l_partkey),
+asked_query AS (SELECT DISTINCT sought, p_name AS words, length(CAST(p_partkey // 2 AS VARCHAR)) > 2 AS numbered FROM named),
+matched AS (
+  SELECT a.sought AS query, l_returnflag, price FROM asked_query a JOIN sold s ON a.numbered AND a.sought = s.sought OR NOT a.numbered AND a.words = s.words),
+comp AS (
   SELECT * FROM (
-    SELECT p_name AS query, CASE l_returnflag WHEN 'R' THEN 'ebay_sold' ELSE 'facebook_marketplace' END AS source, {UNIT_SQL} AS price
-    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('R', 'A'))
+    SELECT query, CASE l_returnflag WHEN 'R' THEN 'ebay_sold' ELSE 'facebook_marketplace' END AS source, price FROM matched)
   WHERE price > 0.99 AND price < 50000),
 {STATS_SQL},
 asked AS (
   SELECT CAST(p_partkey AS VARCHAR) AS id,
-    CASE WHEN p_size % 2 = 0 AND p_size % 8 <> 0 THEN upper(p_name)
-         ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') END AS title,
+    CASE WHEN p_size % 8 = 0 THEN array_to_string(list_transform(string_split({TITLE_SQL}, ' '), lambda x: upper(x[1]) || x[2:]), ' ')
+         WHEN p_size % 2 = 0 THEN upper({TITLE_SQL}) ELSE {TITLE_SQL} END AS title,
     p_retailprice AS price, CASE WHEN p_size % 6 = 0 THEN 'as-is' ELSE '' END AS card_text,
-    p_name AS query, p_name AS query2, p_partkey AS pos
-  FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1),
-{SCORED_SQL}, {DEAL_SQL}
+    sought AS query, sought AS query2, p_partkey AS pos
+  FROM named QUALIFY row_number() OVER (PARTITION BY {TITLE_SQL} ORDER BY p_partkey) = 1),
+{{SCORED}}, {{DEAL}}
 SELECT row_number() OVER (ORDER BY profit_ratio DESC, pos) AS deal_number, id, title, price, comps_avg, comps_median, comps_count,
-  title AS comps_query, resale_estimate, profit_ratio, est_profit, confidence, risk
-FROM deal""")
+  resale_estimate, profit_ratio, est_profit, confidence, risk
+FROM deal""".replace("{SCORED}", SCORED_SQL).replace("{DEAL}", DEAL_SQL))
 def deals_from_pages(spark, d):
     """The whole deterministic scan: index and detail pages, sold titles, numbered deals."""
     found = deals.deals_from_pages(index_pages(spark, d), sold_titles(spark, d), detail_pages(spark, d), max_rows=None)
     return found.select(
-        "deal_number", "id", "title", "price", "comps_avg", "comps_median", "comps_count", "comps_query",
+        "deal_number", "id", "title", "price", "comps_avg", "comps_median", "comps_count",
         "resale_estimate", "profit_ratio", "est_profit", "confidence", F.array_join("risk_flags", ", ").alias("risk"))
 
 
