@@ -15,7 +15,7 @@ def write(spark, path, rows, schema):
 
 
 def test_deals_job(spark, tmp_path):
-    card = "<li><a href='/sms/auction/view?auc={0}'>go</a><p>#{0} - {1}</p>${2}.00</li>"
+    card = "<li><a href='/sms/auction/view?auc={0}'>go</a><p>#{0} - {1}</p>${2}.00<p>3 hours left<p>Tempe, AZ 85001-1234</li>"
     index = write(spark, f"{tmp_path}/index", [
         (1, card.format(1, "red DRILL kit", 100) + card.format(2, "red drill kit", 90)), (2, card.format(3, "lost thing", 10))],
         "page_id LONG, html STRING")
@@ -28,6 +28,12 @@ def test_deals_job(spark, tmp_path):
     jobs.main([*args, "--out", f"{tmp_path}/a", "--json"])
     r = spark.read.json(f"{tmp_path}/a").collect()
     assert [(x["deal_number"], x["id"], x["comps_median"], x["profit_ratio"]) for x in r] == [(1, "1", 252.0, 2.52)]
+    zips = write(spark, f"{tmp_path}/zips", [("85001", 33.45, -112.07), ("90001", 33.97, -118.25)], "zip STRING, lat DOUBLE, lon DOUBLE")
+    for reach, n in (["--hours", "5"], 1), (["--hours", "1"], 0), (["--zip", "85001", "--radius", "50", "--zips", zips], 1), (
+            ["--zip", "90001", "--radius", "50", "--zips", zips], 0):
+        out = f"{tmp_path}/reach-{reach[1]}-{n}"
+        jobs.main([*args, *reach, "--out", out])
+        assert spark.read.parquet(out).count() == n
     jobs.main([*args, "--details", details, "--out", f"{tmp_path}/b"])
     b = spark.read.parquet(f"{tmp_path}/b").collect()
     assert [(x["title"], x["ratio"], x["recommendation"]) for x in b] == [("Kit drill red", "1.8x", "SKIP")]
@@ -62,12 +68,15 @@ def test_watch_job(spark, tmp_path):
     def capture(name, rows):
         write(spark, f"{tmp_path}/in/{name}", rows, "page_id LONG, url STRING, html STRING")
     def run():
-        jobs.main(["watch", "--pages", f"{tmp_path}/in/*", "--found", f"{tmp_path}/found", "--state", f"{tmp_path}/state"])
+        jobs.main(["watch", "--pages", f"{tmp_path}/in/*", "--found", f"{tmp_path}/found", "--state", f"{tmp_path}/state",
+                   "--rejects", f"{tmp_path}/rejects"])
         return sorted((r["url"][-1], r["title"]) for r in spark.read.parquet(f"{tmp_path}/found").collect())
     capture("a", [(1, "https://www.ironplanet.com/item/1", "<h1>one</h1>"), (2, "https://other.example/2", "<h1>x</h1>")])
     assert run() == [("1", "one")]
     capture("b", [(3, "https://www.ironplanet.com/item/1", "<h1>again</h1>"), (4, "https://www.ironplanet.com/item/3", "<h1>three</h1>")])
     assert run() == [("1", "one"), ("3", "three")]
+    refused = spark.read.parquet(f"{tmp_path}/rejects").collect()
+    assert [(r.url, r.error) for r in refused] == [("https://other.example/2", "Unsupported site")]
 
 
 def test_workers_find_the_package_from_any_folder(spark, tmp_path):

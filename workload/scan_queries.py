@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from resalelens import settings as S
 from resalelens.functions import money
 from resalelens.operators import filters, posting
+from resalelens.operators.first import first_per_key
 from resalelens.operators.storage import fresh_path
 from resalelens.plans import post, report, scan
-from resalelens.sources import logs, records
+from resalelens.sources import cards, config, found, logs, records
 from resalelens.streaming import incremental
-from workload.page_queries import AUCTION_SQL, auction_pages
+from workload.deal_queries import RANK_SQL, numbered_part_deals
+from workload.page_queries import AUCTION_SQL, auction_pages, index_pages
 from workload.registry import cents_sql, query
-from workload.standins import FOUND_SQL, LINE_ORDER, UNIT_SQL, found_items, order_items, table, unit_price
+from workload.standins import (
+    FOUND_SQL, LINE_ORDER, PART_DEALS_SQL, UNIT_SQL, found_items, line_items, order_items, table, unit_price,
+)
 
 AS_OF = "2026-03-01 00:00:00"
 
@@ -238,3 +242,62 @@ def stream_records(spark, d):
     found_records = records.accepted(records.extract_records(stream, PAGE_RULES)).select("page_id", "site", "title")
     incremental.append_to(found_records, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+# --- configuration, found items and result files ---------------------------------------
+
+@query("""SELECT n_nationkey AS search_id, lower(n_name) AS keywords, 'R' || n_regionkey AS category,
+  CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE substr(n_name, 1, 2) END AS state,
+  n_nationkey * 10.0 AS min_bid, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey * 25.5 END AS max_bid,
+  900.0 AS price_limit, 100.0 AS min_profit FROM nation""")
+def search_config(spark, d):
+    """A config file written from a table and read again; absent parameters take defaults."""
+    key = F.col("n_nationkey")
+    entry = F.struct(
+        key, F.lower("n_name").alias("keywords"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("category"),
+        F.when(key % 3 != 0, F.substring("n_name", 1, 2)).alias("state"), (key * F.lit(10.0)).alias("min_bid"),
+        F.when(key % 4 != 0, key * F.lit(25.5)).alias("max_bid"))
+    document = F.to_json(F.struct(F.lit(900.0).alias("max_bid"), F.sort_array(F.collect_list(entry)).alias("searches")), {"pretty": "true"})
+    path = fresh_path(spark, "config")
+    table(spark, d, "nation").agg(document.alias("value")).write.text(path, lineSep=" ")
+    read = config.read_config(spark, path)
+    limits = read.select(F.col("max_bid").alias("price_limit"), "min_profit")
+    return config.searches_of(read.withColumnsRenamed({"max_bid": "_", "min_profit": "__"})).join(F.broadcast(limits), F.lit(True))
+
+
+@query(f"WITH {FOUND_SQL}\nSELECT * FROM found UNION ALL SELECT * FROM fresh")
+def found_appended(spark, d):
+    """A found-items store with one run's items, a second run added twice, and read back."""
+    path, schema = fresh_path(spark, "found"), "url STRING, title STRING, bid DOUBLE"
+    found.append_found(found_items(spark, d), path, schema, order="url", run="first")
+    for _ in range(2):
+        found.append_found(line_items(spark, d), path, schema, run="second")
+    return found.read_found(spark, path, schema)
+
+
+@query(f"""WITH {PART_DEALS_SQL}
+SELECT {RANK_SQL} AS deal_number, id, title, url, price, comps_median, comps_count, resale_estimate, profit_ratio, est_profit, confidence
+FROM deal""")
+def deals_json(spark, d):
+    """Numbered deals as JSON lines, read back."""
+    path = fresh_path(spark, "deals-json")
+    found.write_deals(numbered_part_deals(spark, d), path)
+    return spark.read.json(path).select(
+        "deal_number", "id", "title", "url", "price", "comps_median", "comps_count", "resale_estimate", "profit_ratio", "est_profit", "confidence")
+
+
+@query(f"WITH {SCAN_SQL}\nSELECT title, lot, url, bid, market_value, profit, pickup, ends, photos FROM item")
+def items_document(spark, d):
+    """Kept items as JSON objects with ``items``, one per part, read back."""
+    path = fresh_path(spark, "items")
+    found.write_items_document(scan.items_out(kept_items(spark, d)), path, parts=3)
+    whole = F.from_json("value", f"STRUCT<items: ARRAY<STRUCT<{logs.ITEM_FIELDS}>>>")
+    read = spark.read.text(path, wholetext=True).select(F.explode(whole["items"]).alias("i")).select("i.*")
+    return read.select("title", "lot", "url", "bid", "market_value", "profit", "pickup", "ends", F.array_join("photos", " ").alias("photos"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size || ' hours' AS time_left FROM part WHERE p_size <= 24")
+def closing_cards(spark, d):
+    """Listings of index pages whose card says that they close within a day."""
+    listings = cards.listings_of(cards.scan_cards(index_pages(spark, d)))
+    return first_per_key(scan.within_reach(listings, hours=24)).select("id", "time_left")
