@@ -39,7 +39,7 @@ from resalelens.llm.tables import at_work, bounded_batches, keeps
 
 #: Entries of the memos; keys of more than ``MEMO_KEY`` characters or bytes are not kept, so
 #: these bound bytes as well.
-MEMO_CHUNKS = 150_000
+MEMO_CHUNKS = 250_000
 MEMO_ARCS = 1_000_000
 MEMO_KEY = 48
 ROOT = 0
@@ -249,24 +249,19 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast[str]:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoder(spec: Broadcast[str]):
-    """Column function: text to its ids as little-endian unsigned 32-bit integers."""
-    @F.arrow_udf(T.BinaryType())
-    def encode(texts: pa.Array) -> pa.Array:
-        at_work("bpe")
-        one = codec(spec.value).encode
-        return pa.array((one(t.as_py()) for t in texts), pa.binary())
-    return encode
-
+def coder(spec: Broadcast[str]):
+    """Column function: text to ``ids``, little-endian unsigned 32-bit integers, and the
+    text that they stand for, in one pass through one worker."""
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
 
-def decoder(spec: Broadcast[str]):
-    """Column function: ids as written by :func:`encoder` to text; null gives null."""
-    @F.arrow_udf(T.StringType())
-    def decode(ids: pa.Array) -> pa.Array:
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
+    def code(texts: pa.Array) -> pa.Array:
         at_work("bpe")
-        one = codec(spec.value).decode
-        return pa.array((None if not b.is_valid else one(np.frombuffer(b.as_buffer(), "<u4").tolist()) for b in ids), pa.string())
-    return decode
+        one = codec(spec.value)
+        ids = [one.encode(t.as_py()) for t in texts]
+        decoded = (one.decode(np.frombuffer(b, "<u4").tolist()) for b in ids)
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], fields=list(kind))
+    return code
 
 
 def encode_decode(df: DataFrame, text: str, path: str) -> DataFrame:
@@ -274,6 +269,8 @@ def encode_decode(df: DataFrame, text: str, path: str) -> DataFrame:
     those names. A null text counts as an empty one."""
     bounded_batches(df.sparkSession)
     spec = vocabulary(df.sparkSession, path)
-    coded = df.withColumn("ids", encoder(spec)(F.col(text)))
-    return coded.withColumn("decoded", decoder(spec)("ids")).withColumn(
-        "n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    coded = df.withColumn("__bpe", coder(spec)(F.col(text)))
+    names = ("ids", "decoded", "n_tokens")
+    return coded.select(
+        *[c for c in df.columns if c not in names], "__bpe.ids", "__bpe.decoded",
+        (F.octet_length("__bpe.ids") / 4).cast("long").alias("n_tokens"))
