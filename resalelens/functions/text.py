@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from resalelens import settings as S
-
 # Everything a text trim removes: ASCII and Unicode blanks, not only the space.
 BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -49,10 +47,10 @@ def norm_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), NON_WORD, " "))
 
 
-def search_terms(title: Column, n: int = S.PRIMARY_TERMS) -> Column:
-    """First ``n`` words of more than two characters."""
-    words = F.split(title, NON_WORD)
-    return F.slice(F.filter(words, lambda w: F.length(w) > 2), 1, n)
+def search_terms(title: Column, n: int | None = None) -> Column:
+    """Words of more than two characters, the first ``n`` if given."""
+    words = F.filter(F.split(title, NON_WORD), lambda w: F.length(w) > 2)
+    return words if n is None else F.slice(words, 1, n)
 
 
 def term_set(text: Column) -> Column:
@@ -61,7 +59,7 @@ def term_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) > 2)))
 
 
-def search_query(title: Column, n: int = S.PRIMARY_TERMS) -> Column:
+def search_query(title: Column, n: int | None = None) -> Column:
     return F.array_join(search_terms(title, n), " ")
 
 
@@ -71,8 +69,8 @@ def card_lines(text: Column) -> Column:
     return F.filter(lines, lambda line: line != "")
 
 
-def card_text(lines: Column, n: int = S.CARD_LINES) -> Column:
-    return F.array_join(F.slice(lines, 1, n), " | ")
+def card_text(lines: Column, n: int | None = None) -> Column:
+    return F.array_join(lines if n is None else F.slice(lines, 1, n), " | ")
 
 
 def card_title(text: Column, anchor_text: Column) -> Column:

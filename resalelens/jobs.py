@@ -30,7 +30,7 @@ PAGE_SCHEMA = "page_id LONG, url STRING, html STRING"
 
 def run_deals(spark: SparkSession, a: argparse.Namespace) -> None:
     details = spark.read.parquet(a.details) if a.details else None
-    near = None
+    near, seen = None, deals.Funnel() if a.funnel else None
     if a.hours is not None or a.radius is not None:
         if a.radius is not None and not (a.zip and a.zips):
             raise SystemExit("--radius needs --zip and --zips")
@@ -38,11 +38,13 @@ def run_deals(spark: SparkSession, a: argparse.Namespace) -> None:
         near = lambda listings: scan.within_reach(listings, a.hours, zips, a.zip, a.radius)
     ranked = deals.deals_from_pages(
         spark.read.parquet(a.index), spark.read.parquet(a.sold), details, a.max,
-        min_ratio=a.min_ratio, min_profit=a.min_profit, reach=near)
+        min_ratio=a.min_ratio, min_profit=a.min_profit, reach=near, funnel=seen)
     if a.json:
         found.write_deals(ranked, a.out)
     else:
         report.deal_report(ranked).write.mode("overwrite").parquet(a.out)
+    if a.funnel:
+        seen.rows(spark).coalesce(1).write.mode("overwrite").json(a.funnel)
 
 
 def run_scan(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -103,6 +105,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--zip", help="home code, for --radius")
     d.add_argument("--radius", type=float, help="only listings whose card names a code within so many miles of home")
     d.add_argument("--zips", help="centroids: zip, lat, lon")
+    d.add_argument("--funnel", help="where the counts of the steps go")
     d.add_argument("--json", action="store_true", help="raw deals as JSON lines instead of report rows")
     d.set_defaults(run=run_deals)
 

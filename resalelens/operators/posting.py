@@ -60,11 +60,11 @@ def failures(attempts: DataFrame) -> DataFrame:
     return attempts.filter(~F.col("ok")).select("posted_on", "n", "title", "reason")
 
 
-def export_rows(items: DataFrame, city: str) -> DataFrame:
-    """Rows for the posting form."""
+def export_rows(items: DataFrame, city: str, max_title: int | None = None) -> DataFrame:
+    """Rows for the posting form; titles are whole unless a limit is given."""
     return items.select(
         "n",
-        F.substring("title", 1, S.MAX_EXPORT_TITLE).alias("title"),
+        (F.col("title") if max_title is None else F.substring("title", 1, max_title)).alias("title"),
         F.coalesce("list_price", "market_value").cast("long").cast("string").alias("price"),
         "category",
         F.coalesce(F.when(F.length("condition") > 0, F.col("condition")), F.lit(S.DEFAULT_CONDITION)).alias("condition"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from resalelens import settings as S
 from resalelens.functions import money, scoring, text
@@ -89,29 +89,58 @@ def to_deal(df: DataFrame, listing_columns: list[str]) -> DataFrame:
     )
 
 
+VERDICTS = ("no_comps", "below_threshold", "deal")
+
+
+class Funnel:
+    """Counts of the steps of one search for deals, observed while its own passes run: no
+    table is read for them. Complete once the deals are written."""
+
+    def __init__(self):
+        self._found, self._unique, self._judged = Observation(), Observation(), Observation()
+
+    def found(self, scan: DataFrame) -> DataFrame:
+        return scan.observe(self._found, F.count(F.lit(1)).alias("found"))
+
+    def unique(self, listings: DataFrame) -> DataFrame:
+        priced = F.coalesce(filters.has_price(F.col("price")), F.lit(False))
+        return listings.observe(self._unique, F.count(F.lit(1)).alias("unique"), F.count_if(~priced).alias("no_price"))
+
+    def judged(self, priced: DataFrame) -> DataFrame:
+        return priced.observe(self._judged, *[F.count_if(F.col("_verdict") == v).alias(v) for v in VERDICTS])
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """``reason, n``: found, unique, and each reason that occurs."""
+        counts = self._found.get | self._unique.get | self._judged.get
+        rows = [(k, n) for k, n in counts.items() if n or k in ("found", "unique")]
+        return spark.createDataFrame(rows, "reason STRING, n LONG")
+
+
 def find_deals(
     listings: DataFrame, stats: DataFrame,
-    min_ratio: float = S.MIN_RATIO, min_profit: float = S.MIN_PROFIT,
+    min_ratio: float = S.MIN_RATIO, min_profit: float = S.MIN_PROFIT, funnel: Funnel | None = None,
 ) -> DataFrame:
     """Listings worth buying, unordered. See ``ranking`` for their order and numbers."""
     priced = listings.filter(filters.has_price(F.col("price")))
-    kept = scored(priced, stats).filter(verdict(min_ratio, min_profit) == "deal")
+    judged = scored(priced, stats).withColumn("_verdict", verdict(min_ratio, min_profit))
+    kept = (judged if funnel is None else funnel.judged(judged)).filter(F.col("_verdict") == "deal")
     return to_deal(kept, [n for n in listings.columns if n not in ("query", "query2")])
 
 
-def ranked_deals(listings: DataFrame, stats: DataFrame, **thresholds: float) -> DataFrame:
+def ranked_deals(listings: DataFrame, stats: DataFrame, funnel: Funnel | None = None, **thresholds: float) -> DataFrame:
     """Deals with their numbers, best first.
 
     Deals are written before they are numbered: range partitioning reads its input
     twice, and the joins behind the deals should run once.
     """
-    found = written(find_deals(listings, stats, **thresholds), "deals")
+    found = written(find_deals(listings, stats, funnel=funnel, **thresholds), "deals")
     return ranking.numbered(found, ranking.best_first())
 
 
 def deals_from_pages(
     index_pages: DataFrame, sold: DataFrame, detail_pages: DataFrame | None = None,
-    max_rows: int | None = None, reach: Callable[[DataFrame], DataFrame] | None = None, **thresholds: float,
+    max_rows: int | None = None, reach: Callable[[DataFrame], DataFrame] | None = None,
+    funnel: Funnel | None = None, **thresholds: float,
 ) -> DataFrame:
     """Captured pages and sold titles to numbered deals. ``reach`` filters the listings
     before anything else, as a site's own search would.
@@ -121,14 +150,16 @@ def deals_from_pages(
     and after their details, so that every page is parsed once, and detail pages only
     of listings with a price.
     """
-    carded = cards.listings_of(cards.scan_cards(index_pages))
-    found = cards.distinct_listings(carded if reach is None else reach(carded), max_rows)
+    carded = cards.listings_of(cards.scan_cards(index_pages), max_lines=S.CARD_LINES)
+    carded = carded if reach is None else reach(carded)
+    found = cards.distinct_listings(carded if funnel is None else funnel.found(carded), max_rows)
+    found = found if funnel is None else funnel.unique(found)
     listings = written(found.filter(filters.has_price(F.col("price"))), "listings")
     if detail_pages is not None:
         wanted = detail_pages.join(listings.select("url"), "url", "left_semi")
         listings = written(cards.with_details(listings, detail_fields(wanted)), "detailed")
     listings = with_queries(listings)
-    return ranked_deals(listings, stats_by_title(listings, sold), **thresholds)
+    return ranked_deals(listings, stats_by_title(listings, sold), funnel, **thresholds)
 
 
 def funnel(

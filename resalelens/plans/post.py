@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from resalelens import settings as S
 from resalelens.operators import posting
 from resalelens.operators.first import capped
 
@@ -12,7 +13,7 @@ def export(items: DataFrame, choice: str, city: str, cap: int | None = None) ->
     """Posting rows of the chosen items, the first ``cap`` of them if there is a daily cap.
     ``items`` is numbered in ``n``."""
     chosen = posting.selected(items, choice)
-    return posting.export_rows(chosen if cap is None else capped(chosen, cap, ["n"]), city)
+    return posting.export_rows(chosen if cap is None else capped(chosen, cap, ["n"]), city, S.MAX_EXPORT_TITLE)
 
 
 def posted(attempts: DataFrame, cap: int) -> DataFrame:

@@ -41,12 +41,13 @@ def scan_cards(pages: DataFrame) -> DataFrame:
     )
 
 
-def listings_of(cards: DataFrame, base: str = BASE_URL) -> DataFrame:
-    """Typed listing of every card. ``pos`` orders by page, then by place on the page."""
+def listings_of(cards: DataFrame, base: str = BASE_URL, max_lines: int | None = None) -> DataFrame:
+    """Typed listing of every card. ``pos`` orders by page, then by place on the page. The text
+    of a card is that of all its lines, of the first ``max_lines`` if given."""
     lines = F.col("card_lines")
     linked = cards.filter(urls.is_listing_link(F.col("href"))).withColumn(
         "url", urls.absolutize(F.col("href"), base))
-    return linked.withColumn("card_text", text.card_text(lines)).select(
+    return linked.withColumn("card_text", text.card_text(lines, max_lines)).select(
         urls.listing_key(F.col("url")).alias("id"),
         text.card_title(F.col("card_text"), F.col("anchor_text")).alias("title"),
         "url",

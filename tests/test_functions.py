@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from resalelens import settings as S
 from resalelens.functions import dates, geo, money, scoring, text, urls
 
 C = F.col
@@ -38,7 +39,7 @@ def test_search_terms_keep_first_long_words(one):
 def test_card_text_takes_eight_lines(one):
     raw = "\n a \n\n b\nc\nd\ne\nf\ng\nh\ni\n"
     assert one(text.card_lines(C("t")), t=raw) == list("abcdefghi")
-    assert one(text.card_text(text.card_lines(C("t"))), t=raw) == "a | b | c | d | e | f | g | h"
+    assert one(text.card_text(text.card_lines(C("t")), S.CARD_LINES), t=raw) == "a | b | c | d | e | f | g | h"
 
 
 @pytest.mark.parametrize("card, anchor, want", [

@@ -25,7 +25,9 @@ def test_deals_job(spark, tmp_path):
         (1, "https://www.publicsurplus.com/sms/auction/view?auc=1", "<h1>Kit drill red</h1><div class=desc>for parts</div>")],
         "page_id LONG, url STRING, html STRING")
     args = ["deals", "--index", index, "--sold", sold, "--min-profit", "50", "--min-ratio", "1.5"]
-    jobs.main([*args, "--out", f"{tmp_path}/a", "--json"])
+    jobs.main([*args, "--out", f"{tmp_path}/a", "--json", "--funnel", f"{tmp_path}/funnel"])
+    funnel = {r.reason: r.n for r in spark.read.json(f"{tmp_path}/funnel").collect()}
+    assert funnel == {"found": 3, "unique": 2, "no_comps": 1, "deal": 1}
     r = spark.read.json(f"{tmp_path}/a").collect()
     assert [(x["deal_number"], x["id"], x["comps_median"], x["profit_ratio"]) for x in r] == [(1, "1", 252.0, 2.52)]
     zips = write(spark, f"{tmp_path}/zips", [("85001", 33.45, -112.07), ("90001", 33.97, -118.25)], "zip STRING, lat DOUBLE, lon DOUBLE")

@@ -352,7 +352,7 @@ def test_export_rows(spark):
     df = spark.createDataFrame(
         [(1, "t" * 120, None, 250.75, "c", "", "d", ["p"]), (2, "x", 99.0, 250.0, "c", "New", "d", [])],
         "n INT, title STRING, list_price DOUBLE, market_value DOUBLE, category STRING, condition STRING, description STRING, photos ARRAY<STRING>")
-    a, b = posting.export_rows(df, "Phoenix, AZ").orderBy("n").collect()
+    a, b = posting.export_rows(df, "Phoenix, AZ", S.MAX_EXPORT_TITLE).orderBy("n").collect()
     assert (len(a["title"]), a["price"], a["condition"], a["location"]) == (100, "250", "Used - Good", "Phoenix, AZ")
     assert (b["price"], b["condition"]) == ("99", "New")
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from resalelens import settings as S
 from resalelens.functions import money, scoring, text, urls
 from resalelens.operators import comps, match, ranking
 from resalelens.operators.first import first_per_title
 from resalelens.operators.storage import written
 from resalelens.plans import deals, report
-from workload.registry import cents_sql, query, words_sql
+from workload.registry import ORACLES, cents_sql, query, words_sql
 from workload.standins import (
     ASKED_SQL, DEAL_SQL, LINE_ORDER, LISTING_SQL, PART_DEALS_SQL, SCORED_SQL, STATS_SQL, UNIT_SQL,
     comp_sql, part_comps, part_listings, table, unit_price, with_part_query,
@@ -169,6 +170,15 @@ def funnel(spark, d):
     return deals.funnel(found, with_part_query(first_per_title(found)), part_stats(spark, d))
 
 
+@query(ORACLES["funnel"])
+def funnel_observed(spark, d):
+    """The same counts, observed while the deals themselves are found."""
+    seen = deals.Funnel()
+    unique = with_part_query(seen.unique(first_per_title(seen.found(part_listings(spark, d)))))
+    written(deals.find_deals(unique, part_stats(spark, d), funnel=seen), "deals")
+    return seen.rows(spark)
+
+
 USD = "'$' || format('{{:,.0f}}', {})"
 
 
@@ -245,14 +255,13 @@ hit AS (
 @query(f"WITH {ASK_SQL}\nSELECT item_id AS query_id, doc_id AS title_id FROM hit")
 def term_match(spark, d):
     ask = table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), text.term_set(text.search_query(F.col("text"))).alias("terms"))
+        F.col("item_id").alias("query_id"), text.term_set(text.search_query(F.col("text"), S.PRIMARY_TERMS)).alias("terms"))
     sold = table(spark, d, "documents").select(
         F.col("doc_id").alias("title_id"), text.term_set(F.col("text")).alias("terms"))
     return match.term_match(ask, sold)
 
 
 def _sold_documents(spark, d) -> DataFrame:
-    from resalelens import settings as S
     source = F.when(F.col("doc_id") % 2 == 0, S.PRIMARY_SOURCE).otherwise(S.SECONDARY_SOURCE)
     return table(spark, d, "documents").select(
         F.col("text").alias("title"), source.alias("source"),

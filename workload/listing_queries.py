@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from resalelens import settings as S
 from resalelens.functions import dates, money, scoring, text, urls
 from resalelens.operators import filters, found, search
 from resalelens.operators.first import capped, first_per_key, first_per_title
@@ -97,7 +98,7 @@ SELECT p_partkey, array_to_string(lines[1:8], ' | ') AS card_text,
 FROM parts""")
 def card_fields(spark, d):
     lines = F.col("lines")
-    cards = _cards(spark, d).withColumn("card_text", text.card_text(lines))
+    cards = _cards(spark, d).withColumn("card_text", text.card_text(lines, S.CARD_LINES))
     return cards.select(
         "p_partkey", "card_text",
         text.card_title(F.col("card_text"), F.col("anchor")).alias("title"),

@@ -162,7 +162,7 @@ def export_rows(spark, d):
         F.col("p_type").alias("category"), F.when(F.col("p_size") % 2 == 0, "New").otherwise("").alias("condition"),
         F.col("p_brand").alias("description"), F.lit("p1 p2").alias("photos"))
     chosen = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("n"))
-    return posting.export_rows(posting.selected_by(items, chosen), "Phoenix, AZ")
+    return posting.export_rows(posting.selected_by(items, chosen), "Phoenix, AZ", S.MAX_EXPORT_TITLE)
 
 
 CAP = 3
