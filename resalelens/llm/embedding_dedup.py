@@ -49,6 +49,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two above their largest component, which changes no
+    cosine and keeps squares of very large and very small components in range."""
+    _, power = np.frexp(np.abs(x).max(axis=1, initial=0))
+    return np.ldexp(x, -power[:, None])
+
+
 def coder(bits: int, tables: int):
     """Column function: vector to its bucket code in each table."""
     planes: dict[int, np.ndarray] = {}
@@ -57,7 +64,7 @@ def coder(bits: int, tables: int):
     def codes(vectors: pa.Array) -> pa.Array:
         out = []
         for v in vectors:
-            x = np.asarray(v.values, np.float64)
+            x = scaled(np.asarray(v.values, np.float64)[None, :])[0]
             if len(x) not in planes:
                 planes[len(x)] = np.random.default_rng([SEED, len(x)]).standard_normal((len(x), bits * tables))
             sign = (x @ planes[len(x)] > 0).reshape(tables, bits)
@@ -87,7 +94,7 @@ def comparer(threshold: float):
     def compare(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         t, i, j = int(keys[0]), int(keys[3]), int(keys[4])
         rows = rows.sort_values(["block", "key"])
-        x = np.array(rows["vector"].tolist(), np.float64)
+        x = scaled(np.array(rows["vector"].tolist(), np.float64))
         norm = np.sqrt((x * x).sum(axis=1))
         codes = np.array(rows["codes"].tolist(), np.int32)
         key, copies = rows["key"].to_numpy(), rows["copies"].to_numpy()

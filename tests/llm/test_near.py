@@ -124,3 +124,11 @@ def test_vectors_in_large_buckets_and_odd_ones(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df).collect()}
     assert got == by_cosine(rows)
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_very_large_and_small_components(spark):
+    """Squares of these leave the range of doubles; their cosines do not."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, 1.7e308]), (7, [-1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
