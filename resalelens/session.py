@@ -21,6 +21,18 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)
 
 
+_shipped: set[str] = set()
+
+
+def ensure_package(spark: SparkSession) -> None:
+    """Ship the package, once per application, unless workers find it by their search path."""
+    folder, app = os.path.dirname(PACKAGE), spark.sparkContext.applicationId
+    known = [os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    if app not in _shipped and folder not in known:
+        ship_package(spark)
+    _shipped.add(app)
+
+
 def session(app: str = "resale-deals", **conf: str) -> SparkSession:
     """Adaptive execution does the run-time sizing: it merges small shuffle partitions,
     splits skewed ones and broadcasts a join side once its measured size is small.
@@ -36,5 +48,7 @@ def session(app: str = "resale-deals", **conf: str) -> SparkSession:
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
     spark = builder.getOrCreate()
-    ship_package(spark)
+    if spark.sparkContext.applicationId not in _shipped:
+        ship_package(spark)
+        _shipped.add(spark.sparkContext.applicationId)
     return spark
