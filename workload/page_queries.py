@@ -294,7 +294,8 @@ sold AS (
   FROM lineitem JOIN named ON p_partkey = l_partkey),
 asked_query AS (SELECT DISTINCT sought, p_name AS words, length(CAST(p_partkey // 2 AS VARCHAR)) > 2 AS numbered FROM named),
 matched AS (
-  SELECT a.sought AS query, l_returnflag, price FROM asked_query a JOIN sold s ON a.numbered AND a.sought = s.sought OR NOT a.numbered AND a.words = s.words),
+  SELECT a.sought AS query, l_returnflag, price FROM asked_query a JOIN sold s ON a.sought = s.sought WHERE a.numbered
+  UNION ALL SELECT a.sought, l_returnflag, price FROM asked_query a JOIN sold s ON a.words = s.words WHERE NOT a.numbered),
 comp AS (
   SELECT * FROM (
     SELECT query, CASE l_returnflag WHEN 'R' THEN 'ebay_sold' ELSE 'facebook_marketplace' END AS source, price FROM matched)
