@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing.
 
-A document is the set of its word shingles. Under each of ``PERMUTATIONS`` hash functions
+A document is the set of its word shingles. Under each of some hash functions
 both the smallest and the largest value are kept, two signature values for one hash
 evaluation. Bands of ``ROWS`` values are the buckets in which documents meet; documents
 that never meet in a band are never compared.
@@ -10,17 +10,17 @@ sets of both texts. What is asked for are groups, so pairs that are already conn
 not compared again:
 
 1. In every bucket one class is compared with all others (a star), and what is linked
-   gets one label. That settles the usual groups of copies in one round.
-2. For classes of buckets that still hold several labels, the shingles that no other such
-   class has are counted. They bound the similarity of a pair from above, exactly, and
-   tell which classes are closest to the others.
-3. In those buckets further classes, those with the smallest share of own shingles first,
-   are compared with members of other labels, as long as the bounds allow a link. Each
-   round takes more of them, until every bucket holds one label or all its classes have
-   been compared. Nothing is cut off.
-
-A pair at the threshold meets in no band with a probability below one in a million for
-0.85 and four values a band.
+   gets one label. That settles the usual groups of copies.
+2. What is left are classes of buckets that hold several labels. Their shingles are put
+   in one order, rarest first. Two linked sets must share a shingle near the start of
+   both orders (the exact prefix bounds of set similarity joins), so classes of different
+   labels meet through those shingles only, and sizes and places bound the rest. Texts
+   that are alike in what all of them share, and differ in what is rare, never meet.
+3. At each such shingle, the label that most of its classes have is not compared with
+   itself; a shingle of many classes is cut into parts. Nothing is cut off.
+
+The number of bands follows from the threshold: a pair at it meets in no band with a
+probability below ``MISS``.
 
 Null and empty texts have no shingles, link with nothing, and are kept. Repeated rows are
 rows of their own. ``doc_id`` may repeat or be null: rows are told apart by their text.
@@ -28,6 +28,8 @@ rows of their own. ``doc_id`` may repeat or be null: rows are told apart by thei
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,43 +40,54 @@ from resalelens.llm.shingles import shingle_sets, words
 from resalelens.llm.tables import bounded_batches
 from resalelens.operators.storage import is_small, written
 
-PERMUTATIONS = 40
+#: Values per band: the smallest and largest of two permutations.
 ROWS = 4
+#: Chance that a pair at the threshold meets in no band.
+MISS = 1e-6
 SEED = 20
 #: A pair is compared if its signatures agree in this share less than the threshold: over
 #: six standard deviations of the estimate.
 SLACK = 0.25
-MORE_PIVOTS = 8
+#: Classes per part of a shared shingle.
+PART = 512
 
 SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()),
     T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
 
 
-def multipliers() -> np.ndarray:
+def permutations(percent: int) -> int:
+    """Permutations whose bands miss a pair at the threshold with a chance of ``MISS``."""
+    meet = (percent / 100) ** ROWS
+    bands = 1 if meet >= 1 else math.ceil(math.log(MISS) / math.log1p(-meet))
+    return bands * ROWS // 2
+
+
+def multipliers(count: int) -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signatures(value: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Documents x 2 PERMUTATIONS: smallest and largest value under each permutation, for
-    documents with shingles."""
+def signatures(value: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest and largest value under each permutation, side by side, for documents with
+    shingles."""
     start = (np.cumsum(count) - count)[count > 0]
-    out = np.empty((len(start), 2 * PERMUTATIONS), np.uint32)
-    for p, factor in enumerate(multipliers()):
+    factors = multipliers(permutations(percent))
+    out = np.empty((len(start), 2 * len(factors)), np.uint32)
+    for p, factor in enumerate(factors):
         hashed = ((value * factor) >> np.uint64(32)).astype(np.uint32)
         out[:, 2 * p] = np.minimum.reduceat(hashed, start)
         out[:, 2 * p + 1] = np.maximum.reduceat(hashed, start)
     return out
 
 
-def signer(width: int):
+def signer(width: int, percent: int):
     """Column function: text to its set size, class, band values and signature."""
     @F.arrow_udf(SIGNED)
     def sign(texts: pa.Array) -> pa.Array:
         value, count = shingle_sets(texts.to_pylist(), width)
         ends = np.cumsum(count)
-        sig = iter(signatures(value, count) if len(value) else ())
+        sig = iter(signatures(value, count, percent) if len(value) else ())
         rows = []
         for n, end in zip(count.tolist(), ends.tolist()):
             if not n:
@@ -144,7 +157,7 @@ def near_duplicates(
     rows whose own id that is. ``row_key`` is a hash of id and text, for joining the result
     back; ``chosen`` marks the one row key of each group."""
     bounded_batches(docs.sparkSession)
-    sign = signer(width)
+    sign = signer(width, percent)
     rows = docs.select(F.col(doc_id).alias("doc_id"), _row_key(doc_id, text).alias("row_key"), sign(F.col(text)).alias("_s"))
     signed = written(rows.select("doc_id", "row_key", "_s.*"), "signed")
     classes = written(
@@ -206,14 +219,15 @@ def _groups(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, width:
     agree, test = agreement(), similar(width, percent)
     least = percent / 100 - SLACK
 
-    def confirmed(pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
-        """Pairs that the bounds leave and the full sets confirm."""
+    facts = info.select("key", "n", "signature")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose signatures are near and whose full sets are linked."""
         of = lambda c: facts.select(*(F.col(x).alias(f"{x}_{c}") for x in facts.columns))
-        most = F.least(*(F.col(f"n_{c}") - F.col(f"own_{c}") for c in "ab")) if "own" in facts.columns else F.least("n_a", "n_b")
         near = (
             pairs.distinct()
             .join(of("a"), F.col("a") == F.col("key_a")).join(of("b"), F.col("b") == F.col("key_b"))
-            .filter(_possible(most, F.col("n_a"), F.col("n_b"), percent))
+            .filter(_possible(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent))
             .filter(agree("signature_a", "signature_b") >= least)
             .select("a", "b")
         )
@@ -222,42 +236,16 @@ def _groups(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, width:
             .join(texts.select(F.col("key").alias("b"), F.col("text").alias("_tb")), "b"))
         return written(with_texts.filter(test("_ta", "_tb")).select("a", "b"), name)
 
-    facts = info.select("key", "n", "signature")
     pivot = members.groupBy("bucket").agg(F.min("key").alias("a"))
     stars = members.join(pivot, "bucket").filter("key <> a").select("a", F.col("key").alias("b"))
-    label = _merged(None, confirmed(stars, facts, "links"), "labels")
+    label = _merged(None, confirmed(stars, "links"), "labels")
 
-    members = _open(members, label)
-    if is_small(members, 0):
+    left = written(_open(members, label), "open")
+    if is_small(left, 0):
         return label
-    facts, ordered = _with_own(members, facts, texts, width)
-    members = written(members.join(ordered, "key"), "members-own")
-    done = members.select("bucket", F.lit(None).cast(ordered.schema["order"].dataType).alias("upto")).distinct()
-    turn, size = 0, 1
-    while True:
-        # A class whose own shingles rule out even the smallest partner is settled.
-        smallest = members.groupBy("bucket").agg(F.min("n").alias("_small"))
-        able = members.join(smallest, "bucket").filter(_possible(F.col("n") - F.col("own"), F.col("n"), F.col("_small"), percent))
-        members = written(_open(able.drop("_small", "label"), label), f"open-{turn}")
-        if is_small(members, 0):
-            return label
-        # The next pivots of each bucket in order of their share of own shingles.
-        waiting = members.join(done, "bucket").filter(F.col("upto").isNull() | (F.col("order") > F.col("upto")))
-        turn_order = F.row_number().over(Window.partitionBy("bucket").orderBy("order"))
-        pivots = written(
-            waiting.withColumn("_rank", turn_order).filter(F.col("_rank") <= size)
-            .select("bucket", F.col("key").alias("a"), *(F.col(c).alias(f"_{c}") for c in ("label", "order", "n", "own"))), f"pivots-{turn}")
-        common = F.least(F.col("n") - F.col("own"), F.col("_n") - F.col("_own"))
-        pairs = (
-            members.join(pivots, "bucket")
-            .filter((F.col("label") != F.col("_label")) & (F.col("order") > F.col("_order")) & _possible(common, F.col("n"), F.col("_n"), percent))
-            .select("a", F.col("key").alias("b")))
-        label = _merged(label, confirmed(pairs, facts, f"links-{turn}"), f"labels-{turn}")
-        # Buckets whose classes have all been pivots are settled.
-        last = pivots.groupBy("bucket").agg(F.max("_order").alias("upto"), F.count(F.lit(1)).alias("_count"))
-        done = written(last.filter(F.col("_count") == size).drop("_count"), f"done-{turn}")
-        members = written(members.join(done.select("bucket"), "bucket", "left_semi"), f"members-{turn}")
-        turn, size = turn + 1, size * MORE_PIVOTS
+    starts = written(_starts(left, facts, texts, width, percent), "starts")
+    label = _merged(label, confirmed(_to_centres(_at_shared(starts, label)), "centre-links"), "centre-labels")
+    return _merged(label, confirmed(_through_rare(_at_shared(starts, label), percent), "more-links"), "more-labels")
 
 
 def _possible(common: Column, n: Column, m: Column, percent: int) -> Column:
@@ -266,21 +254,66 @@ def _possible(common: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of buckets that hold several labels, with their labels."""
+    """``key`` of the classes of buckets that hold several labels."""
     now = members.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     several = now.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("bucket")
-    return now.join(several, "bucket")
-
-
-def _with_own(members: DataFrame, facts: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Facts with ``own``, the number of shingles that no other open class has, and per
-    class these numbers and its place in the order of pivots."""
-    keys = written(members.select("key").distinct(), "open-keys")
-    listed = texts.join(keys, "key").select("key", F.explode(shingle_lists(width)("text")).alias("shingle"))
-    single = (
-        listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key"))
-        .filter("_n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own")))
-    full = written(
-        facts.join(keys, "key").join(single, "key", "left").withColumn("own", F.coalesce("own", F.lit(0))), "own")
-    place = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("key").alias("tie"))
-    return full, full.select("key", "n", "own", place.alias("order"))
+    return now.join(several, "bucket", "left_semi").select("key").distinct()
+
+
+def _starts(left: DataFrame, facts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``shingle, key, n, at, short``: the shingles of each class that may be the
+    first one it shares with a linked class. Shingles are ordered by the number of classes
+    that have them, then by value; ``at`` counts the class's own shingles before this one.
+
+    With ``at`` shingles gone, ``n - at`` can be shared. A partner that is no larger has at
+    least ``percent`` of the size; one that is no smaller has at least the same size, which
+    leaves fewer places: ``short`` marks those."""
+    listed = written(
+        texts.join(left, "key").select("key", F.explode(shingle_lists(width)("text")).alias("shingle")), "listed")
+    counted = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("_classes"))
+    shared = listed.join(counted.filter("_classes > 1"), "shingle")
+    sizes = facts.join(left, "key").select("key", "n")
+    # Shingles of one class come first in the order and meet nobody.
+    own = shared.groupBy("key").agg(F.count(F.lit(1)).alias("_shared"))
+    sized = sizes.join(own, "key").withColumn("_own", F.col("n") - F.col("_shared")).filter(100 * F.col("_shared") >= percent * F.col("n"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("_classes", "shingle"))
+    at = shared.join(sized, "key").withColumn("at", F.col("_own") + place - 1)
+    rest = F.col("n") - F.col("at")
+    return at.filter(100 * rest >= percent * F.col("n")).select(
+        "shingle", "key", "n", "at", _possible(rest, F.col("n"), F.col("n"), percent).alias("short"))
+
+
+def _at_shared(starts: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of ``starts`` at shingles of several labels, with the label of now, the number
+    of ``parts`` of the shingle, and whether the label is not the usual one there."""
+    now = starts.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    per_label = now.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("_n"))
+    usual = per_label.groupBy("shingle").agg(
+        F.max(F.struct("_n", "label")).alias("_most"), F.sum("_n").alias("_all")).filter(F.col("_most._n") < F.col("_all"))
+    parts = F.ceil(F.col("_all") / PART).cast("int")
+    return written(
+        now.join(usual.select("shingle", F.col("_most.label").alias("_usual"), parts.alias("parts")), "shingle")
+        .withColumn("rare", F.col("label") != F.col("_usual")).drop("_usual"), "starts-shared")
+
+
+def _to_centres(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the class with the fewest rarer shingles, of those with the usual
+    label at a shingle, and the classes with other labels there: the text that others were
+    edited from, if it is there, links most of them."""
+    centre = rows.filter("NOT rare").groupBy("shingle").agg(F.min(F.struct("at", "key")).alias("_centre"))
+    return rows.filter("rare").join(centre, "shingle").select(F.col("_centre.key").alias("a"), F.col("key").alias("b"))
+
+
+def _through_rare(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes with different labels that share a shingle of ``rows``
+    and may be linked."""
+    # Two labels that differ are not both the usual one: one side is always rare.
+    named = lambda df, c: df.select("shingle", "part", *(F.col(x).alias(f"{x}_{c}") for x in ("key", "label", "n", "at")))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    copied = rows.filter("rare").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    # ``b`` is the smaller set; of equal ones, that of the smaller key.
+    ordered = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("key_b") < F.col("key_a")))
+    fits = ordered & (F.col("label_a") != F.col("label_b")) & _possible(rest, F.col("n_a"), F.col("n_b"), percent)
+    meet = lambda a, b: named(a, "a").join(named(b, "b"), ["shingle", "part"]).filter(fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return meet(copied, dealt.filter("short")).union(meet(dealt.filter("NOT rare"), copied.filter("short")))

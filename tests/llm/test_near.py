@@ -87,6 +87,56 @@ def test_minhash_edited_copies_of_one_text(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, g in got.items() if g[2])
 
 
+def test_minhash_edits_of_an_absent_text_from_few_words(spark, monkeypatch):
+    """Edits that texts share, sizes that differ, no text in the middle, parts of a few
+    classes: the prefix bounds lose no link at 80 percent."""
+    monkeypatch.setattr(minhash, "PART", 3)
+    rng = random.Random(5)
+    base = [[f"{g}-{i}" for i in range(90)] for g in "ab"]
+    rows = []
+    for i in range(160):
+        words = list(base[i % 2])
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(words))
+            words[at:at + 1] = rng.choice([["x"], ["y"], ["z", "z"], []])
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=5, percent=80).collect()}
+    assert got == by_all_pairs(rows, 5, 80)
+
+
+def test_minhash_candidates_are_all_links_and_few_pairs(spark):
+    """Through rare shingles alone, every link between labels is found; copies of a text
+    whose edits are their own do not meet each other."""
+    def starts(texts, percent):
+        sets = [shingles(t, 3) for t in texts]
+        facts = spark.createDataFrame([(i, len(s), None) for i, s in enumerate(sets)], "key long, n long, signature binary")
+        named = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+        found = minhash._starts(facts.select("key"), facts, named, 3, percent)
+        return sets, minhash._at_shared(found, spark.createDataFrame([], "key long, label long"))
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(["p", "q"]) if rng.random() < 0.04 else w for w in base[:rng.randint(52, 60)]) for _ in range(60)]
+    texts = sorted(set(texts))
+    sets, rows = starts(texts, 85)
+    got = {tuple(sorted((r.a, r.b))) for r in minhash._through_rare(rows, 85).collect()}
+    links = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+             if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert links and links <= got
+
+    apart = [" ".join(f"{w}-{t}" if i % 9 == 4 else w for i, w in enumerate(base)) for t in range(80)]
+    assert minhash._through_rare(starts(apart, 85)[1], 85).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 99, 100])
+def test_minhash_bands_follow_from_the_threshold(percent):
+    bands = 2 * minhash.permutations(percent) / minhash.ROWS
+    assert bands == int(bands)
+    miss = (1 - (percent / 100) ** minhash.ROWS) ** bands
+    assert miss <= minhash.MISS
+
+
 def test_minhash_repeated_rows_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert len(minhash.near_duplicates(df).collect()) == 4
