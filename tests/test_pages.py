@@ -280,3 +280,24 @@ def test_plan_does_not_grow_with_rules(spark):
     assert len(few.splitlines()) == len(all_.splitlines()) and all_.count("CASE") == few.count("CASE")
     got = records.extract_records(df, many).orderBy("page_id").collect()
     assert [(r.site, r.title, r.lot, r.current_bid) for r in got] == [("s7", "x", "5", None), ("s199", "y", None, 7.0)]
+
+
+def test_items_of_all_blocks(spark):
+    def block(body):
+        return f"said:\n```json\n{body}\n```\n"
+    texts = [
+        (1, block('{"items": [{"title": "a } b", "bid": 5, "color": "red"}, 7, {"bid": "much", "photos": ["p"], "url": null}]}') + block('[{"title": "c"}]')),
+        (2, block('{"items": [ }') + block('{"other": 1}') + block('{"items": []}') + block('{"items": null}')),
+        (3, "no block"), (4, None), (5, ""), (6, block("[null]")),
+        (7, block('[{"title": "' + "x" * 200_000 + '"}]')),
+    ]
+    df = logs.all_items(spark.createDataFrame(texts, "run_id LONG, text STRING"))
+    got = {(r.run_id, r.block, r.pos): (r.error, r.mistyped, r.bid) for r in df.collect()}
+    assert got == {
+        (1, 0, 0): (None, [], 5.0), (1, 0, 1): ("not an object", None, None), (1, 0, 2): (None, ["bid"], None),
+        (1, 1, 0): (None, [], None), (2, 0, 0): ("not json", None, None), (2, 1, 0): ("no list", None, None),
+        (2, 3, 0): ("no list", None, None), (6, 0, 0): ("not an object", None, None), (7, 0, 0): (None, [], None)}
+    first = df.filter("run_id = 1 AND block = 0 AND pos = 0").selectExpr("variant_get(item, '$.color', 'string') c", "title").first()
+    assert tuple(first) == ("red", "a } b")
+    assert df.filter("run_id = 1 AND pos = 2").first().photos == ["p"]
+    assert df.filter("run_id = 7").selectExpr("length(title) n").first().n == 200_000

@@ -150,6 +150,29 @@ def items_json(spark, d):
         "run_id", "pos", "title", "lot", "url", "bid", F.array_join("photos", " ").alias("photos"))
 
 
+def _block_logs(spark, d) -> DataFrame:
+    """Run texts with a good block of a good and a mistyped item and an entry that is no
+    object, then a block that is broken or has no items, by the event's number."""
+    key = F.col("event_id").cast("string")
+    fence = lambda body: F.concat(F.lit("Kept:\n```json\n"), body, F.lit("\n```\n"))
+    good = F.concat(
+        F.lit('{"items": [{"title": "'), F.col("event_type"), F.lit('", "lot": "'), key, F.lit('", "bid": '), F.col("value").cast("string"),
+        F.lit(', "seen": {"by": "'), key, F.lit('"}}, {"title": "t", "bid": "much"}, '), key, F.lit("]}"))
+    other = F.when(F.col("event_id") % 2 == 0, F.lit('[{"title": ]')).otherwise(F.lit('{"other": 1}'))
+    return table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.concat(fence(good), fence(other)).alias("text"))
+
+
+@query("""SELECT event_id AS run_id, 0 AS block, 0 AS pos, NULL AS error, event_type AS title, CAST(event_id AS VARCHAR) AS lot, value AS bid,
+  '' AS mistyped, CAST(event_id AS VARCHAR) AS seen_by FROM events
+UNION ALL SELECT event_id, 0, 1, NULL, 't', NULL, NULL, 'bid', NULL FROM events
+UNION ALL SELECT event_id, 0, 2, 'not an object', NULL, NULL, NULL, NULL, NULL FROM events
+UNION ALL SELECT event_id, 1, 0, CASE WHEN event_id % 2 = 0 THEN 'not json' ELSE 'no list' END, NULL, NULL, NULL, NULL, NULL FROM events""")
+def items_all_blocks(spark, d):
+    return logs.all_items(_block_logs(spark, d)).select(
+        "run_id", "block", "pos", "error", "title", "lot", "bid", F.array_join("mistyped", " ").alias("mistyped"),
+        F.try_variant_get("item", "$.seen.by", "string").alias("seen_by"))
+
+
 @query("""SELECT n, title, price, category, condition, description, location, photos FROM (
   SELECT p_partkey + 1 AS n, left(repeat(p_name || ' ', 12), 100) AS title, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS price,
     p_type AS category, CASE WHEN p_size % 2 = 0 THEN 'New' ELSE 'Used - Good' END AS condition, p_brand AS description,
