@@ -1,10 +1,13 @@
 """Streams give what the batch gives."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from resalelens.operators.found import merged
 from resalelens.streaming import incremental
+from workload.standins import table_stream
 
 
 @pytest.fixture
@@ -47,3 +50,17 @@ def test_new_keys_equal_distinct(spark, split):
     incremental.append_to(keys.select("url"), f"{tmp}/keys", f"{tmp}/keys-state").awaitTermination()
     got = [r["url"] for r in spark.read.parquet(f"{tmp}/keys").collect()]
     assert sorted(got) == sorted(r["url"] for r in df.select("url").distinct().collect())
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_table_stream_reads_a_file_or_a_folder(spark, tmp_path, folder):
+    parts, at = str(tmp_path / "parts"), tmp_path / "pages.parquet"
+    spark.range(100).repartition(1 if not folder else 3).write.parquet(parts)
+    if folder:
+        shutil.copytree(parts, at)
+    else:
+        shutil.copy(next((tmp_path / "parts").glob("*.parquet")), at)
+    spark.range(7).write.parquet(str(tmp_path / "pages2.parquet"))
+    stream = table_stream(spark, str(tmp_path), "pages")
+    incremental.append_to(stream, str(tmp_path / "rows"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == list(range(100))

@@ -16,7 +16,8 @@ from workload.deal_queries import RANK_SQL, numbered_part_deals
 from workload.page_queries import AUCTION_SQL, auction_pages, index_pages
 from workload.registry import cents_sql, query
 from workload.standins import (
-    FOUND_SQL, LINE_ORDER, PART_DEALS_SQL, UNIT_SQL, found_items, line_items, order_items, table, unit_price,
+    FOUND_SQL, LINE_ORDER, PART_DEALS_SQL, UNIT_SQL, found_items, line_items, order_items, table, table_stream,
+    unit_price,
 )
 
 AS_OF = "2026-03-01 00:00:00"
@@ -226,17 +227,11 @@ def post_failures(spark, d):
 
 # --- streams ------------------------------------------------------------------------
 
-def _event_stream(spark, d) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
-
-
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     """New (user, type) keys of the event stream; the watermark spans the data."""
     out = fresh_path(spark, "stream-dedup")
-    keys = incremental.new_keys(_event_stream(spark, d), ["user_id", "event_type"], "ts", "400 days")
+    keys = incremental.new_keys(table_stream(spark, d, "events"), ["user_id", "event_type"], "ts", "400 days")
     incremental.append_to(keys.select("user_id", "event_type"), f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
@@ -246,7 +241,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""")
 def stream_merge(spark, d):
     """Found items kept up from the event stream: first item per link."""
     out = fresh_path(spark, "stream-merge")
-    items = _event_stream(spark, d).select(
+    items = table_stream(spark, d, "events").select(
         F.concat(F.lit("https://e.example/"), F.col("user_id").cast("string")).alias("url"),
         F.col("event_type").alias("title"), F.col("value").alias("bid"), F.col("event_id").alias("pos"))
     incremental.keep_found(items, f"{out}/found", f"{out}/state").awaitTermination()
@@ -260,11 +255,9 @@ def stream_records(spark, d):
     """Records of newly captured pages, appended exactly once."""
     from workload.page_queries import PAGE_RULES
     out = fresh_path(spark, "stream-records")
-    schema = table(spark, d, "pages").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
-    found_records = records.accepted(records.extract_records(stream, PAGE_RULES)).select("page_id", "site", "title")
+    found_records = records.accepted(records.extract_records(table_stream(spark, d, "pages"), PAGE_RULES)).select("page_id", "site", "title")
     incremental.append_to(found_records, f"{out}/rows", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.schema(found_records.schema).parquet(f"{out}/rows")
 
 
 # --- configuration, found items and result files ---------------------------------------

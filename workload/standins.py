@@ -16,6 +16,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Stream of a table that is one file or a folder of files. The path is a pattern for its
+    name alone: a stream takes a single file by a pattern only."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
+
+
 # --- listings: part --------------------------------------------------------------
 
 def title():
