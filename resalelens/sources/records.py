@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from resalelens import settings as S
 from resalelens.functions import money
 from resalelens.functions.dates import DATE_IN_TEXT
-from resalelens.functions.text import blank_to_null, strip
+from resalelens.functions.text import BLANKS
 from resalelens.functions.urls import absolutize
 from resalelens.sources import dom
 
@@ -237,24 +237,29 @@ def with_sentinels(records: DataFrame) -> DataFrame:
     return records.fillna({**texts, "current_bid": 0.0})
 
 
+_DETAIL_FIELDS = "title STRING, description STRING, condition STRING, location STRING, photo_count INT"
+_TITLE, _DESCRIPTION, _CONDITION, _LOCATION, _PHOTO = map(
+    re.compile, (TITLE_CLASS, DESCRIPTION_CLASS, CONDITION_CLASS, LOCATION_CLASS, DETAIL_PHOTO))
+
+
+def _detail(nodes: dom.Nodes) -> tuple:
+    first: dict[int, int] = {}
+    photos = 0
+    for at, n in enumerate(nodes, 1):
+        if n[dom.KIND] != dom.ELEMENT:
+            continue
+        tag, cls = n[dom.TAG], n[dom.CLS] or ""
+        hits = (
+            tag in ("h1", "h2") or _TITLE.search(cls), _DESCRIPTION.search(cls) or n[dom.ID] == DESCRIPTION_ID,
+            _CONDITION.search(cls), _LOCATION.search(cls))
+        for k, hit in enumerate(hits):
+            if hit:
+                first.setdefault(k, at)
+        if tag == "img" and n[dom.SRC] and _PHOTO.search(n[dom.SRC]):
+            photos += 1
+    return *(dom.shown_of(nodes, first[k]).strip(BLANKS) if k in first else None for k in range(4)), photos
+
+
 def detail_fields(pages: DataFrame) -> DataFrame:
     """Generic detail view of a page: first element that matches each selector."""
-    nodes = F.col("nodes")
-
-    def text(test) -> Column:
-        at = dom.first_position(nodes, test)
-        return strip(dom.rendered_text(nodes, at))
-
-    def classed(pattern: str):
-        return lambda n: dom.is_element(n) & n["cls"].rlike(pattern)
-
-    images = F.filter(nodes, lambda n: dom.is_element(n, "img") & n["src"].rlike(DETAIL_PHOTO))
-    return dom.page_nodes(pages.select("page_id", "url", "html"), rendered=True).select(
-        "page_id", "url",
-        text(lambda n: dom.is_element(n, "h1", "h2") | classed(TITLE_CLASS)(n)).alias("title"),
-        text(lambda n: classed(DESCRIPTION_CLASS)(n) | (dom.is_element(n) & (n["id"] == DESCRIPTION_ID)))
-        .alias("description"),
-        text(classed(CONDITION_CLASS)).alias("condition"),
-        text(classed(LOCATION_CLASS)).alias("location"),
-        F.size(images).alias("photo_count"),
-    )
+    return dom.page_values(pages.select("page_id", "url", "html"), _detail, _DETAIL_FIELDS, rendered=True)

@@ -1,7 +1,10 @@
 """Hand-written pages with the records expected of them."""
 
 import json
+import os
+import random
 from dataclasses import replace
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from resalelens.operators.first import first_per_key
 from resalelens.sources import cards, config, dom, links, logs, prices, records
 from resalelens.sources import found as found_source
 from resalelens.plans import report, scan
+from workload import page_queries, scan_queries
 
 
 def pages(spark, *rows, schema="page_id LONG, url STRING, html STRING"):
@@ -301,3 +305,39 @@ def test_items_of_all_blocks(spark):
     assert tuple(first) == ("red", "a } b")
     assert df.filter("run_id = 1 AND pos = 2").first().photos == ["p"]
     assert df.filter("run_id = 7").selectExpr("length(title) n").first().n == 200_000
+
+
+def test_pages_are_made_on_all_cores(spark):
+    """One small file is one task; the pages made from its rows are not."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("driver tables not present")
+    for make in (page_queries.auction_pages, page_queries.detail_pages, page_queries.price_pages, scan_queries._run_logs, scan_queries._block_logs):
+        rows = make(spark, d).groupBy(F.spark_partition_id()).count().collect()
+        assert len(rows) >= spark.sparkContext.defaultParallelism, make.__name__
+
+
+def test_prices_of_both_kinds_in_one_pass(spark):
+    html = "<b class='x s-item__price'> $1 </b><i class='s-item__prices'>$2</i><span dir=auto>$3</span><span dir='auto'>no</span><span dir='auto'>$4</span>"
+    built = spark.createDataFrame([("q", 1, html), ("r", 2, None)], "query STRING, page_id LONG, html STRING")
+    both = prices.scan_both(built)
+    apart = prices.scan_sold(built).unionByName(prices.scan_current(built))
+    got = sorted(map(tuple, both.select(apart.columns).collect()))
+    assert got == sorted(map(tuple, apart.collect())) and both.schema == apart.select(both.columns).schema
+    assert sorted((r.source, r.pos, r.price_text) for r in both.collect()) == [
+        ("ebay_sold", 0, "$1"), ("facebook_marketplace", 0, "$3"), ("facebook_marketplace", 2, "$4")]
+    assert str(both._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+
+
+def test_plain_tags_read_as_the_library_reads_them():
+    class Library(dom._Nodes):
+        parse_starttag, parse_endtag = HTMLParser.parse_starttag, HTMLParser.parse_endtag
+
+    bits = [
+        "<p>", "<P Class='a b'>", '<a href="x?a&amp;b">', "<a href='y' id=z>", "<br/>", "</p>", "</P >", "</a>", "<script>", "</script>",
+        "<style x='y'>", "</style>", "text ", "&lt;", "<", "<!--c-->", "<a title='>' class='k'>", "<x a='", "'>", '"', "<li>", '<td class="">',
+        "<div\tid='i'\nclass=\"c\" >", "<textarea>", "</>", "<p", "<a href='1'class='2'>", "<a dir='' dir='auto'>"]
+    rng = random.Random(1)
+    for k in range(3000):
+        html = "".join(rng.choices(bits, k=rng.randint(1, 14)))
+        assert dom._Nodes(k % 2 == 0).read(html) == Library(k % 2 == 0).read(html), html

@@ -14,7 +14,7 @@ from resalelens.plans import deals
 from resalelens.sources import captures, cards, dom, links, prices, records
 from resalelens.sources.records import SiteRule
 from workload.registry import query
-from workload.standins import DEAL_SQL, SCORED_SQL, STATS_SQL, TITLE_SQL, UNIT_SQL, part_listings, table, title, unit_price
+from workload.standins import DEAL_SQL, SCORED_SQL, STATS_SQL, TITLE_SQL, UNIT_SQL, part_listings, spread, table, title, unit_price
 
 TEXT_SQL = r"""trim(replace(replace(replace(replace(replace(regexp_replace({}, '&(lt|gt|quot|#39|nbsp|amp);?', '&\1;', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'))"""
@@ -143,7 +143,8 @@ def auction_pages(spark, d) -> DataFrame:
               .otherwise(F.concat(F.lit("https://www.ironplanet.com/jsp/s/item.ips?itemId="), key)))
         .otherwise(F.concat(F.lit("https://www.example.com/"), key)))
     body = F.when(layout == 0, surplus).when(layout == 1, spotter).otherwise(planet)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), body.alias("html"))
+    parts = spread(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    return parts.select(F.col("p_partkey").alias("page_id"), url.alias("url"), body.alias("html"))
 
 
 AUCTION_SQL = """auction AS (
@@ -189,7 +190,7 @@ def detail_views(spark, d):
         F.col("p_size").cast("string"), F.lit("</div><span class='item-status'>Used "), F.col("p_type"),
         F.lit("</span><p class='pickup'>Dock "), F.col("p_size").cast("string"),
         F.lit("</p><img src='/img/1'><img src='/photo/2'><img src='/logo'>"))
-    built = table(spark, d, "part").select(
+    built = spread(spark, d, "part", "p_partkey", "p_name", "p_type", "p_size").select(
         F.col("p_partkey").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
     return records.detail_fields(built).drop("url")
 
@@ -234,7 +235,7 @@ def price_pages(spark, d) -> DataFrame:
         F.format_number(F.floor(total % 1000) + 21, 2), F.lit("</i></b><li><span class='s-item__price'>Free</span>"),
         F.lit("<li><span class='s-item__prices'>$7</span></ul><span dir='auto'> $"), F.format_number(F.floor(total % 97) + 2, 0),
         F.lit("</span><span dir='auto'>Only $5</span><span>$6</span>"))
-    return table(spark, d, "orders").select(
+    return spread(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").select(
         F.col("o_orderpriority").alias("query"), F.col("o_orderkey").alias("page_id"), html.alias("html"))
 
 
@@ -246,9 +247,7 @@ price AS (
   UNION ALL SELECT query, page_id, 0, 'facebook_marketplace', floor(t % 97) + 2 FROM page)
 SELECT * FROM price WHERE price IS NOT NULL""")
 def scored_prices(spark, d):
-    built = price_pages(spark, d)
-    texts = prices.scan_sold(built).unionByName(prices.scan_current(built))
-    return prices.scored_prices(texts).drop("price_text")
+    return prices.scored_prices(prices.scan_both(price_pages(spark, d))).drop("price_text")
 
 
 @query("""WITH page AS (
@@ -269,7 +268,7 @@ def detail_pages(spark, d) -> DataFrame:
     html = F.concat(
         F.lit("<h1>"), F.when(size % 8 == 0, "abc").when(size % 2 == 0, F.upper(title())).otherwise(title()),
         F.lit("</h1><div class='item-desc'>"), F.when(size % 6 == 0, "Sold untested").otherwise("Works"), F.lit("</div>"))
-    return table(spark, d, "part").select(
+    return spread(spark, d, "part", "p_partkey", "p_name", "p_size").select(
         F.col("p_partkey").alias("page_id"),
         F.concat(F.lit("https://www.publicsurplus.com/sms/auction/view?auc="), key).alias("url"), html.alias("html"))
 

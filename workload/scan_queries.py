@@ -16,8 +16,8 @@ from workload.deal_queries import RANK_SQL, numbered_part_deals
 from workload.page_queries import AUCTION_SQL, auction_pages, index_pages
 from workload.registry import cents_sql, query
 from workload.standins import (
-    FOUND_SQL, LINE_ORDER, PART_DEALS_SQL, UNIT_SQL, found_items, line_items, order_items, table, table_stream,
-    unit_price,
+    FOUND_SQL, LINE_ORDER, PART_DEALS_SQL, UNIT_SQL, found_items, line_items, order_items, spread, table,
+    table_stream, unit_price,
 )
 
 AS_OF = "2026-03-01 00:00:00"
@@ -139,7 +139,8 @@ def _run_logs(spark, d) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("Kept:\n```json\n["), item, F.lit("]\n```")))
         .when(kind == 2, F.concat(F.lit('```json\n{"items": ['), item, F.lit(", ]}\n```")))
         .otherwise("nothing kept"))
-    return table(spark, d, "events").select(F.col("event_id").alias("run_id"), text.alias("text"))
+    events = spread(spark, d, "events", "event_id", "event_type", "value", "props")
+    return events.select(F.col("event_id").alias("run_id"), text.alias("text"))
 
 
 @query("""WITH hit AS (
@@ -160,7 +161,8 @@ def _block_logs(spark, d) -> DataFrame:
         F.lit('{"items": [{"title": "'), F.col("event_type"), F.lit('", "lot": "'), key, F.lit('", "bid": '), F.col("value").cast("string"),
         F.lit(', "seen": {"by": "'), key, F.lit('"}}, {"title": "t", "bid": "much"}, '), key, F.lit("]}"))
     other = F.when(F.col("event_id") % 2 == 0, F.lit('[{"title": ]')).otherwise(F.lit('{"other": 1}'))
-    return table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.concat(fence(good), fence(other)).alias("text"))
+    events = spread(spark, d, "events", "event_id", "event_type", "value")
+    return events.select(F.col("event_id").alias("run_id"), F.concat(fence(good), fence(other)).alias("text"))
 
 
 @query("""SELECT event_id AS run_id, 0 AS block, 0 AS pos, NULL AS error, event_type AS title, CAST(event_id AS VARCHAR) AS lot, value AS bid,

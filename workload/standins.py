@@ -16,6 +16,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(spark: SparkSession, d: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Columns of a table, dealt over all cores by a unique key. A few MB of a compressed file
+    are one task, however long the work on its rows takes: deal the short rows before pages or
+    texts are made from them. The number is given, since rows of few bytes would be merged
+    into few tasks again."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return table(spark, d, name).select(key, *columns).repartition(parts, key)
+
+
 def table_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     """Stream of a table that is one file or a folder of files. The path is a pattern for its
     name alone: a stream takes a single file by a pattern only."""
