@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from resalelens.operators.first import first_rows
-from resalelens.operators.storage import written
+from resalelens.operators.storage import is_small, written
 
 GRAM = 3
 #: Bids are told apart up to two to this power of dollars; larger ones share the last bin.
 LEVELS = 42
 _TOP = (1 << LEVELS) - 1
+#: Lookups that one table on every executor may hold.
+SMALL = 100_000
 
 
 def _words() -> Column:
@@ -37,11 +39,11 @@ def _wanted() -> Column:
     )
 
 
-def grams(text: Column) -> Column:
-    """Distinct runs of three characters; none in a shorter text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
-    runs = F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM)))
-    return F.when(F.length(text) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def grams(text: Column, size: int = GRAM) -> Column:
+    """Distinct runs of three characters, or another number; none in a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    runs = F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
 def _dollars(bid: Column) -> Column:
@@ -56,10 +58,14 @@ def _part_key(level: Column, part: Column) -> Column:
 def range_parts(low: Column, high: Column) -> Column:
     """The fewest ranges of powers of two, aligned to their size, that make up a range of
     bids: ``array<struct<level, part>>``. An absent bound is open."""
+    return _parts_between(F.coalesce(_dollars(low), F.lit(0)), F.coalesce(_dollars(high), F.lit(_TOP)))
+
+
+def _parts_between(low: Column, high: Column) -> Column:
+    """Parts that make up a range of whole numbers; none if it is empty."""
     kind = "struct<low:bigint,high:bigint,parts:array<struct<level:int,part:bigint>>>"
     start = F.struct(
-        F.coalesce(_dollars(low), F.lit(0)).alias("low"), F.coalesce(_dollars(high), F.lit(_TOP)).alias("high"),
-        F.array().alias("parts")).cast(kind)
+        low.alias("low"), high.alias("high"), F.array().alias("parts")).cast(kind)
 
     def part(level: Column, at: Column, taken: Column) -> Column:
         one = F.array(F.struct(level.alias("level"), at.alias("part")))
@@ -120,6 +126,8 @@ def candidates(listings: DataFrame, searches: DataFrame) -> DataFrame:
     spread = listings.select("*", F.explode(_listing_keys(used)).alias("_key"))
     asked = keyed.select("_key").distinct()
     left = spread.join(asked, "_key", "left_semi").withColumn("_category", F.explode(places))
+    # A stored table of many entries is small only as a compressed file.
+    keyed = keyed if is_small(keyed, SMALL) else keyed.hint("merge")
     return left.alias("l").join(
         keyed.alias("s"), (F.col("l._category") == F.col("s._category")) & (F.col("l._key") == F.col("s._key")))
 
@@ -135,6 +143,96 @@ def search_matches(listings: DataFrame, searches: DataFrame) -> DataFrame:
         F.col("s.search_id").alias("search_id"), "l.*").drop("_category", "_key")
 
 
+# --- first matches of each entry, without all pairs ------------------------------------
+
+_ASK = ["_words", "_place", "_state", "min_bid", "max_bid"]
+_WHERE = ["_words", "_place", "_state", "_key"]
+_EDGE = "e"   # kind of key of the bins that hold a bound
+
+
+def _cents(bid: Column) -> Column:
+    return _dollars(bid * 100)
+
+
+def held_words(titles: DataFrame, words: DataFrame) -> DataFrame:
+    """Words ``_words`` that each distinct title ``_title`` holds, by the rarest run of characters."""
+    sized = words.filter("_words != ''").select("_words", F.least(F.length("_words"), F.lit(GRAM)).alias("_size"))
+    sizes = [r[0] for r in sized.select("_size").distinct().collect()]   # three at most
+    if not sizes:
+        return titles.join(words, F.lit(False)).select("_title", "_words")
+    runs = F.flatten(F.array(*[grams(F.col("_title"), n) for n in sizes]))
+    by_size = F.when(F.col("_size") == 1, grams(F.col("_words"), 1)).when(F.col("_size") == 2, grams(F.col("_words"), 2))
+    asked = written(sized.select("_words", F.explode(by_size.otherwise(grams(F.col("_words")))).alias("_gram")), "asked-runs")
+    met = titles.select("_title", F.explode(runs).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi")
+    freq = met.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(freq, "_gram", "left").groupBy("_words").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    return met.join(rarest, "_gram").filter(F.contains("_title", F.col("_words"))).select("_title", "_words")
+
+
+def _ask_keys() -> Column:
+    """Keys of an entry's bids: the parts strictly between its bounds' bins, and those bins."""
+    low, high = _cents(F.col("min_bid")), _cents(F.col("max_bid"))
+    between = _parts_between(F.coalesce(low + 1, F.lit(0)), F.coalesce(high - 1, F.lit(_TOP)))
+    parts = F.transform(between, lambda p: _part_key(p["level"], p["part"]))
+    edges = F.transform(F.array_distinct(F.array_compact(F.array(low, high))), lambda b: F.concat(F.lit(_EDGE), b.cast("string")))
+    return F.when(low.isNull() & high.isNull(), F.array(F.lit("a"))).otherwise(F.concat(parts, edges))
+
+
+def first_matches(listings: DataFrame, searches: DataFrame, cap: int) -> DataFrame:
+    """First ``cap`` listings of each search entry in the order of ``pos``: the rows of
+    ``capped_per_search(search_matches(listings, searches), cap)``, without making all pairs.
+
+    Listings that no entry can tell apart, being equal in price, category, state and the
+    keywords they hold, are cut to the first ``cap`` of them. Of each keyword, category, state
+    and part of the bids the first ``cap`` are listed, and so are those of each price. An entry
+    reads the lists of the parts inside its range, whose every row fits, and the prices in the
+    bins of its bounds, which are checked. Equal entries are looked up once.
+    """
+    entries = searches.select(
+        "search_id", _words().alias("_words"), F.coalesce("category", F.lit("")).alias("_place"),
+        F.coalesce("state", F.lit("")).alias("_state"), "min_bid", "max_bid")
+    asks = written(entries.select(*_ASK).distinct().withColumn("_ask", F.monotonically_increasing_id()), "asks")
+    keyed = written(asks.select("_ask", *_ASK, F.explode(_ask_keys()).alias("_key")), "ask-keys")
+    kinds = F.when(F.col("_key").startswith("p"), F.substring_index("_key", ":", 1)).otherwise(F.substring("_key", 1, 1))
+    used = [r[0] for r in keyed.select(kinds).distinct().collect()]   # 45 kinds at most
+    if not used:
+        return listings.select(F.lit(None).cast(searches.schema["search_id"].dataType).alias("search_id"), "*").filter("false")
+    places = asks.select("_words", "_place", "_state").distinct()
+    words = written(asks.select("_words").distinct(), "words")
+
+    columns = listings.columns
+    titled = listings.filter(F.col("title").isNotNull()).withColumn("_title", F.lower("title"))
+    held = held_words(titled.select("_title").distinct(), words).groupBy("_title").agg(F.sort_array(F.collect_list("_words")).alias("_held"))
+    told = titled.join(held, "_title", "left").withColumn("_held", F.coalesce("_held", F.array().cast("array<string>")))
+    classes = written(first_rows(told, ["_held", "category", "state", "price"], ["pos"], cap).select("_held", *columns), "classes")
+
+    own = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit("")), F.lit("")))
+    placed = classes.withColumn("_words", F.explode(F.concat("_held", F.array(F.lit("")))))
+    placed = placed.withColumn("_place", F.explode(own("category"))).withColumn("_state", F.explode(own("state")))
+    placed = placed.join(places, ["_words", "_place", "_state"], "left_semi").drop("_held")
+    bin_of = _cents(F.col("price"))
+    keys = [F.array(F.lit("a"))] if "a" in used else []
+    by_bid = [_part_key(F.lit(int(u[1:])), F.shiftright(bin_of, int(u[1:]))) for u in used if u[0] == "p"]
+    by_bid += [F.concat(F.lit(_EDGE), bin_of.cast("string"))] if _EDGE in used else []
+    if by_bid:
+        keys.append(F.when(F.col("price").isNotNull(), F.array(*by_bid)))
+    listed = placed.withColumn("_key", F.explode(F.flatten(F.array_compact(F.array(*keys)))))
+    # A bin that holds a bound keeps the first of each price, any other part the first of all.
+    apart = F.when(F.col("_key").startswith(_EDGE), F.col("price"))
+    lists = first_rows(listed.withColumn("_apart", apart), [*_WHERE, "_apart"], ["pos"], cap).drop("_apart")
+
+    low, high = F.col("k.min_bid"), F.col("k.max_bid")
+    fits = (low.isNull() | (F.col("l.price") >= low)) & (high.isNull() | (F.col("l.price") <= high))
+    same = [F.col(f"l.{c}") == F.col(f"k.{c}") for c in _WHERE]
+    # Stored keys are small only as a compressed file: no broadcast of them.
+    met = lists.alias("l").join(keyed.hint("merge").alias("k"), same).filter(fits).select("k._ask", *[F.col(f"l.{c}") for c in columns])
+    first = first_rows(met, ["_ask"], ["pos"], cap)
+    ids = entries.alias("s").join(asks.hint("merge").alias("k"), [F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")) for c in _ASK])
+    found = ids.select("s.search_id", "k._ask").join(first.hint("merge"), "_ask").drop("_ask")
+    return capped_per_search(found, cap)
+
+
 def in_state(searches: DataFrame, state: str) -> DataFrame:
     """Entries with the scan's state where they name none."""
     own = F.when(F.col("state") != "", F.col("state"))

@@ -40,7 +40,7 @@ def within_reach(
 
 def links_to_fetch(listings: DataFrame, searches: DataFrame, found: DataFrame, cap: int) -> DataFrame:
     """Links of all search entries, capped per entry, that no earlier scan has kept."""
-    matches = search.capped_per_search(search.search_matches(listings, searches), cap)
+    matches = search.first_matches(listings, searches, cap)
     return found_ops.not_found(search.union_of_searches(matches), found)
 
 

@@ -1,6 +1,7 @@
 """Search entries against every listing, and what the index lets through."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def test_matches_equal_all_pairs(spark, broadcast):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = [(e[0], x[0]) for e in entries for x in listings if fits(e, x)]
-    assert sorted(pairs) == sorted(want) and len(want) > 1000
+    assert sorted(pairs) == sorted(want) and len(want) > 600
 
 
 def test_range_parts(spark):
@@ -80,3 +81,39 @@ def test_empty_sides(spark):
     one = spark.createDataFrame([(1, "saw", "", "", None, None)], ENTRY)
     assert search.search_matches(listings, one).collect() == []
     assert search.search_matches(spark.createDataFrame(lists(random.Random(1), 5), LISTING), entries).collect() == []
+
+
+@pytest.mark.parametrize("cap", [1, 3, 40])
+def test_first_matches_equal_first_of_all_pairs(spark, cap):
+    """Also with equal listings, equal entries, and prices that share a cent with a bound."""
+    rng = random.Random(cap)
+    listings, entries = lists(rng, 120), asks(rng, 150)
+    near = [10.0, 10.001, 10.004, 10.009, 10.01, 9.999, 11.0]
+    listings += [(f"n{i}", "saw pump", "A", "AZ", rng.choice(near), 120 + i) for i in range(60)]
+    entries += [(150 + i, rng.choice(["", "saw", "x", "é"]), "A", "", rng.choice(near), rng.choice(near)) for i in range(60)]
+    entries += [(500 + e[0], *e[1:]) for e in entries[:40]]
+    got = search.first_matches(spark.createDataFrame(listings, LISTING), spark.createDataFrame(entries, ENTRY), cap)
+    assert got.columns == ["search_id", "url", "title", "category", "state", "price", "pos"]
+    want = [(e[0], x[0]) for e in entries for x in [x for x in listings if fits(e, x)][:cap]]
+    assert sorted((r.search_id, r.url) for r in got.collect()) == sorted(want) and len(want) > 60
+
+
+def test_first_matches_make_no_pairs(spark):
+    """What entries read grows with the entries, not with their matches."""
+    listings = spark.range(2000).select(
+        F.concat(F.lit("u"), F.col("id")).alias("url"), F.lit("old saw").alias("title"), F.lit("A").alias("category"),
+        F.lit("AZ").alias("state"), (F.col("id") / 7).alias("price"), F.col("id").alias("pos"))
+    entries = spark.range(2000).select(
+        F.col("id").alias("search_id"), F.lit("saw").alias("keywords"), F.lit("A").alias("category"), F.lit("").alias("state"),
+        (F.col("id") / 20).alias("min_bid"), (F.col("id") / 20 + 100).alias("max_bid"))
+    found = search.first_matches(listings, entries, 2)
+    assert found.count() == 4000
+    plan = str(found._jdf.queryExecution().executedPlan())
+    assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[_ask|BroadcastNestedLoopJoin|CartesianProduct", plan)
+
+
+def test_first_matches_of_empty_sides(spark):
+    listings, entries = spark.createDataFrame([], LISTING), spark.createDataFrame([], ENTRY)
+    one = spark.createDataFrame([(1, "saw", "", "", None, None)], ENTRY)
+    assert search.first_matches(listings, one, 2).collect() == []
+    assert search.first_matches(spark.createDataFrame(lists(random.Random(1), 5), LISTING), entries, 2).collect() == []

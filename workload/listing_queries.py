@@ -285,5 +285,4 @@ def search_entries(spark, d):
         F.col("p_partkey").alias("search_id"), F.when(size % 5 == 0, "").otherwise(F.upper(F.substring("p_name", 3, 5))).alias("keywords"),
         F.when(size % 11 == 0, "").otherwise(F.col("p_type")).alias("category"), F.lit("").alias("state"),
         F.when(size % 7 != 0, price * 0.98).alias("min_bid"), (price * 1.02).alias("max_bid"))
-    matches = search.search_matches(part_listings(spark, d), entries)
-    return search.capped_per_search(matches, 3).select("search_id", "id", "title", "price")
+    return search.first_matches(part_listings(spark, d), entries, 3).select("search_id", "id", "title", "price")
