@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from resalelens.functions.text import norm_title
+from resalelens.operators.storage import written
 
 _RANK, _SALT = "_rank", "_salt"
 _PLANNED_LIMIT = 1000   # largest k, exclusive, that Spark limits before the shuffle
@@ -32,6 +33,28 @@ def first_rows(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str
     return _ranked_within(df, list(keys), order, k)
 
 
+def near_first(df: DataFrame, key: str, pos: str, k: int) -> DataFrame:
+    """Rows that may be among the first ``k`` of their key by ``pos``, for few keys with long
+    lists: ``first_rows`` would sort them all. Nothing that belongs to the first is lost.
+
+    The lowest lead of ``pos`` (its first field) in each bin of a key is that of one row, so
+    the ``k``-th of these lowest is a bound that ``k`` rows keep. ``df`` is read twice, and
+    the second time only up to the highest bound if every key has one.
+    """
+    lead, kind = F.col(pos), df.schema[pos].dataType
+    while isinstance(kind, T.StructType):
+        lead, kind = lead[kind.fields[0].name], kind.fields[0].dataType
+    bins = F.pmod(F.xxhash64(lead), F.lit(4 * k))
+    lowest = df.groupBy(key, bins.alias(_SALT)).agg(F.min(lead).alias("_low"))
+    bounds = written(lowest.groupBy(key).agg(F.get(F.array_sort(F.collect_list("_low")), F.lit(k - 1)).alias("_last")), "bounds")
+    if isinstance(kind, T.IntegralType):
+        open_keys, last = bounds.agg(F.count_if(F.col("_last").isNull()), F.max("_last")).first()
+        if open_keys == 0 and last is not None:
+            df = df.filter(lead.isNull() | (lead <= F.lit(last).cast(kind)))
+    within = lead.isNull() | F.col("_last").isNull() | (lead <= F.col("_last"))
+    return df.join(F.broadcast(bounds), key).filter(within).drop("_last")
+
+
 def first_per_key(df: DataFrame, key: str = "id", order: Sequence[str | Column] = ("pos",)) -> DataFrame:
     """One row per key: the first in scan order."""
     return first_rows(df, [key], order, 1)

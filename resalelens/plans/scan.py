@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from resalelens import settings as S
 from resalelens.functions import dates, money, scoring
 from resalelens.operators import comps, filters, found as found_ops, search
-from resalelens.operators.first import capped
-from resalelens.operators.storage import written
+from resalelens.operators.first import capped, near_first
+from resalelens.operators.storage import is_small, written
+
+FEW_TITLES = 10_000   # up to here the sales of a title are cut to near its first before they are ranked
 
 
 def closing_nearby(
@@ -95,8 +97,10 @@ def scan(
     if centroids is not None:
         checked = filters.not_too_far(checked, centroids, config.your_zip, config.radius_miles)
     checked = written(checked, "checked")
-    titles = checked.select(F.col("title").alias("item")).distinct()
-    needed = prices.join(titles, "item", "left_semi")
+    titles = written(checked.select(F.col("title").alias("item")).distinct(), "titles")
+    needed = prices.filter(F.col("price").isNotNull()).join(titles, "item", "left_semi")
+    if is_small(titles, FEW_TITLES):
+        needed = near_first(needed, "item", "pos", S.MARKET_SAMPLE)
     return kept_items(checked, comps.market_value(titles, needed), config.min_profit)
 
 

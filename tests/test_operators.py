@@ -11,7 +11,7 @@ from resalelens import settings as S
 from resalelens.functions import text
 from resalelens.operators import comps, filters, found, match, posting, ranking, search
 from resalelens.operators import first as first_module
-from resalelens.operators.first import first_per_key, first_per_title, first_rows
+from resalelens.operators.first import first_per_key, first_per_title, first_rows, near_first
 from resalelens.operators.storage import fresh_path, is_small, written
 from resalelens.plans import deals
 from resalelens.sources.cards import distinct_listings, with_details
@@ -118,6 +118,22 @@ def test_price_list_is_whole_and_sorted(spark):
     assert got == grouped(data)
 
 
+@pytest.mark.parametrize("lead", ["LONG", "STRING"])
+def test_near_first_cuts_long_lists_and_keeps_every_first_row(spark, lead):
+    """Long lists with ties and null leads beside a short list, which leaves no highest bound."""
+    rng = random.Random(3)
+    data = [(key, (rng.choice([None, rng.randrange(400), rng.randrange(400), 7]), n), float(n)) for key in "ab" for n in range(3_000)]
+    data = [(k, (v if v is None or lead == "LONG" else f"{v:05d}", n), p) for k, (v, n), p in data if v is not None or n < 9]
+    short = [("c", (5 if lead == "LONG" else "5", n), 1.0) for n in range(4)]
+    for values in (data, data + short):
+        df = spark.createDataFrame(values, f"item STRING, pos STRUCT<lead: {lead}, n: INT>, price DOUBLE")
+        near = near_first(df, "item", "pos", 20)
+        assert near.columns == df.columns
+        assert near.filter("pos.lead IS NULL").count() == df.filter("pos.lead IS NULL").count()
+        assert near.count() < 0.5 * len(values)
+        assert rows(first_rows(near, ["item"], ["pos"], 20)) == rows(first_rows(df, ["item"], ["pos"], 20))
+
+
 def test_market_value_uses_first_twenty_in_page_order(spark):
     random.seed(3)
     prices = [("a", i, float(random.randint(2, 500))) for i in range(25)] + [("b", 0, 10.0), ("b", 1, 13.0)]
