@@ -1,7 +1,9 @@
 """Summaries of sold prices.
 
-A popular query may hold a large part of all prices, so no group of prices is
-ever brought together. Prices are counted once per (query, source, band, price), which
+A popular query may hold a large part of all prices, so no long group of prices is
+ever brought together. Rows are counted first per bucket of their query and source.
+Where a bucket holds few, its prices are ranked as they are, after one shuffle. The
+prices of crowded buckets, and of price lists, are counted once per (query, source, band, price), which
 partial aggregation does before the shuffle, and the counts are stored; there are a few
 hundred bands. Running sums over the band rows tell in which band a rank lies; only the
 prices of that band are then looked at, and being in cents they are few thousand at most
@@ -10,6 +12,8 @@ per query for ordinary prices, 100,000 for the dearest band.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from resalelens import settings as S
@@ -19,6 +23,9 @@ from resalelens.operators.storage import written
 
 KEYS = ["query", "source"]
 BAND = [*KEYS, "band"]
+FACTS = ["total", "low", "high", "count"]
+BUCKETS = 1 << 18     # of query and source; rows are counted per bucket
+CROWDED = 200_000     # rows of a bucket, and so of a group, that one task may rank
 
 
 def _copies(comps: DataFrame) -> Column:
@@ -47,9 +54,50 @@ def price_counts(comps: DataFrame) -> DataFrame:
 def comp_stats(comps: DataFrame) -> DataFrame:
     """Average, upper median, lowest, highest and number of prices per query and source.
 
-    ``comps`` has ``query, source, price`` and may have ``copies``. It is read once, and
-    no row of it goes further than the first, partial count.
+    ``comps`` has ``query, source, price`` and may have ``copies``. It is read twice, and
+    once more if a bucket is crowded: pass a stored table if it takes long to find.
     """
+    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).alias("_bucket")
+    crowds = written(comps.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWDED).select("_bucket"), "crowds")
+    if crowds.isEmpty():
+        middle = _ranked_middle(comps)
+    else:
+        dealt = comps.withColumn("_bucket", bucket)
+        middle = _ranked_middle(dealt.join(crowds, "_bucket", "left_anti").drop("_bucket")).unionByName(
+            _banded_middle(dealt.join(crowds, "_bucket", "left_semi").drop("_bucket")))
+    return middle.select(
+        *KEYS,
+        money.cents(F.col("total").cast("double") / F.col("count")).alias("avg"),
+        money.cents(F.col("price")).alias("median"),
+        money.cents(F.col("low")).alias("low"),
+        money.cents(F.col("high")).alias("high"),
+        F.col("count"),
+    )
+
+
+def _ranked_middle(comps: DataFrame) -> DataFrame:
+    """Middle price and facts of groups that are short enough to be sorted in one task."""
+    weighted = "copies" in comps.columns
+    n = F.col("copies") if weighted else F.lit(1).cast("long")
+    exact = F.col("price").cast("decimal(18,4)")
+    exact = exact * n.cast("decimal(18,0)") if weighted else exact
+    w = Window.partitionBy(*KEYS).orderBy("price")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    middle = F.floor(F.col("count") / 2)
+    return (
+        comps.filter(F.col("price").isNotNull())
+        .select(*KEYS, "price", n.alias("n"), exact.alias("exact"))
+        .select(
+            *KEYS, "price", "n", _before("n", w).alias("seen"), F.sum("n").over(whole).alias("count"),
+            F.sum("exact").over(whole).cast("decimal(38,4)").alias("total"),
+            F.min("price").over(whole).alias("low"), F.max("price").over(whole).alias("high"))
+        .filter((F.col("seen") <= middle) & (middle < F.col("seen") + F.col("n")))
+        .select(*KEYS, "price", *FACTS)
+    )
+
+
+def _banded_middle(comps: DataFrame) -> DataFrame:
+    """The same of groups of any length: no row goes further than the first, partial count."""
     counted = price_counts(comps)
     exact = F.col("price").cast("decimal(18,4)") * F.col("copies").cast("decimal(18,0)")
     bands = counted.groupBy(*BAND).agg(
@@ -65,26 +113,19 @@ def comp_stats(comps: DataFrame) -> DataFrame:
         bands
         .withColumn("before", _before("n", w))
         .withColumn("count", F.sum("n").over(whole))
-        .withColumn("total", F.sum("total").over(whole))
+        .withColumn("total", F.sum("total").over(whole).cast("decimal(38,4)"))
         .withColumn("low", F.min("low").over(whole))
         .withColumn("high", F.max("high").over(whole))
         .filter((F.col("before") <= middle) & (middle < F.col("before") + F.col("n")))
-        .select(*BAND, (middle - F.col("before")).alias("rank"), "total", "low", "high", "count")
+        .select(*[F.col(c).alias(f"_{c}") for c in BAND], (middle - F.col("before")).alias("rank"), *FACTS)
     )
-    facts = ["rank", "total", "low", "high", "count"]
-    steps = (
-        counted.join(targets, BAND)
-        .select(*KEYS, "price", *facts, F.col("copies").alias("n"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BAND])
+    return (
+        counted.join(targets, same)
+        .select(*KEYS, "price", "rank", *FACTS, F.col("copies").alias("n"))
         .withColumn("seen", _before("n", Window.partitionBy(*KEYS).orderBy("price")))
         .filter((F.col("seen") <= F.col("rank")) & (F.col("rank") < F.col("seen") + F.col("n")))
-    )
-    return steps.select(
-        *KEYS,
-        money.cents(F.col("total").cast("double") / F.col("count")).alias("avg"),
-        money.cents(F.col("price")).alias("median"),
-        money.cents(F.col("low")).alias("low"),
-        money.cents(F.col("high")).alias("high"),
-        F.col("count"),
+        .select(*KEYS, "price", *FACTS)
     )
 
 

@@ -108,6 +108,24 @@ def test_comp_stats_with_copies(spark):
     assert rows(plain) == rows(weighted)
 
 
+@pytest.mark.parametrize("crowded", [0, 60, 10_000])
+def test_comp_stats_ranks_short_groups_and_counts_crowded_ones(spark, monkeypatch, crowded):
+    """The two ways agree on every group, one without a query included; the counts by band
+    are made for crowded buckets only."""
+    banded = []
+    count = comps.price_counts
+    monkeypatch.setattr(comps, "price_counts", lambda df: banded.append(df.count()) or count(df))
+    monkeypatch.setattr(comps, "CROWDED", crowded)
+    data = comp_rows() + [(None, "ebay_sold", float(n)) for n in range(1, 71)] + [("few", "ebay_sold", 3.0)]
+    got = {(r["query"], r["source"]): r for r in comps.comp_stats(
+        spark.createDataFrame(data, "query STRING, source STRING, price DOUBLE")).collect()}
+    want = grouped(data)
+    assert set(got) == set(want)
+    for key, p in want.items():
+        assert (got[key]["count"], got[key]["median"], got[key]["low"], got[key]["high"]) == (len(p), p[len(p) // 2], p[0], p[-1])
+    assert banded == ([sum(len(p) for p in want.values() if len(p) > crowded)] if crowded < 10_000 else [])
+
+
 def test_price_list_is_whole_and_sorted(spark):
     data = comp_rows(500)
     df = comps.price_list(spark.createDataFrame(data, "query STRING, source STRING, price DOUBLE"))
