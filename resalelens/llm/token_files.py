@@ -22,13 +22,14 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from resalelens.llm.bpe import MEMO_CHUNKS, MEMO_KEY, chunks, lower, vocabulary
+from resalelens.llm.bpe import MEMO_CHUNKS, MEMO_KEY, byte_symbols, chunks, lower, vocabulary
 from resalelens.llm.tables import at_work, bounded_batches, keeps
 from resalelens.operators.storage import fresh_path, written
 
@@ -42,12 +43,27 @@ END_ID = 2
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    rest, width = values.copy(), np.zeros(values.shape, np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1 << step)
-        width[big] += step
-        rest[big] >>= np.uint64(step)
-    return width + (rest > 0)
+    """Bits of each unsigned 64-bit integer, read off floats that hold its halves exactly."""
+    low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    high = np.frexp((values >> np.uint64(32)).astype(np.float64))[1]
+    return np.where(high > 0, high + 32, low).astype(np.int16)
+
+
+def _selectors(width: np.ndarray, least: int) -> np.ndarray:
+    """The selector with most ids that fits, at every position: the next id that is too wide
+    for it must lie beyond its ids or beyond the block. Places of a block go down the array,
+    so that all blocks are scanned at once. ``least`` is the least width of a real id."""
+    at = np.arange(BLOCK, dtype=np.int16)[:, None]
+    top = int(width.max(initial=0))
+    fit = int(np.searchsorted(BITS[1:], top)) + 1      # from this selector on every id fits
+    best = np.full(width.shape, fit if fit < len(BITS) else ESCAPE, np.int8)
+    for k in range(min(fit, len(BITS)) - 1, 0, -1):
+        if least > BITS[k]:
+            break
+        wall = np.where(width > BITS[k], at, np.int16(BLOCK))
+        wall = np.minimum.accumulate(wall[::-1], axis=0)[::-1]
+        best[wall - at >= np.minimum(COUNTS[k], BLOCK - at).astype(np.int16)] = k
+    return best
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -58,23 +74,15 @@ def pack(ids: np.ndarray) -> bytes:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = ids
     wide[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    width = bit_lengths(wide[:, :BLOCK])
     size = np.full(blocks, BLOCK, np.int64)
     if n % BLOCK:
         size[-1] = n % BLOCK
-
-    # The selector with most ids that fits, at every position: the next id that is too
-    # wide for it must lie beyond its ids or beyond the block.
-    at = np.arange(BLOCK)
-    best = np.full((blocks, BLOCK), ESCAPE, np.int64)
-    for k in range(len(COUNTS) - 1, 0, -1):
-        wall = np.where(width > BITS[k], at, BLOCK)
-        wall = np.minimum.accumulate(wall[:, ::-1], axis=1)[:, ::-1]
-        best[wall - at >= np.minimum(COUNTS[k], BLOCK - at)] = k
+    width = bit_lengths(flat)
+    best = _selectors(np.ascontiguousarray(width.reshape(blocks, BLOCK).T), int(width[:n].min(initial=64)))
 
     steps, row, pos = [], np.arange(blocks), np.zeros(blocks, np.int64)
     while len(row):
-        k = best[row, pos]
+        k = best[pos, row].astype(np.int64)
         steps.append((row, pos, k))
         pos = pos + np.maximum(COUNTS[k], 1)
         more = pos < size[row]
@@ -132,17 +140,21 @@ class LibraryEncoder:
     """Ids from the tokenizers library. White space ends every token of this vocabulary,
     and so does the border of letters and punctuation; a text's ids are those of its
     chunks, and each distinct chunk or word is encoded once while the bounded memos hold
-    it. Words of letters alone are encoded many at a time, with a space between them, and
-    told apart by their last tokens."""
+    it. Words of Latin letters alone, in normal form and lower case, are one piece to the
+    library's splitter and go straight to its model. Words of other letters are encoded many
+    at a time, with a space between them, and told apart by their last tokens."""
 
     TAIL = ".,;:!?"
     AT_ONCE = 500
+    LATIN_END = "\u0250"
 
     def __init__(self, spec_text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec_text)
+        self.model = self.tokenizer.model
+        self.symbols = byte_symbols()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -153,11 +165,16 @@ class LibraryEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _word_ids(self, plain: list[str]) -> dict[str, bytes]:
+    def _latin_ids(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode())))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _word_ids(self, plain: set[str]) -> dict[str, bytes]:
         """Ids of words of letters in normal form and lower case. A group in which the library
         sees other borders than the spaces is encoded word by word."""
-        out = {}
-        groups = [plain[i:i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
+        out = {w: self._latin_ids(w) for w in plain if w.isascii() or max(w) < self.LATIN_END}
+        others = list(plain.difference(out))
+        groups = [others[i:i + self.AT_ONCE] for i in range(0, len(others), self.AT_ONCE)]
         for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
             cuts = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)
             if len(cuts) != len(group):
@@ -169,22 +186,23 @@ class LibraryEncoder:
                 start = end
         return out
 
-    def _new(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks."""
-        cores, whole = {}, []
-        for chunk in missing:
-            plain = lower(unicodedata.normalize("NFC", chunk))
-            core = plain.rstrip(self.TAIL)
-            if core.isalpha():
-                cores[chunk] = core, plain[len(core):]
-            else:
-                whole.append(chunk)
+    def _new(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of chunks. No chunk holds a line end, and none joins with what stands beside it."""
+        if not missing:
+            return {}
+        plain = lower(unicodedata.normalize("NFC", "\n".join(missing))).split("\n")
+        cores = [p.rstrip(self.TAIL) for p in plain]
+        letters = list(map(str.isalpha, cores))
+        tails = [p[len(core):] for p, core in zip(plain, cores)]
         known = self.words
-        fresh = self._word_ids(list({c for c, _ in cores.values() if c not in known}))
-        tails = {t for _, t in cores.values() if t and t not in known}
-        fresh |= zip(tails, self._ids(list(tails)))
+        fresh = self._word_ids(set(compress(cores, letters)).difference(known))
+        ends = list(set(compress(tails, letters)).difference(known, ("",)))
+        fresh |= zip(ends, self._ids(ends))
         known |= fresh
-        out = {chunk: known[core] + (known[tail] if tail else b"") for chunk, (core, tail) in cores.items()}
+        out = {
+            chunk: known[core] + known[tail] if tail else known[core]
+            for chunk, core, tail in compress(zip(missing, cores, tails, strict=True), letters)}
+        whole = [chunk for chunk, alone in zip(missing, letters) if not alone]
         out |= zip(whole, self._ids(whole))
         full = max(0, len(known) - MEMO_CHUNKS // 2)
         for k, word in enumerate(fresh):
@@ -196,14 +214,15 @@ class LibraryEncoder:
         """Little-endian 32-bit ids of whole texts."""
         split = [chunks(t or "") for t in texts]
         memo = self.memo
-        found = [list(map(memo.get, part)) for part in split]
-        missing = {c for part, ids in zip(split, found) if None in ids for c, b in zip(part, ids) if b is None}
-        new = self._new(missing)
-        out = [
-            b"".join([new[c] if b is None else b for c, b in zip(part, ids)] if None in ids else ids)
-            for part, ids in zip(split, found)]
-        for chunk in [c for c in new if len(c) <= MEMO_KEY][:max(0, MEMO_CHUNKS - len(memo))]:
-            memo[chunk] = new[chunk]
+        new = self._new(list(set().union(*split).difference(memo)))
+        room = MEMO_CHUNKS - len(memo)
+        memo |= new
+        out = [b"".join(map(memo.__getitem__, part)) for part in split]
+        for chunk in new:
+            if room > 0 and len(chunk) <= MEMO_KEY:
+                room -= 1
+            else:
+                del memo[chunk]
         return out
 
 

@@ -158,6 +158,23 @@ def test_file_encoder_agrees_on_every_code_point(library):
     assert [t for t, a, b in zip(texts, got, want) if a != b] == []
 
 
+def test_latin_words_skip_the_splitter_and_memos_stay_bounded(library, monkeypatch):
+    """Words of Latin letters go to the library's model itself; ids stay the library's, and
+    what a batch adds beyond the memo's bounds is dropped after it."""
+    monkeypatch.setattr(token_files, "MEMO_CHUNKS", 8)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    split = []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: split.extend(texts) or ids(texts))
+    texts = ["Straße, über Ærø Naïve! plain words; don't", "плотва 42 plain. İstanbul e\u0301te\u0301 " + "longword" * 20, None, ""]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for _ in range(2):
+        assert encoder.encode_all(texts) == want
+    assert {"плотва"} <= set(split) and not {w for t in split for w in t.split()} & {"straße", "über", "ærø", "naïve", "plain", "words", "été"}
+    assert len(encoder.memo) <= 8 and max(map(len, encoder.memo)) <= token_files.MEMO_KEY
+
+
 def test_long_words_take_linear_time(codec):
     start = time.perf_counter()
     word = "abcdefghij" * 40_000
