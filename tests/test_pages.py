@@ -341,3 +341,10 @@ def test_plain_tags_read_as_the_library_reads_them():
     for k in range(3000):
         html = "".join(rng.choices(bits, k=rng.randint(1, 14)))
         assert dom._Nodes(k % 2 == 0).read(html) == Library(k % 2 == 0).read(html), html
+
+
+@pytest.mark.parametrize("build", [page_queries.auction_pages, scan_queries._run_logs])
+def test_queries_deal_short_rows_over_all_cores(spark, build):
+    """A small file is one task; the pages and texts made of its rows are not."""
+    built = build(spark, "/root/testdata/sf0.001")
+    assert built.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
