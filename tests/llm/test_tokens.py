@@ -175,6 +175,54 @@ def test_latin_words_skip_the_splitter_and_memos_stay_bounded(library, monkeypat
     assert len(encoder.memo) <= 8 and max(map(len, encoder.memo)) <= token_files.MEMO_KEY
 
 
+def test_words_are_encoded_once_whatever_their_case_and_the_punctuation_after_them(library, monkeypatch):
+    """Nothing but words of other letters, punctuation and mixed chunks goes to the library's
+    splitter, and a batch's ids are the library's on random texts."""
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    split = []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: split.extend(texts) or ids(texts))
+    texts = ["word Word, WORD### word) Ñandú$$$ ñandú\"", "word-word ##", "", None, "x's"]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode_all(texts) == want
+    assert {t for t in split if any(ch.isalpha() for ch in t)} == {"word-word", "x's"} and {"word", "ñandú"} <= set(encoder.memo)
+
+    rng = random.Random(11)
+    alphabet = list("aAbJKß\u0301\u030cΣσİéÉ12'-_.,!#<|>   \n\t\x1c\x85\xa0\u3000日क़") + ["<|endoftext|>", "'ll", "ing"]
+    for size in (0, 1, 400):
+        made = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(size)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(made, add_special_tokens=False)]
+        assert encoder.encode_all(made) == want
+
+
+def test_simple8b_takes_the_selector_with_most_ids():
+    """Payloads equal those of a plain loop over the ids of each block."""
+    def plain(values):
+        words, starts = [], []
+        for b in range(0, len(values), token_files.BLOCK):
+            block, at = values[b:b + token_files.BLOCK], 0
+            starts.append(len(words))
+            while at < len(block):
+                for k in range(1, 16):
+                    count, bits = int(token_files.COUNTS[k]), int(token_files.BITS[k])
+                    if all(v < 1 << bits for v in block[at:at + count]):
+                        words.append(k << 60 | sum(v << j * bits for j, v in enumerate(block[at:at + count])))
+                        at += count
+                        break
+                else:
+                    words += [0, block[at]]
+                    at += 1
+        return np.array([len(values)], "<u8").tobytes() + np.array(starts, "<u4").tobytes() + np.array(words, "<u8").tobytes()
+
+    rng = np.random.default_rng(8)
+    for dtype, top in ((np.uint64, 64), (np.dtype("<u4"), 17), (np.dtype("<u4"), 32)):
+        for n in (0, 1, 127, 128, 129, 700):
+            ids = (rng.integers(0, 1 << 63, n, np.uint64) >> rng.integers(64 - top, 64, n, np.uint64)).astype(dtype)
+            ids[rng.random(n) < 0.3] = 0
+            assert token_files.pack(ids) == plain(ids.tolist())
+
+
 def test_long_words_take_linear_time(codec):
     start = time.perf_counter()
     word = "abcdefghij" * 40_000
