@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -93,6 +94,7 @@ DETAIL_PHOTO = r"auction|photo|img"
 
 
 UNKNOWN = "unknown"
+_SHORT_TEXT = 64
 
 
 def site_of(url: Column, rules=SITE_RULES) -> Column:
@@ -130,9 +132,14 @@ class _Reader:
         labels = (rule.bid_label, rule.date_label, rule.location_label)
         self.labels = [re.compile(p) for p in labels]
         self.any_label = re.compile("|".join(f"(?:{_scoped(p)})" for p in labels))
+        self.kinds = lru_cache(4096)(self.kinds_of)
         self.photo = re.compile(rule.photo_pattern)
         self.descriptions = [(tag, re.compile(p)) for tag, p in rule.descriptions]
 
+    def kinds_of(self, text: str) -> tuple[int, ...]:
+        """Kinds of label in a text. Pages of one site repeat the short texts of their layout."""
+        return tuple(k for k, p in enumerate(self.labels) if p.search(text)) if self.any_label.search(text) else ()
+
     def lot(self, url: str) -> str | None:
         return next((m[1] for p in self.lots if (m := p.search(url)) and m[1]), None)
 
@@ -148,25 +155,21 @@ class _Reader:
         return None
 
     def read(self, nodes: dom.Nodes, url: str) -> tuple:
-        bid, date, place = self.labels
-        bids, dates, places, photos = [], [], [], []
-        titles, descriptions = {}, {}
-        for at, n in enumerate(nodes, 1):
-            if n[dom.KIND] != dom.ELEMENT:
-                text = n[dom.TEXT_OF]
-                if self.any_label.search(text):
-                    for pattern, parents in ((bid, bids), (date, dates), (place, places)):
-                        if pattern.search(text):
-                            parents.append(n[dom.PARENT])
+        parents = bids, dates, places = [], [], []
+        photos, titles, descriptions = [], {}, {}
+        title_tags, kinds, kinds_of = self.rule.title_tags, self.kinds, self.kinds_of
+        for at, (kind, parent, _, _, _, tag, text, _, _, cls, _, src, _) in enumerate(nodes, 1):
+            if kind != dom.ELEMENT:
+                for k in kinds(text) if len(text) <= _SHORT_TEXT else kinds_of(text):
+                    parents[k].append(parent)
                 continue
-            tag = n[dom.TAG]
-            if tag in self.rule.title_tags:
+            if tag in title_tags:
                 titles.setdefault(tag, at)
-            if tag == "img" and n[dom.SRC] is not None and self.photo.search(n[dom.SRC]):
-                photos.append(n[dom.SRC])
-            if n[dom.CLS] is not None:
+            if src is not None and tag == "img" and self.photo.search(src):
+                photos.append(src)
+            if cls is not None:
                 for k, (of, pattern) in enumerate(self.descriptions):
-                    if of == tag and k not in descriptions and pattern.search(n[dom.CLS]):
+                    if of == tag and k not in descriptions and pattern.search(cls):
                         descriptions[k] = at
         # The first heading counts even if it is empty.
         title = next((titles[t] for t in self.rule.title_tags if t in titles), None)

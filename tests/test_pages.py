@@ -343,6 +343,37 @@ def test_plain_tags_read_as_the_library_reads_them():
         assert dom._Nodes(k % 2 == 0).read(html) == Library(k % 2 == 0).read(html), html
 
 
+def test_plain_pages_are_read_without_the_library(monkeypatch):
+    """A page is walked tag by tag as far as it is plain; the nodes are those of the library."""
+    class Library(dom._Nodes):
+        def _read_plain(self, html):
+            return 0
+
+    bits = [
+        "<p>", "<P Class='a card'>", '<a href="x?a&amp;b">', "<br>", "<br/>", "</p>", "</P >", "<script>", "</script>", "<template>",
+        "</template>", "text ", "&lt;", "&am", " ", "<", ">", "<!--c-->", "<!-- a-b -->", "<!-->", "<!DOCTYPE html>", "<![CDATA[x]]>",
+        "<li>", "<td>", "<tr>", "<hr>", "</tr>", "<title>", "</title>", "<img src='/1'>", "<div class='x" + "y" * 300 + "'>", "</div>"]
+    rng = random.Random(2)
+    for k in range(4000):
+        html = "".join(rng.choices(bits, k=rng.randint(0, 16)))
+        assert dom._Nodes(k % 2 == 0).read(html) == Library(k % 2 == 0).read(html), html
+
+    plain = "<!DOCTYPE html><html><!-- Closing --><h1> A &amp; <b>B</b></h1><ul><li class='card'>x<li>y</ul><img src='/1'>Location &lt;"
+    want = Library(True).read(plain)
+    monkeypatch.setattr(HTMLParser, "feed", lambda self, html: pytest.fail(html) if html else None)
+    assert dom._Nodes(True).read(plain) == want
+
+
+def test_labels_of_texts_seen_before_are_remembered():
+    reader = records._Reader(records.SITE_RULES[1])
+    page = dom._Nodes(False).read("<h1>x</h1><td>Current Bid</td>$5<p>Closing 1/2/2026</p><i>Agency: " + "y" * 100 + "</i>")
+    first = reader.read(page, "?id=1")
+    assert reader.read(page, "?id=1") == first
+    assert first[2:5] == (["Current Bid"], ["Closing 1/2/2026"], "Agency: " + "y" * 100)
+    found = reader.kinds.cache_info()
+    assert (found.misses, found.hits) == (4, 4)     # the long text is not kept
+
+
 @pytest.mark.parametrize("build", [page_queries.auction_pages, scan_queries._run_logs])
 def test_queries_deal_short_rows_over_all_cores(spark, build):
     """A small file is one task; the pages and texts made of its rows are not."""
