@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from resalelens.operators.found import merged
 from resalelens.streaming import incremental
+from workload.scan_queries import stream_records
 from workload.standins import table_stream
 
 
@@ -64,3 +65,14 @@ def test_table_stream_reads_a_file_or_a_folder(spark, tmp_path, folder):
     stream = table_stream(spark, str(tmp_path), "pages")
     incremental.append_to(stream, str(tmp_path / "rows"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == list(range(100))
+
+
+def test_stream_records_without_a_heading(spark, tmp_path):
+    """Titles are empty without a heading and NULL only without a page, as in the query's SQL.
+    A reference cut before its semicolon is read as in page_records."""
+    com, org = "https://a.example.com/1", "https://a.example.org/1"
+    rows = [(1, com, "<h1>a</h1>"), (2, com, "<p>no heading</p>"), (3, org, ""), (4, org, None), (5, "https://a.example.net/1", None),
+            (6, com, "<h1>a &quot</h1>")]
+    spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, stream_records(spark, str(tmp_path)).collect()))
+    assert got == [(1, "com", "a"), (2, "com", ""), (3, "org", ""), (4, "org", None), (6, "com", 'a "')]

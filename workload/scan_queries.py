@@ -254,10 +254,16 @@ def stream_merge(spark, d):
   trim(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;?', '&', 'g'), '&quot;', '"')) AS title
 FROM pages WHERE contains(url, '.example.com') OR contains(url, '.example.org')""")
 def stream_records(spark, d):
-    """Records of newly captured pages, appended exactly once."""
+    """Records of newly captured pages, appended exactly once. A page without a heading has an
+    empty title, a link without a page has none."""
     from workload.page_queries import PAGE_RULES
     out = fresh_path(spark, "stream-records")
-    found_records = records.accepted(records.extract_records(table_stream(spark, d, "pages"), PAGE_RULES)).select("page_id", "site", "title")
+    # Whether there is a page goes along with its number, so that pages are read once.
+    key = F.struct("page_id", F.col("html").isNull().alias("unread")).alias("page_id")
+    captured = table_stream(spark, d, "pages").select(key, "url", "html")
+    read = records.with_sentinels(records.accepted(records.extract_records(captured, PAGE_RULES)))
+    found_records = read.select(
+        "page_id.page_id", "site", F.when(F.col("page_id.unread"), None).otherwise(F.col("title")).alias("title"))
     incremental.append_to(found_records, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.schema(found_records.schema).parquet(f"{out}/rows")
 
